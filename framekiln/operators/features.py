@@ -37,7 +37,9 @@ def encoder(factory: Callable[[], Encoder], returns: str, max_batch: int) -> Cal
         for inputs, keys in batches:
             out = []
             for begin, end in runs(keys) if len(keys) else []:
-                got = list(model(list(inputs.iloc[begin:end])))
+                part = inputs.iloc[begin:end]
+                # A struct column arrives as a table; its rows become dicts.
+                got = list(model(part.to_dict("records") if isinstance(part, pd.DataFrame) else list(part)))
                 if len(got) != end - begin:
                     raise ValueError(f"the encoder returned {len(got)} outputs for {end - begin} inputs")
                 out.extend(got)

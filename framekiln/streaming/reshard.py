@@ -6,8 +6,11 @@ from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-from pyspark.sql.types import LongType, StringType, StructField, StructType
+from pyspark.sql.types import LongType, StructField, StructType
+
+from framekiln.functions.fields import rekey
 
 ARRIVAL = ("shard_idx", "pos")
 
@@ -21,19 +24,22 @@ def stream_reshard(
     rank, kept with the sink's checkpoint: a restart neither repeats nor skips a
     number. Write the result with ``drain(..., partition_by=[rank, "shard_no"])``.
     """
-    added = [StructField("shard_no", LongType()), StructField("shard_pos", LongType()), StructField("shard_key", StringType())]
-    output = StructType([*samples.schema, *added])
+    output = StructType([*samples.schema, StructField("__at", LongType())])
 
     def deal(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         (count,) = state.get if state.exists else (0,)
         rows = pd.concat(list(parts), ignore_index=True).sort_values(list(order), kind="stable")
-        at = range(count, count + len(rows))
-        rows["shard_no"] = [n // shard_size for n in at]
-        rows["shard_pos"] = [n % shard_size for n in at]
-        rows["shard_key"] = [f"{n % shard_size:0{digits}d}" for n in at]
+        rows["__at"] = range(count, count + len(rows))
         state.update((count + len(rows),))
         yield rows
 
-    return samples.groupBy(rank).applyInPandasWithState(
+    dealt = samples.groupBy(rank).applyInPandasWithState(
         deal, output, StructType([StructField("rows", LongType())]), "append", GroupStateTimeout.NoTimeout
     )
+    position = F.pmod("__at", F.lit(shard_size))
+    return dealt.select(
+        *samples.columns,
+        F.floor(F.col("__at") / F.lit(shard_size)).alias("shard_no"),
+        position.alias("shard_pos"),
+        rekey(position, digits).alias("shard_key"),
+    )
