@@ -26,63 +26,86 @@ ADJECTIVE = "ADJ"
 NOUNS = ("NOUN", "PROPN")
 ENTITY_LABELS = ("PERSON", "ORG")
 
-TAGGED = "struct<tokens: array<struct<text: string, pos: string>>, entities: array<struct<text: string, label: string>>>"
+TAGGED = "struct<words: array<string>, tags: array<string>, entities: array<string>, labels: array<string>>"
+
+# Two characters that no word holds: the end of a phrase and the edge of a name.
+_END = "\u0001"
+_EDGE = "\u0002"
 
 
 def tag_tokens(factory: Callable[[], Callable[[str], tuple]]) -> Callable[[Column], Column]:
     """A tagger plug-in as a column function giving ``TAGGED``.
 
     ``factory`` loads the tagger, once per task. The tagger takes a caption and
-    returns its (text, part of speech) tokens and its (text, label) entities.
+    returns its words, their parts of speech, its entities and their labels.
     """
 
     @F.pandas_udf(TAGGED)
     def tagged(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         tagger = factory()
         for captions in batches:
-            rows = [tagger(c) if c is not None else ([], []) for c in captions]
-            yield pd.DataFrame(
-                {
-                    "tokens": [[{"text": t, "pos": p} for t, p in tokens] for tokens, _ in rows],
-                    "entities": [[{"text": t, "label": k} for t, k in entities] for _, entities in rows],
-                }
-            )
+            rows = [tagger(c) if c is not None else ([], [], [], []) for c in captions]
+            yield pd.DataFrame(rows, columns=["words", "tags", "entities", "labels"])
 
     return tagged
 
 
-def phrases(tokens: Column, entities: Column) -> Column:
+def phrases(tagged: Column) -> Column:
     """Noun phrases of a tagged caption, in order.
 
     An adjective waits for the next noun, across any other words. A noun that is part
     of a person or organisation stands for the whole name, the first such name in the
     caption. A name already said is not repeated, and then the waiting adjectives stay
     for the next noun.
+
+    The phrases are built as one text: an adjective ends in a space and a noun in an
+    end mark, so that adjectives run on into the noun that follows. Names stand
+    between edge marks; only they depend on what was said before, so the fold runs
+    over names and not over words, and the cost grows with the caption's length.
     """
-    named = F.filter(entities, lambda e: e["label"].isin(*ENTITY_LABELS))
-    names = F.transform(named, lambda e: F.lower(e["text"]))
-    words = F.transform(
-        F.filter(tokens, lambda t: t["pos"].isin(ADJECTIVE, *NOUNS)),
-        lambda t: F.struct(
-            (t["pos"] == ADJECTIVE).alias("waits"),
-            F.lower(t["text"]).alias("word"),
-            F.get(F.filter(names, lambda n: n.contains(F.lower(t["text"]))), F.lit(0)).alias("name"),
-        ),
+    is_name = F.zip_with(
+        tagged["entities"],
+        tagged["labels"],
+        lambda name, label: F.when(label.isin(*ENTITY_LABELS), F.lower(name)),
+    )
+    names = F.concat(F.lit(_END), F.array_join(is_name, _END), F.lit(_END))
+    text = _let(names, lambda n: F.array_join(F.zip_with(tagged["words"], tagged["tags"], lambda w, t: _piece(w, t, n)), ""))
+    told = _let(text, lambda t: F.when(F.contains(t, F.lit(_EDGE)), _say_names_once(t)).otherwise(t))
+    # What follows the last end mark are adjectives without a noun.
+    return _let(F.split(told, _END), lambda ends: F.slice(ends, 1, F.size(ends) - 1))
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    # Binds a value, so that it is computed once although the body uses it often.
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _piece(word: Column, tag: Column, names: Column) -> Column:
+    """A word's share of the text; null for words that are neither adjective nor noun."""
+    word = F.lower(word)
+    at = F.instr(names, word)
+    name = F.concat(
+        F.substring_index(F.substring(names, F.lit(1), at - 1), _END, -1),
+        F.substring_index(F.substring(names, at, F.length(names)), _END, 1),
+    )
+    noun = F.when(at > 0, F.concat(F.lit(_EDGE), name, F.lit(_EDGE))).otherwise(F.concat(word, F.lit(_END)))
+    return F.when(tag == ADJECTIVE, F.concat(word, F.lit(" "))).when(tag.isin(*NOUNS), noun)
+
+
+def _say_names_once(text: Column) -> Column:
+    """The text without the names that an earlier phrase holds; every second part is a name."""
+    parts = F.transform(
+        F.split(text, _EDGE), lambda part, i: F.struct(part.alias("part"), (F.pmod(i, F.lit(2)) == 1).alias("name"))
     )
-    none = F.array().cast("array<string>")
-    start = F.struct(none.alias("said"), none.alias("waiting"))
 
-    def step(state: Column, word: Column) -> Column:
-        said, waiting = state["said"], state["waiting"]
-        known = word["name"].isNotNull() & F.exists(said, lambda p: p.contains(word["name"]))
-        phrase = F.array_join(F.concat(waiting, F.array(F.coalesce(word["name"], word["word"]))), " ")
-        return (
-            F.when(word["waits"], F.struct(said.alias("said"), F.array_append(waiting, word["word"]).alias("waiting")))
-            .when(known, state)
-            .otherwise(F.struct(F.array_append(said, phrase).alias("said"), none.alias("waiting")))
-        )
+    def step(told: Column, part: Column) -> Column:
+        waiting = F.substring_index(told, _END, -1)
+        said = F.substring(told, F.lit(1), F.length(told) - F.length(waiting))
+        repeated = part["name"] & said.contains(part["part"])
+        ending = F.when(part["name"], F.lit(_END)).otherwise(F.lit(""))
+        return F.when(repeated, told).otherwise(F.concat(told, part["part"], ending))
 
-    return F.aggregate(words, start, step, lambda state: state["said"])
+    return F.aggregate(parts, F.lit(""), step)
 
 
 def reject(parts: Column, rejected: Sequence[str] = REJECTED) -> Column:
@@ -114,7 +137,7 @@ def compress_caption(
     tagged: Column, label: str | None = None, identifier: str | None = None, rejected: Sequence[str] = REJECTED
 ) -> Column:
     """A caption as a short comma list, from a ``TAGGED`` column."""
-    return join_phrases(phrases(tagged["tokens"], tagged["entities"]), label, identifier, rejected)
+    return join_phrases(phrases(tagged), label, identifier, rejected)
 
 
 def remove_word(text: Column, word: str) -> Column:

@@ -35,11 +35,15 @@ class Bins:
     def ratios(self) -> list[float]:
         return [r for r, _, _ in self.rows]
 
-    def pick(self, ordinal: Column, what: str) -> Column:
-        """Look up ``ratio``, ``height`` or ``width`` by 0-based bin number."""
+    def pick(self, ordinal: str, what: str) -> Column:
+        """Look up ``ratio``, ``height`` or ``width`` by the 0-based bin number in a column."""
         at = ("ratio", "height", "width").index(what)
-        kind = "double" if what == "ratio" else "int"
-        return F.get(F.array(*[F.lit(row[at]).cast(kind) for row in self.rows]), ordinal)
+        values = [_double(row[0]) if what == "ratio" else str(row[at]) for row in self.rows]
+        return F.expr(f"get(array({', '.join(values)}), `{ordinal}`)")
+
+
+def _double(value: float) -> str:
+    return f"{float(value)!r}D"
 
 
 def aspect_ratio(height: Column, width: Column) -> Column:
@@ -47,15 +51,15 @@ def aspect_ratio(height: Column, width: Column) -> Column:
     return F.try_divide(height.cast("double"), width.cast("double"))
 
 
-def _first_nearest(df: DataFrame, ratio: Column, candidates: Sequence[float], out: str, limit: float) -> DataFrame:
+def _first_nearest(df: DataFrame, ratio: str, candidates: Sequence[float], out: str, limit: float) -> DataFrame:
     # Two projections of plain comparisons: the least distance, then the first
     # candidate that has it. Both stay in generated code, with no join or lambda.
-    gaps = [F.abs(F.lit(float(c)) - ratio) for c in candidates]
-    near = F.least(*gaps) if len(gaps) > 1 else gaps[0]
-    first = F.when(F.isnull("__gap") | ~(F.col("__gap") < F.lit(float(limit))), F.lit(None).cast("int"))
-    for i, gap in enumerate(gaps):
-        first = first.when(gap == F.col("__gap"), F.lit(i))
-    return df.withColumn("__gap", near).withColumn(out, first).drop("__gap")
+    # As SQL text the many terms take one call to the JVM.
+    gaps = [f"abs({_double(c)} - `{ratio}`)" for c in candidates]
+    least = f"least({', '.join(gaps)})" if len(gaps) > 1 else gaps[0]
+    cases = " ".join(f"WHEN {gap} = __gap THEN {i}" for i, gap in enumerate(gaps))
+    first = f"CASE WHEN __gap IS NULL OR NOT __gap < {_double(limit)} THEN NULL {cases} END"
+    return df.withColumn("__gap", F.expr(least)).withColumn(out, F.expr(first)).drop("__gap")
 
 
 def nearest_bin(
@@ -73,21 +77,20 @@ def nearest_bin(
     (1000, -1) for training batches and (100, 0.6) for precomputed features. With
     ``sizes`` the bin's ``target_height`` and ``target_width`` come along.
     """
-    found = _first_nearest(df, F.col(ratio), bins.ratios, "__bin", limit)
-    added = {out: F.coalesce(bins.pick(F.col("__bin"), "ratio"), F.lit(float(fallback)))}
+    found = _first_nearest(df, ratio, bins.ratios, "__bin", limit)
+    added = {out: F.coalesce(bins.pick("__bin", "ratio"), F.lit(float(fallback)))}
     if sizes:
-        added["target_height"] = bins.pick(F.col("__bin"), "height")
-        added["target_width"] = bins.pick(F.col("__bin"), "width")
+        added["target_height"] = bins.pick("__bin", "height")
+        added["target_width"] = bins.pick("__bin", "width")
     return found.withColumns(added).drop("__bin")
 
 
 def target_size(df: DataFrame, bins: Bins, bucket: str = "bucket") -> DataFrame:
     """Add the image size of a row's bin, by exact bin ratio."""
-    ordinal = F.array_position(F.array(*[F.lit(r) for r in bins.ratios]), F.col(bucket)).cast("int") - 1
-    inside = F.when(ordinal >= 0, ordinal)
-    return df.withColumns(
-        {"target_height": bins.pick(inside, "height"), "target_width": bins.pick(inside, "width")}
-    )
+    cases = " ".join(f"WHEN `{bucket}` = {_double(r)} THEN {i}" for i, r in enumerate(bins.ratios))
+    found = df.withColumn("__bin", F.expr(f"CASE {cases} END"))
+    sizes = {"target_height": bins.pick("__bin", "height"), "target_width": bins.pick("__bin", "width")}
+    return found.withColumns(sizes).drop("__bin")
 
 
 def nearest_open_bucket(
@@ -105,8 +108,8 @@ def nearest_open_bucket(
     if not seen:
         return df.withColumn(out, F.lit(-1.0))
     seen.sort()
-    found = _first_nearest(df, F.col(ratio), seen, "__at", 1000.0)
-    nearest = F.coalesce(F.get(F.array(*[F.lit(float(s)) for s in seen]), F.col("__at")), F.lit(-1.0))
+    found = _first_nearest(df, ratio, seen, "__at", 1000.0)
+    nearest = F.coalesce(F.expr(f"get(array({', '.join(map(_double, seen))}), __at)"), F.lit(-1.0))
     return found.withColumn(out, F.when(F.col(ratio) == -1.0, F.lit(-1.0)).otherwise(nearest)).drop("__at")
 
 
@@ -124,8 +127,8 @@ def nearest_in_class(
     for i, (value, ratios) in enumerate(bins_by_class.items()):
         if not ratios:
             continue
-        work = _first_nearest(work, F.col(ratio), ratios, f"__at{i}", 1000.0)
-        here = F.get(F.array(*[F.lit(float(r)) for r in ratios]), F.col(f"__at{i}"))
+        work = _first_nearest(work, ratio, ratios, f"__at{i}", 1000.0)
+        here = F.expr(f"get(array({', '.join(map(_double, ratios))}), __at{i})")
         picked = F.when(F.col(class_col) == F.lit(value), here).otherwise(picked)
     return work.withColumn(out, F.coalesce(picked, F.lit(-1.0))).drop(
         *[f"__at{i}" for i in range(len(bins_by_class))]

@@ -61,15 +61,16 @@ def word_tagger():
     kinds = {"e": "ADJ", "s": "NOUN", "n": "NOUN", "t": "PROPN"}
 
     def tag(caption):
-        found = [(w, kinds.get(w[-1].lower(), "X")) for w in word.findall(caption)]
-        return found, [(n, "PERSON") for n in name.findall(caption)]
+        words = word.findall(caption)
+        names = name.findall(caption)
+        return words, [kinds.get(w[-1].lower(), "X") for w in words], names, ["PERSON"] * len(names)
 
     return tag
 
 
 def nameless_tagger():
     tag = word_tagger()
-    return lambda caption: (tag(caption)[0], [])
+    return lambda caption: (*tag(caption)[:2], [], [])
 
 
 TAGS_SQL = f"""{SAMPLES_SQL},
@@ -88,9 +89,10 @@ SELECT key, pos, count(*) AS words, sum(length(w)) AS letters FROM tagged GROUP
 )
 def tag_tokens(spark, sf_dir):
     rows = samples(spark, sf_dir).select("key", C.tag_tokens(word_tagger)(F.col("caption")).alias("tagged"))
-    words = rows.select("key", F.explode("tagged.tokens").alias("t")).select("key", "t.pos", "t.text")
+    pairs = F.arrays_zip("tagged.tags", "tagged.words")
+    words = rows.select("key", F.explode(pairs).alias("t")).select("key", F.col("t.tags").alias("pos"), "t.words")
     return words.groupBy("key", "pos").agg(
-        F.count(F.lit(1)).alias("words"), F.sum(F.length("text")).alias("letters")
+        F.count(F.lit(1)).alias("words"), F.sum(F.length("words")).alias("letters")
     )
 
 
