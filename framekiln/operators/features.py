@@ -10,6 +10,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from framekiln.functions import images
+
 Encoder = Callable[[list], Sequence]
 
 
@@ -48,6 +50,23 @@ def encoder(factory: Callable[[], Encoder], returns: str, max_batch: int) -> Cal
     return lambda values, same=None: encoded(values, F.lit(0) if same is None else same)
 
 
+def image_model(factory: Callable[[], Encoder], decoder: Callable[[], images.Decoder] = images.default_decoder):
+    """A factory for ``encoder`` whose inputs are ``struct<image, height, width>``.
+
+    Images are decoded, stretched to the bin's size and normalised inside the encoder
+    call, so pixels never leave the Python worker. The model gets a list of (channel,
+    height, width) arrays.
+    """
+
+    def build() -> Encoder:
+        model, decode = factory(), decoder()
+        return lambda rows: model(
+            [images.model_input(decode(r["image"]), int(r["height"]), int(r["width"])) for r in rows]
+        )
+
+    return build
+
+
 def arranged(batches: DataFrame, batch: Sequence[str] = ("bucket", "batch_no"), slot: str = "slot") -> DataFrame:
     """Rows of a batch side by side, so an encoder call sees one image size.
 

@@ -7,7 +7,8 @@ that share a name up to the first dot of the file name. Options:
                   Arrow's file systems read, such as
                   ``s3://bucket/folder?endpoint_override=host``
 ``fields``        extensions whose bytes are wanted, separated by commas; the bodies
-                  of other members are skipped, not read. ``*`` is all, empty is none
+                  of other members are skipped, not read. ``*`` is all, empty is none.
+                  The column ``members`` names all extensions in any case
 ``sizes``         ``true`` reads image sizes from header bytes
 ``splitBytes``    shards larger than this are read by several tasks
 ``ignoreMissing`` ``true`` skips listed paths that do not exist
@@ -25,6 +26,7 @@ from dataclasses import dataclass
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import (
     DataSource,
     DataSourceArrowWriter,
@@ -38,7 +40,7 @@ from framekiln.functions.fields import IMAGE_EXTENSIONS
 from framekiln.functions.images import header_size
 
 SCHEMA = (
-    "shard string, shard_idx int, pos bigint, key string, fields map<string, binary>, "
+    "shard string, shard_idx int, pos bigint, key string, members array<string>, fields map<string, binary>, "
     "height int, width int, _error string"
 )
 _ARROW = pa.schema(
@@ -47,6 +49,7 @@ _ARROW = pa.schema(
         ("shard_idx", pa.int32()),
         ("pos", pa.int64()),
         ("key", pa.string()),
+        ("members", pa.list_(pa.string())),
         ("fields", pa.map_(pa.string(), pa.binary())),
         ("height", pa.int32()),
         ("width", pa.int32()),
@@ -55,6 +58,9 @@ _ARROW = pa.schema(
 )
 BLOCK = tarfile.BLOCKSIZE
 SPLIT_BYTES = 1 << 30
+# Positions in a shard count 512-byte units, so row numbering should cut its blocks
+# this wide: one block holds the samples of at most one split's worth of bytes.
+BLOCK_UNITS = SPLIT_BYTES // BLOCK
 # A batch goes to Spark when it has this many rows or bytes.
 BATCH_ROWS = 512
 BATCH_BYTES = 32 << 20
@@ -86,6 +92,11 @@ def expand(path: str) -> list[tuple[str, int]]:
     return sorted((prefix + f.path, f.size) for f in files)
 
 
+def count_shards(paths: str | list[str]) -> int:
+    """How many shards a scan of these paths numbers."""
+    return sum(len(expand(p)) for p in ([paths] if isinstance(paths, str) else paths))
+
+
 def split_name(name: str) -> tuple[str, str]:
     """A member's sample key and extension: cut at the first dot of the file name."""
     folder, _, base = name.rpartition("/")
@@ -181,6 +192,7 @@ class _Samples:
                     row = None
                 if row is None:
                     row = self._empty(split, member.offset, key)
+                row["members"].append(ext)
                 self._take(archive, member, ext, row)
         except (tarfile.TarError, EOFError, OSError) as problem:
             bad = row or self._empty(split, start, None)
@@ -190,12 +202,28 @@ class _Samples:
         if row is not None:
             yield row
 
+    def at(self, stream, offset: int) -> dict[str, bytes]:
+        """The wanted members of the one sample that starts at ``offset``."""
+        stream.seek(offset)
+        archive = tarfile.open(fileobj=stream, mode="r:")
+        row, first = {"fields": {}}, None
+        for member in archive:
+            key, ext = split_name(member.name)
+            first = key if first is None else first
+            if key != first:
+                break
+            archive.members = []
+            if member.isfile():
+                self._take(archive, member, ext, row)
+        return row["fields"]
+
     def _empty(self, split: TarSplit, offset: int, key: str | None) -> dict:
         return {
             "shard": split.path,
             "shard_idx": split.shard_idx,
             "pos": offset // BLOCK,
             "key": key,
+            "members": [],
             "fields": {},
             "height": None,
             "width": None,
@@ -280,7 +308,7 @@ class TarWriter(DataSourceArrowWriter):
     def write(self, iterator: Iterator[pa.RecordBatch]) -> WrittenShards:
         store, folder = open_store(self.folder)
         store.create_dir(folder, recursive=True)
-        members = [n for n in self.names if n not in ("shard_no", "shard_pos", "key")]
+        members = [n for n in self.names if n not in ("shard_no", "key")]
         moves, current, archive, stream = [], None, None, None
         seen = set()
         try:
@@ -390,20 +418,53 @@ def tar_scan(
     return rows.filter("_error IS NOT NULL") if bad_samples == "only" else rows
 
 
-def write_shards(df: DataFrame, path: str, columns: list[str], mode: str = "append") -> None:
+def by_shard(df: DataFrame) -> DataFrame:
+    """Rows of a new shard side by side, in order; a task holds whole shards."""
+    return df.repartition("shard_no").sortWithinPartitions("shard_no", "shard_pos")
+
+
+def with_members(df: DataFrame, fields: list[str]) -> DataFrame:
+    """Add ``fields``, the wanted members of each row's sample, read at (``shard``, ``pos``).
+
+    Number, batch or join the rows of a scan without bodies first and fetch the bytes
+    last: then images go from storage to the task that uses them and no shuffle
+    carries them. Rows in shard order make the reads sequential.
+    """
+    wanted = set(fields)
+    added = pa.field("fields", pa.map_(pa.string(), pa.binary()))
+
+    def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader, opened, stream = _Samples(wanted, False), None, None
+        for batch in batches:
+            schema = batch.schema.append(added)
+            paths, places = batch.column("shard").to_pylist(), batch.column("pos").to_pylist()
+            begin, members, held = 0, [], 0
+            for i, (path, pos) in enumerate(zip(paths, places)):
+                if path != opened:
+                    if stream:
+                        stream.close()
+                    store, inside = open_store(path)
+                    opened, stream = path, store.open_input_file(inside)
+                members.append(list(reader.at(stream, pos * BLOCK).items()))
+                held += sum(len(data) for _, data in members[-1])
+                if held >= BATCH_BYTES or i + 1 == len(paths):
+                    part = batch.slice(begin, i + 1 - begin)
+                    yield pa.RecordBatch.from_arrays([*part.columns, pa.array(members, added.type)], schema=schema)
+                    begin, members, held = i + 1, [], 0
+        if stream:
+            stream.close()
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+    return df.mapInArrow(fetch, f"{schema}, fields map<string, binary>")
+
+
+def write_shards(df: DataFrame, path: str, columns: list[str], key: str = "shard_key", mode: str = "append") -> None:
     """Write numbered samples as ``shard-%06d.tar``, one member per column.
 
     ``df`` has ``shard_no``, ``shard_pos`` and ``shard_key``, as ``shard_numbering``
-    adds them. A column's name is its extension; ``latent__bin`` is ``latent.bin``.
-    Rows are spread over shards, so a task holds whole shards of bounded size.
+    adds them, and its rows are arranged by ``by_shard``. ``key`` names the samples. A
+    column's name is its extension; ``latent__bin`` is ``latent.bin``.
     """
     df.sparkSession.dataSource.register(TarShards)
-    chosen = df.select("shard_no", "shard_pos", df["shard_key"].alias("key"), *columns)
-    (
-        chosen.repartition("shard_no")
-        .sortWithinPartitions("shard_no", "shard_pos")
-        .write.format("tarshards")
-        .option("path", path)
-        .mode(mode)
-        .save()
-    )
+    chosen = df.select("shard_no", F.col(key).alias("key"), *columns)
+    chosen.write.format("tarshards").option("path", path).mode(mode).save()

@@ -10,11 +10,22 @@ from pyspark.sql.types import BinaryType
 
 from framekiln.functions import fields, images
 from framekiln.operators import batching, buckets, features, sharding
+from framekiln.plans import dataset, precompute, training
 from framekiln.session import fresh_path
 from framekiln.sources import tar
 from workload.registry import query
 from workload.shards import SHARD_SIZE
-from workload.views import BATCH, BINS, BUCKETED_SQL, RANKS, SAMPLES_SQL, samples, table
+from workload.views import (
+    BATCH,
+    BINS,
+    BUCKETED_SQL,
+    CAPTIONS_SQL,
+    RANKS,
+    SAMPLES_SQL,
+    captions,
+    samples,
+    table,
+)
 
 SMALL_BINS = buckets.Bins.from_sizes([(h, w) for h in (4, 8, 12) for w in (6, 10)])
 
@@ -60,11 +71,8 @@ def image_shards(spark, sf_dir, label, png="png", txt="caption"):
     path = fresh_path(spark, label)
     rows = small_images(spark, sf_dir)
     dealt = sharding.shard_numbering(rows, SHARD_SIZE)
-    tar.write_shards(
-        dealt.withColumns({"png": F.expr(png), "txt": F.expr(txt), "id": F.col("pos").cast("string")}),
-        path,
-        ["png", "txt", "id"],
-    )
+    members = {"png": F.expr(png), "txt": F.expr(txt), "id": F.col("pos").cast("string")}
+    tar.write_shards(tar.by_shard(dealt.withColumns(members)), path, list(members))
     return path
 
 
@@ -101,16 +109,9 @@ def local_shards(spark, sf_dir):
 SELECT i // 100 AS shard_idx, printf('%06d', i % 100) AS key, pos AS doc_id, md5(caption) AS digest FROM small_v""",
 )
 def reshard_write(spark, sf_dir):
-    """Shards of 64 read, dealt into shards of 100 and read back."""
-    source = tar.tar_scan(spark, image_shards(spark, sf_dir, "tar-source"))
-    complete = source.select(
-        "shard_idx",
-        "pos",
-        *[fields.field(F.col("fields"), ext).alias(ext) for ext in ("png", "txt", "id")],
-    )
-    dealt = sharding.shard_numbering(fields.required_fields(complete, ["png", "txt"]), 100, block_rows=4096)
+    """Shards of 64 dealt into shards of 100 and read back."""
     path = fresh_path(spark, "tar-resharded")
-    tar.write_shards(dealt, path, ["png", "txt", "id"])
+    dataset.reshard(spark, image_shards(spark, sf_dir, "tar-source"), path, 100, members=("png", "txt", "id"))
     back = tar.tar_scan(spark, path, fields=["txt", "id"])
     return back.select("shard_idx", "key", sample_id(), F.md5(fields.field(F.col("fields"), "txt")).alias("digest"))
 
@@ -309,3 +310,100 @@ def read_through(spark, sf_dir):
     return features.read_through(
         samples(spark, sf_dir).select("key"), cache, ["key"], lambda misses: misses.withColumn("origin", F.lit("encoded"))
     )
+
+
+def caption_shards(spark, sf_dir):
+    """Caption shards beside ``image_shards``: JSON for labelled documents, drafts first."""
+    dealt = sharding.shard_numbering(samples(spark, sf_dir).drop("caption"), SHARD_SIZE)
+    drafts = captions(spark, sf_dir).withColumnRenamed("doc_id", "pos2")
+    said = dealt.join(drafts.withColumnRenamed("pos", "draft"), dealt["pos"] == drafts["pos2"])
+    json = F.to_json(F.struct(F.col("shard_key").alias("key"), F.col("caption").alias("sharecap_caption")))
+    rows = said.select(
+        "shard_no",
+        (F.col("shard_pos") * 2 + F.col("draft")).alias("shard_pos"),
+        F.format_string("c%06d-%d", F.col("shard_pos"), F.col("draft")).alias("shard_key"),
+        json.alias("json"),
+    )
+    path = fresh_path(spark, "tar-captions")
+    tar.write_shards(tar.by_shard(rows), path, ["json"])
+    return path
+
+
+@query(
+    "build_captioned",
+    f"""WITH {SMALL_SQL}, {CAPTIONS_SQL},
+best AS (SELECT doc_id, max_by(caption, pos) AS txt FROM captions_v GROUP BY doc_id),
+kept AS (
+  SELECT s.*, txt, row_number() OVER (ORDER BY s.i) - 1 AS j FROM small_v s JOIN best ON s.pos = best.doc_id)
+SELECT j // 50 AS shard_idx, printf('%06d', i % 64) AS key, txt AS caption, h AS height, w AS width FROM kept""",
+)
+def build_captioned(spark, sf_dir):
+    """Image shards joined with caption shards into new shards."""
+    path = fresh_path(spark, "tar-captioned")
+    sources = image_shards(spark, sf_dir, "tar-images"), caption_shards(spark, sf_dir)
+    # Every image shard has a caption shard as long as its documents include a label.
+    dataset.build_captioned(spark, *sources, path, 50, image="png")
+    back = tar.tar_scan(spark, path, fields=["txt"], sizes=True)
+    return back.select("shard_idx", "key", fields.text_field(F.col("fields")).alias("caption"), "height", "width")
+
+
+def toy_image_model():
+    """A toy image encoder on normalised input: the size of its input."""
+    return lambda pictures: [[float(p.shape[1]), float(p.shape[2])] for p in pictures]
+
+
+PRECOMPUTED_SQL = f"""{PLACED_SQL},
+dealt_f AS (SELECT *, row_number() OVER (ORDER BY i // 64, i % 64) - 1 AS f FROM full_v)"""
+
+
+@query(
+    "precompute_features",
+    f"""WITH {PRECOMPUTED_SQL}
+SELECT f // 100 AS shard_no, printf('%07d', f % 100) AS key, round(bucket, 6) AS ratio,
+       th::DOUBLE AS height, tw::DOUBLE AS width, len(string_split(caption, ' ')) AS words FROM dealt_f""",
+)
+def precompute_features(spark, sf_dir):
+    path = fresh_path(spark, "precomputed")
+    shards = image_shards(spark, sf_dir, "tar-encode")
+    precompute.precompute_features(spark, shards, path, SMALL_BINS, toy_image_model, word_lengths, BATCH, 100)
+    rows = spark.read.schema("shard_no long, key string, latent array<float>, emb array<array<float>>, ratio double").parquet(path)
+    return rows.select(
+        "shard_no",
+        "key",
+        F.round("ratio", 6).alias("ratio"),
+        F.col("latent")[0].cast("double").alias("height"),
+        F.col("latent")[1].cast("double").alias("width"),
+        F.size("emb").cast("long").alias("words"),
+    )
+
+
+@query(
+    "training_batches",
+    f"""WITH {PLACED_SQL},
+n AS (SELECT (count(*) + 63) // 64 AS shards FROM small_v),
+ranked AS (
+  SELECT r.r AS rank, p.* FROM placed_v p, n, range(4) r(r)
+  WHERE CASE WHEN shards < 4 THEN TRUE ELSE r.r = least(i // 64 // (shards // 4), 3) END),
+numbered AS (
+  SELECT *, row_number() OVER (PARTITION BY rank, bucket ORDER BY i) - 1 AS k,
+         count(*) OVER (PARTITION BY rank, bucket) AS m FROM ranked),
+shared AS (
+  SELECT bucket, CASE WHEN count(DISTINCT rank) = 4 THEN min(m // 4) ELSE 0 END AS whole FROM numbered GROUP BY bucket)
+SELECT rank, round(bucket, 6) AS bucket, k // 4 AS batch_no, k % 4 AS slot, i // 64 AS shard_idx,
+       printf('%06d', i % 64) AS key, md5(caption) AS digest, th::DOUBLE AS height
+FROM numbered JOIN shared USING (bucket) WHERE k // 4 < whole""",
+)
+def training_batches(spark, sf_dir):
+    """Batches for four ranks from image shards."""
+    shards = image_shards(spark, sf_dir, "tar-train")
+    rows = training.training_batches(spark, shards, SMALL_BINS, RANKS, 4, toy_image_model, word_lengths, 3, 2)
+    return rows.select(
+        "rank",
+        F.round("bucket", 6).alias("bucket"),
+        "batch_no",
+        "slot",
+        "shard_idx",
+        "key",
+        F.md5(F.encode("caption", "UTF-8")).alias("digest"),
+        F.col("latent")[0].cast("double").alias("height"),
+    )
