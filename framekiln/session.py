@@ -7,6 +7,8 @@ import uuid
 
 from pyspark.sql import SparkSession
 
+_local_dir: str | None = None
+
 
 def build_session(master: str | None = None, shuffle_partitions: int | None = None, **conf: str) -> SparkSession:
     """A session with adaptive execution and UTC timestamps.
@@ -40,9 +42,10 @@ def shared_dir(spark: SparkSession) -> str:
         return folder.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors can reach")
-    folder = tempfile.mkdtemp(prefix="framekiln-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    global _local_dir
+    if _local_dir is None:
+        _local_dir = tempfile.mkdtemp(prefix="framekiln-")
+    return _local_dir
 
 
 def fresh_path(spark: SparkSession, label: str) -> str:

@@ -121,28 +121,37 @@ def _header_at(stream, offset: int):
         return None
 
 
+def _member_start(stream, header: int) -> int:
+    """Where the member of a header begins: at the extension headers before it, if any."""
+    # An extension header has a body of a few blocks and directly precedes its member.
+    for body in range(1, 9):
+        before = header - BLOCK * (body + 1)
+        extra = _header_at(stream, before) if before >= 0 else None
+        if extra and extra.type in b"xgLK" and -(-extra.size // BLOCK) == body:
+            return _member_start(stream, before)
+    return header
+
+
 def first_member(stream, begin: int, size: int) -> int | None:
-    """Offset of the first member header at or after ``begin``.
+    """Offset of the first member that begins at or after ``begin``.
 
-    A header is known by its checksum and its ``ustar`` mark. Extension headers that
-    belong to the member and lie just before ``begin`` are included.
+    A header is known by its checksum and its ``ustar`` mark.
     """
     offset = -(-begin // BLOCK) * BLOCK
     while offset + BLOCK <= size:
         stream.seek(offset)
         window = stream.read(1 << 20)
         for at in range(0, len(window) - BLOCK + 1, BLOCK):
-            if window[at + 257 : at + 262] != b"ustar":
-                continue
-            here = offset + at
-            if _header_at(stream, here) is None:
+            if window[at + 257 : at + 262] != b"ustar" or _header_at(stream, offset + at) is None:
                 continue
-            for body in range(1, 9):
-                before = here - BLOCK * (body + 1)
-                extra = _header_at(stream, before) if before >= 0 else None
-                if extra and extra.type in b"xgLK" and -(-extra.size // BLOCK) == body:
-                    return before
-            return here
+            start = _member_start(stream, offset + at)
+            if start >= begin:
+                return start
+            # The cut lies between a member's headers: the next member is the first.
+            stream.seek(start)
+            archive = tarfile.open(fileobj=stream, mode="r:")
+            archive.next()
+            return archive.offset if archive.offset + BLOCK <= size and _header_at(stream, archive.offset) else None
         offset += max(len(window) // BLOCK, 1) * BLOCK
     return None
 
