@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Mapping, Sequence
 from dataclasses import dataclass
 
@@ -51,15 +52,39 @@ def aspect_ratio(height: Column, width: Column) -> Column:
     return F.try_divide(height.cast("double"), width.cast("double"))
 
 
+def _cuts(candidates: Sequence[float]) -> tuple[list[int], list[float]]:
+    """Candidate numbers in rising order, and the least ratio at which each but the first is nearest.
+
+    Between two neighbours the preference changes once, so the exact double at which
+    it does is found by bisection. Of equal candidates only the first counts.
+    """
+    order = sorted({c: i for i, c in reversed(list(enumerate(candidates)))}.values(), key=lambda i: candidates[i])
+    cuts = []
+    for i, j in zip(order, order[1:]):
+        low, high = candidates[i], candidates[j]
+        below, above = low, high
+        while math.nextafter(below, math.inf) < above:
+            middle = below + (above - below) / 2
+            to_low, to_high = middle - low, high - middle
+            if to_high < to_low or (to_high == to_low and j < i):
+                above = middle
+            else:
+                below = middle
+        cuts.append(above)
+    return order, cuts
+
+
 def _first_nearest(df: DataFrame, ratio: str, candidates: Sequence[float], out: str, limit: float) -> DataFrame:
-    # Two projections of plain comparisons: the least distance, then the first
-    # candidate that has it. Both stay in generated code, with no join or lambda.
-    # As SQL text the many terms take one call to the JVM.
-    gaps = [f"abs({_double(c)} - `{ratio}`)" for c in candidates]
-    least = f"least({', '.join(gaps)})" if len(gaps) > 1 else gaps[0]
-    cases = " ".join(f"WHEN {gap} = __gap THEN {i}" for i, gap in enumerate(gaps))
-    first = f"CASE WHEN __gap IS NULL OR NOT __gap < {_double(limit)} THEN NULL {cases} END"
-    return df.withColumn("__gap", F.expr(least)).withColumn(out, F.expr(first)).drop("__gap")
+    # A cascade of comparisons with constants: generated code without join or lambda,
+    # and linear in the bins also where a filter on the bucket repeats it.
+    values = [float(c) for c in candidates]
+    order, cuts = _cuts(values)
+    least, most = values[order[0]], values[order[-1]]
+    if any(values[j] - values[i] >= limit for i, j in zip(order, order[1:])):
+        raise ValueError(f"the limit {limit} is narrower than a gap between bins")
+    far = f"`{ratio}` IS NULL OR NOT {_double(least)} - `{ratio}` < {_double(limit)} OR NOT `{ratio}` - {_double(most)} < {_double(limit)}"
+    cases = " ".join(f"WHEN `{ratio}` < {_double(cut)} THEN {i}" for i, cut in zip(order, cuts))
+    return df.withColumn(out, F.expr(f"CASE WHEN {far} THEN NULL {cases} ELSE {order[-1]} END"))
 
 
 def nearest_bin(

@@ -1,3 +1,6 @@
+import math
+import random
+
 import pytest
 
 from framekiln.operators import batching, buckets, pairing, sampling, sharding
@@ -51,6 +54,20 @@ def test_nearest_bin_rules(spark):
     assert loose == [1.0, 1.0, 0.5, 0.6, 0.6, 0.6]
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_nearest_bin_equals_the_smallest_distance(spark, seed):
+    rng = random.Random(seed)
+    ratios = [rng.randrange(1, 40) / rng.choice([4, 7, 8, 10]) for _ in range(20)]
+    # Exact middles, their neighbours, and arbitrary values.
+    probes = [(a + b) / 2 for a in ratios for b in ratios] + [rng.uniform(0, 12) for _ in range(300)]
+    probes += [math.nextafter(p, side) for p in probes[:400] for side in (0.0, 99.0)]
+    bins = buckets.Bins(tuple((r, i, i) for i, r in enumerate(ratios)))
+    df = spark.createDataFrame([(p,) for p in probes], "ratio double")
+    for r in buckets.nearest_bin(df, bins, sizes=True).collect():
+        want = min(range(20), key=lambda i: (abs(ratios[i] - r.ratio), i))
+        assert (r.bucket, r.target_height) == (ratios[want], want)
+
+
 def test_bin_table_size_is_checked():
     with pytest.raises(ValueError):
         buckets.Bins.from_sizes([])
@@ -58,6 +75,12 @@ def test_bin_table_size_is_checked():
         buckets.Bins.from_sizes([(i + 1, 1) for i in range(buckets.MAX_BINS + 1)])
 
 
+def test_limit_must_cover_the_gaps(spark):
+    df = spark.createDataFrame([(1.0,)], "ratio double")
+    with pytest.raises(ValueError):
+        buckets.nearest_bin(df, buckets.Bins.from_sizes([(1, 1), (9, 1)]), limit=5.0)
+
+
 def test_zero_width_is_no_error(spark):
     df = spark.createDataFrame([(4, 0), (4, 2)], "height int, width int")
     got = df.select(buckets.aspect_ratio(df.height, df.width).alias("r")).collect()
