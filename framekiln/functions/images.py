@@ -9,6 +9,7 @@ from __future__ import annotations
 import struct
 import zlib
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -104,6 +105,7 @@ def default_decoder() -> Decoder:
     return lambda data: np.asarray(Image.open(io.BytesIO(data)).convert("RGB"))
 
 
+@lru_cache(maxsize=256)
 def _box(size: int, target: int) -> np.ndarray:
     # Triangle weights (target x size), widened when shrinking so that no source
     # pixel is skipped.
@@ -123,12 +125,13 @@ def resize_bilinear(pixels: np.ndarray, height: int, width: int) -> np.ndarray:
 
     x = pixels.astype(np.float64)
     if width != x.shape[1]:
-        x = rounded(np.einsum("ow,hwc->hoc", _box(x.shape[1], width), x))
+        x = rounded(_box(x.shape[1], width) @ x)
     if height != x.shape[0]:
-        x = rounded(np.einsum("oh,hwc->owc", _box(x.shape[0], height), x))
+        x = rounded(np.tensordot(_box(x.shape[0], height), x, axes=1))
     return x.astype(np.uint8)
 
 
+@lru_cache(maxsize=256)
 def _cubic(size: int, target: int) -> np.ndarray:
     # Cubic convolution weights (a = -0.75) on four neighbours, edges repeated.
     a = -0.75
@@ -146,7 +149,7 @@ def _cubic(size: int, target: int) -> np.ndarray:
 def resize_bicubic(channels_first: np.ndarray, height: int, width: int) -> np.ndarray:
     """Cubic resize of a (channel, height, width) float array, without smoothing."""
     rows, cols = _cubic(channels_first.shape[1], height), _cubic(channels_first.shape[2], width)
-    return np.einsum("oh,chw,pw->cop", rows, channels_first, cols, optimize=True)
+    return rows @ channels_first @ cols.T
 
 
 def model_input(pixels: np.ndarray, height: int, width: int) -> np.ndarray:

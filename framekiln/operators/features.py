@@ -67,12 +67,19 @@ def image_model(factory: Callable[[], Encoder], decoder: Callable[[], images.Dec
     return build
 
 
-def arranged(batches: DataFrame, batch: Sequence[str] = ("bucket", "batch_no"), slot: str = "slot") -> DataFrame:
+def arranged(
+    batches: DataFrame,
+    batch: Sequence[str] = ("bucket", "batch_no"),
+    slot: str = "slot",
+    tasks: int | None = None,
+) -> DataFrame:
     """Rows of a batch side by side, so an encoder call sees one image size.
 
-    Spread over batches, not over buckets: a hot bucket uses all tasks.
+    Spread over batches, not over buckets: a hot bucket uses all tasks. Give ``tasks``
+    where the rows are narrow and their images are fetched later.
     """
-    return batches.repartition(*batch).sortWithinPartitions(*batch, slot)
+    spread = batches.repartition(tasks, *batch) if tasks else batches.repartition(*batch)
+    return spread.sortWithinPartitions(*batch, slot)
 
 
 def valid_features(cache: DataFrame, error: str = "_error") -> DataFrame:

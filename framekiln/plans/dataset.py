@@ -13,14 +13,20 @@ from pyspark.sql import functions as F
 
 from framekiln.functions import fields
 from framekiln.operators import pairing, sharding
+from framekiln.session import written
 from framekiln.sources import tar
 
 
 def _has(spark: SparkSession, paths, members: Sequence[str]) -> DataFrame:
-    """The index of samples, with the names of the members each one has."""
-    return tar.tar_scan(spark, paths, fields=[]).filter(
-        F.forall(F.array(*[F.lit(m) for m in members]), lambda m: F.array_contains("members", m))
-    )
+    """The index of the samples that have these members.
+
+    It is written once, as numbering reads it more than once and a scan opens every
+    shard.
+    """
+    found = tar.tar_scan(spark, paths, fields=[])
+    for member in members:
+        found = found.filter(F.array_contains("members", member))
+    return written(found.select("shard", "shard_idx", "pos", "key", "bytes"), "index")
 
 
 def reshard(
@@ -35,9 +41,9 @@ def reshard(
 
     Samples that lack any of ``members`` are left out; keys are renumbered per shard.
     """
-    index = _has(spark, paths, members).select("shard", "shard_idx", "pos")
+    index = _has(spark, paths, members)
     dealt = sharding.shard_numbering(index, shard_size, drop_tail=drop_tail, block_rows=tar.BLOCK_UNITS)
-    fetched = tar.with_members(tar.by_shard(dealt), list(members))
+    fetched = tar.with_members(tar.by_shard(dealt, tar.fetch_tasks(index)), list(members))
     bodies = fetched.withColumns({m: fields.field(F.col("fields"), m) for m in members})
     tar.write_shards(bodies, out, list(members))
 
@@ -56,16 +62,14 @@ def build_captioned(
     The i-th caption shard in name order belongs to the i-th image shard; its JSON
     members hold ``key`` and the caption. The image's own key is kept.
     """
-    images = _has(spark, image_paths, [image]).select("shard", "shard_idx", "pos", "key")
+    images = _has(spark, image_paths, [image])
     json = tar.tar_scan(spark, caption_paths, fields=["json"]).select(
         "shard_idx", F.col("pos").alias("caption_pos"), fields.text_field(F.col("fields"), "json").alias("json")
     )
     captions = pairing.json_fields(json, F.col("json"), {"key": "string", caption_field: "string"})
     captions = captions.filter(F.col(caption_field).isNotNull()).withColumnRenamed(caption_field, "caption")
-    paired = pairing.caption_join(images, captions, position="caption_pos")
-    dealt = sharding.shard_numbering(
-        paired.select("shard", "shard_idx", "pos", "key", "caption"), shard_size, block_rows=tar.BLOCK_UNITS
-    )
-    fetched = tar.with_members(tar.by_shard(dealt), [image])
+    paired = written(pairing.caption_join(images, captions, position="caption_pos"), "paired")
+    dealt = sharding.shard_numbering(paired, shard_size, block_rows=tar.BLOCK_UNITS)
+    fetched = tar.with_members(tar.by_shard(dealt, tar.fetch_tasks(paired)), [image])
     bodies = fetched.withColumns({image: fields.field(F.col("fields"), image), "txt": F.col("caption")})
     tar.write_shards(bodies, out, [image, "txt"], key="key")

@@ -10,20 +10,24 @@ from pyspark.sql import functions as F
 from framekiln.functions import fields
 from framekiln.operators import batching, features, sharding
 from framekiln.operators.buckets import Bins, aspect_ratio, nearest_bin
+from framekiln.session import written
 from framekiln.sources import tar
 
 
 def image_index(spark: SparkSession, paths: str | list[str], bins: Bins, **rule: float) -> DataFrame:
     """The samples of shards with their nearest bin, from image headers only.
 
-    Samples without an image or a caption are left out. ``rule`` is the bin rule of ``nearest_bin``.
+    Samples without an image or a caption are left out. ``rule`` is the bin rule of
+    ``nearest_bin``. The index is written once: batching reads it more than once, and
+    a scan opens every shard.
     """
     index = tar.tar_scan(spark, paths, fields=[], sizes=True).filter(
         F.col("height").isNotNull() & F.array_contains("members", "txt")
     )
     rows = index.withColumn("ratio", aspect_ratio(F.col("height"), F.col("width")))
     placed = nearest_bin(rows, bins, sizes=True, **rule)
-    return placed.select("shard", "shard_idx", "pos", "key", "bucket", "target_height", "target_width")
+    columns = ["shard", "shard_idx", "pos", "key", "bytes", "bucket", "target_height", "target_width"]
+    return written(placed.select(*columns), "index")
 
 
 def encode_batches(
@@ -35,9 +39,11 @@ def encode_batches(
     latent_type: str = "array<float>",
     emb_type: str = "array<array<float>>",
     batch: Sequence[str] = ("bucket", "batch_no"),
+    tasks: int | None = None,
 ) -> DataFrame:
     """Fetch the members of batched index rows and add ``caption``, ``latent`` and ``emb``."""
-    fetched = tar.with_members(features.arranged(batches, batch), [*fields.IMAGE_EXTENSIONS, "txt"])
+    spread = features.arranged(batches, batch, tasks=tasks)
+    fetched = tar.with_members(spread, [*fields.IMAGE_EXTENSIONS, "txt"])
     ready = fetched.withColumns(
         {
             "caption": fields.text_field(F.col("fields")),
@@ -71,7 +77,9 @@ def precompute_features(
     index = image_index(spark, paths, bins, limit=100.0, fallback=0.6)
     batches = batching.bucket_batches(index, batch_size, block_rows=tar.BLOCK_UNITS)
     dealt = sharding.shard_numbering(batches, shard_size, digits=7, block_rows=tar.BLOCK_UNITS)
-    rows = encode_batches(dealt, image_factory, text_factory, batch_size, batch_size, latent_type, emb_type)
+    rows = encode_batches(
+        dealt, image_factory, text_factory, batch_size, batch_size, latent_type, emb_type, tasks=tar.fetch_tasks(index)
+    )
     features.write_features(
         rows.select(
             "shard_no", "shard_pos", F.col("shard_key").alias("key"), F.col("bucket").alias("ratio"), "latent", "emb"

@@ -34,5 +34,13 @@ def training_batches(
     """Encoded batches in step over ranks: ``rank, bucket, batch_no, slot, shard_idx, key, caption, latent, emb``."""
     index = rank_index(spark, paths, bins, ranks)
     batches = batching.sync_batches(index, ranks, batch_size, block_rows=tar.BLOCK_UNITS)
-    rows = encode_batches(batches, image_factory, text_factory, image_max, text_max, batch=("rank", "bucket", "batch_no"))
+    rows = encode_batches(
+        batches,
+        image_factory,
+        text_factory,
+        image_max,
+        text_max,
+        batch=("rank", "bucket", "batch_no"),
+        tasks=tar.fetch_tasks(index),
+    )
     return rows.select("rank", "bucket", "batch_no", "slot", "shard_idx", "key", "caption", "latent", "emb")

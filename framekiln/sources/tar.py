@@ -8,7 +8,8 @@ that share a name up to the first dot of the file name. Options:
                   ``s3://bucket/folder?endpoint_override=host``
 ``fields``        extensions whose bytes are wanted, separated by commas; the bodies
                   of other members are skipped, not read. ``*`` is all, empty is none.
-                  The column ``members`` names all extensions in any case
+                  The columns ``members`` (extensions) and ``bytes`` cover all members
+                  in any case
 ``sizes``         ``true`` reads image sizes from header bytes
 ``splitBytes``    shards larger than this are read by several tasks
 ``ignoreMissing`` ``true`` skips listed paths that do not exist
@@ -40,8 +41,8 @@ from framekiln.functions.fields import IMAGE_EXTENSIONS
 from framekiln.functions.images import header_size
 
 SCHEMA = (
-    "shard string, shard_idx int, pos bigint, key string, members array<string>, fields map<string, binary>, "
-    "height int, width int, _error string"
+    "shard string, shard_idx int, pos bigint, key string, members array<string>, bytes bigint, "
+    "fields map<string, binary>, height int, width int, _error string"
 )
 _ARROW = pa.schema(
     [
@@ -50,6 +51,7 @@ _ARROW = pa.schema(
         ("pos", pa.int64()),
         ("key", pa.string()),
         ("members", pa.list_(pa.string())),
+        ("bytes", pa.int64()),
         ("fields", pa.map_(pa.string(), pa.binary())),
         ("height", pa.int32()),
         ("width", pa.int32()),
@@ -58,6 +60,8 @@ _ARROW = pa.schema(
 )
 BLOCK = tarfile.BLOCKSIZE
 SPLIT_BYTES = 1 << 30
+# What one task should fetch and encode or write.
+TASK_BYTES = 512 << 20
 # Positions in a shard count 512-byte units, so row numbering should cut its blocks
 # this wide: one block holds the samples of at most one split's worth of bytes.
 BLOCK_UNITS = SPLIT_BYTES // BLOCK
@@ -202,6 +206,7 @@ class _Samples:
                 if row is None:
                     row = self._empty(split, member.offset, key)
                 row["members"].append(ext)
+                row["bytes"] += member.size
                 self._take(archive, member, ext, row)
         except (tarfile.TarError, EOFError, OSError) as problem:
             bad = row or self._empty(split, start, None)
@@ -233,6 +238,7 @@ class _Samples:
             "pos": offset // BLOCK,
             "key": key,
             "members": [],
+            "bytes": 0,
             "fields": {},
             "height": None,
             "width": None,
@@ -427,9 +433,20 @@ def tar_scan(
     return rows.filter("_error IS NOT NULL") if bad_samples == "only" else rows
 
 
-def by_shard(df: DataFrame) -> DataFrame:
+def fetch_tasks(index: DataFrame, task_bytes: int = TASK_BYTES) -> int:
+    """How many tasks should fetch the members of these rows, by the sum of ``bytes``.
+
+    The rows themselves are narrow, so left to adaptive execution a few tasks would
+    have to fetch everything.
+    """
+    total = index.agg(F.sum("bytes")).first()[0] or 0
+    return max(-(-total // task_bytes), index.sparkSession.sparkContext.defaultParallelism)
+
+
+def by_shard(df: DataFrame, tasks: int | None = None) -> DataFrame:
     """Rows of a new shard side by side, in order; a task holds whole shards."""
-    return df.repartition("shard_no").sortWithinPartitions("shard_no", "shard_pos")
+    spread = df.repartition(tasks, "shard_no") if tasks else df.repartition("shard_no")
+    return spread.sortWithinPartitions("shard_no", "shard_pos")
 
 
 def with_members(df: DataFrame, fields: list[str]) -> DataFrame:

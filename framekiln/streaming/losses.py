@@ -18,25 +18,34 @@ def running_loss(log: DataFrame, ranks: int, accumulation: int) -> DataFrame:
     )
 
 
-def step_losses(log: DataFrame, ranks: int, accumulation: int) -> DataFrame:
+def step_losses(log: DataFrame, ranks: int, accumulation: int, block: int = 256) -> DataFrame:
     """``step, loss`` once all micro-steps of all ranks have arrived, for append-only sinks.
 
-    The state of a step is one sum and one count, dropped when the step is complete.
+    A state key is a block of consecutive steps, so that one call handles many. It
+    holds a sum and a count for each step that is not complete.
     """
     needed = ranks * accumulation
 
     def add(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        total, rows = state.get if state.exists else (0.0, 0)
-        for part in parts:
-            total += float(part["loss"].sum())
-            rows += len(part)
-        if rows < needed:
-            state.update((total, rows))
-            return
-        state.remove()
-        yield pd.DataFrame({"step": [key[0]], "loss": [total / ranks]})
+        held = [part.groupby("step")["loss"].agg(total="sum", rows="count") for part in parts]
+        if state.exists:
+            steps, totals, rows = state.get
+            held.append(pd.DataFrame({"total": totals, "rows": rows}, index=pd.Index(steps, name="step")))
+        sums = pd.concat(held).groupby(level="step").sum()
+        whole = sums["rows"] >= needed
+        rest = sums[~whole]
+        state.update((rest.index.tolist(), rest["total"].tolist(), rest["rows"].tolist()))
+        yield pd.DataFrame({"step": sums.index[whole], "loss": sums["total"][whole].to_numpy() / ranks})
 
     steps = log.withColumn("step", F.floor(F.col("micro") / F.lit(accumulation)))
-    return steps.groupBy("step").applyInPandasWithState(
-        add, "step bigint, loss double", "total double, rows bigint", "append", GroupStateTimeout.NoTimeout
+    return (
+        steps.withColumn("__block", F.floor(F.col("step") / F.lit(block)))
+        .groupBy("__block")
+        .applyInPandasWithState(
+            add,
+            "step bigint, loss double",
+            "steps array<bigint>, totals array<double>, rows array<bigint>",
+            "append",
+            GroupStateTimeout.NoTimeout,
+        )
     )
