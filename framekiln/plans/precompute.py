@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framekiln.functions import fields
@@ -14,18 +14,24 @@ from framekiln.session import written
 from framekiln.sources import tar
 
 
-def image_index(spark: SparkSession, paths: str | list[str], bins: Bins, **rule: float) -> DataFrame:
-    """The samples of shards with their nearest bin, from image headers only.
+def nearest(bins: Bins, **rule: float) -> Callable[[DataFrame], DataFrame]:
+    """The usual way to place samples: the nearest bin, by the rule of ``nearest_bin``."""
+    return lambda rows: nearest_bin(rows, bins, sizes=True, **rule)
 
-    Samples without an image or a caption are left out. ``rule`` is the bin rule of
-    ``nearest_bin``. The index is written once: batching reads it more than once, and
-    a scan opens every shard.
+
+def image_index(spark: SparkSession, paths: str | list[str], place: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The samples of shards with their bucket and target size, from image headers only.
+
+    Samples without an image or a caption are left out. ``place`` adds ``bucket``,
+    ``target_height`` and ``target_width`` to rows with ``height``, ``width`` and
+    ``ratio``. The index is written once: batching reads it more than once, and a scan
+    opens every shard.
     """
     index = tar.tar_scan(spark, paths, fields=[], sizes=True).filter(
         F.col("height").isNotNull() & F.array_contains("members", "txt")
     )
     rows = index.withColumn("ratio", aspect_ratio(F.col("height"), F.col("width")))
-    placed = nearest_bin(rows, bins, sizes=True, **rule)
+    placed = place(rows)
     columns = ["shard", "shard_idx", "pos", "key", "bytes", "bucket", "target_height", "target_width"]
     return written(placed.select(*columns), "index")
 
@@ -40,13 +46,18 @@ def encode_batches(
     emb_type: str = "array<array<float>>",
     batch: Sequence[str] = ("bucket", "batch_no"),
     tasks: int | None = None,
+    caption: Callable[[Column], Column] | None = None,
 ) -> DataFrame:
-    """Fetch the members of batched index rows and add ``caption``, ``latent`` and ``emb``."""
+    """Fetch the members of batched index rows and add ``caption``, ``latent`` and ``emb``.
+
+    ``caption`` edits the caption before it is encoded.
+    """
     spread = features.arranged(batches, batch, tasks=tasks)
     fetched = tar.with_members(spread, [*fields.IMAGE_EXTENSIONS, "txt"])
+    text = fields.text_field(F.col("fields"))
     ready = fetched.withColumns(
         {
-            "caption": fields.text_field(F.col("fields")),
+            "caption": caption(text) if caption else text,
             "picture": F.struct(
                 fields.first_present(F.col("fields")).alias("image"),
                 F.col("target_height").alias("height"),
@@ -72,13 +83,22 @@ def precompute_features(
     shard_size: int,
     latent_type: str = "array<float>",
     emb_type: str = "array<array<float>>",
+    caption: Callable[[Column], Column] | None = None,
 ) -> None:
     """Encode full batches and write ``shard_no, key, ratio, latent, emb`` as Parquet."""
-    index = image_index(spark, paths, bins, limit=100.0, fallback=0.6)
+    index = image_index(spark, paths, nearest(bins, limit=100.0, fallback=0.6))
     batches = batching.bucket_batches(index, batch_size, block_rows=tar.BLOCK_UNITS)
     dealt = sharding.shard_numbering(batches, shard_size, digits=7, block_rows=tar.BLOCK_UNITS)
     rows = encode_batches(
-        dealt, image_factory, text_factory, batch_size, batch_size, latent_type, emb_type, tasks=tar.fetch_tasks(index)
+        dealt,
+        image_factory,
+        text_factory,
+        batch_size,
+        batch_size,
+        latent_type,
+        emb_type,
+        tasks=tar.fetch_tasks(index),
+        caption=caption,
     )
     features.write_features(
         rows.select(

@@ -2,20 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framekiln.operators import batching, features, sharding
 from framekiln.operators.buckets import Bins
-from framekiln.plans.precompute import encode_batches, image_index
+from framekiln.plans.precompute import encode_batches, image_index, nearest
 from framekiln.sources import tar
 
 
-def rank_index(spark: SparkSession, paths: str | list[str], bins: Bins, ranks: int) -> DataFrame:
+def rank_index(
+    spark: SparkSession, paths: str | list[str], ranks: int, place: Callable[[DataFrame], DataFrame]
+) -> DataFrame:
     """The image index with the rank that reads each shard."""
-    index = image_index(spark, paths, bins)
+    index = image_index(spark, paths, place)
     shards = spark.range(tar.count_shards(paths)).select(F.col("id").cast("int").alias("shard_idx"))
     return index.join(sharding.rank_ranges(shards, ranks, number="shard_idx"), "shard_idx")
 
@@ -30,9 +32,15 @@ def training_batches(
     text_factory: Callable[[], features.Encoder],
     image_max: int,
     text_max: int,
+    place: Callable[[DataFrame], DataFrame] | None = None,
+    caption: Callable[[Column], Column] | None = None,
 ) -> DataFrame:
-    """Encoded batches in step over ranks: ``rank, bucket, batch_no, slot, shard_idx, key, caption, latent, emb``."""
-    index = rank_index(spark, paths, bins, ranks)
+    """Encoded batches in step over ranks: ``rank, bucket, batch_no, slot, shard_idx, key, caption, latent, emb``.
+
+    ``place`` replaces the choice of bucket (see ``image_index``) and ``caption`` edits
+    captions before they are encoded.
+    """
+    index = rank_index(spark, paths, ranks, place or nearest(bins))
     batches = batching.sync_batches(index, ranks, batch_size, block_rows=tar.BLOCK_UNITS)
     rows = encode_batches(
         batches,
@@ -42,5 +50,13 @@ def training_batches(
         text_max,
         batch=("rank", "bucket", "batch_no"),
         tasks=tar.fetch_tasks(index),
+        caption=caption,
     )
     return rows.select("rank", "bucket", "batch_no", "slot", "shard_idx", "key", "caption", "latent", "emb")
+
+
+def feature_batches(
+    features_table: DataFrame, batch_size: int, order: Sequence[str] = ("shard_no", "shard_pos"), rank: str | None = None
+) -> DataFrame:
+    """Full batches of one ratio from precomputed features."""
+    return batching.bucket_batches(features_table, batch_size, "ratio", order, rank)

@@ -73,27 +73,29 @@ HEADER_BYTES = 1 << 16
 
 def open_store(path: str) -> tuple[pafs.FileSystem, str]:
     """The Arrow file system of a path or URI, and the path inside it."""
-    if "://" in path or path.startswith("file:"):
-        return pafs.FileSystem.from_uri(path.replace("file:/", "file:///", 1) if path.startswith("file:/") and not path.startswith("file://") else path)
+    if path.startswith("file:/") and not path.startswith("file://"):
+        path = "file://" + path[len("file:") :]
+    if "://" in path:
+        # Spark's name for the S3 connector.
+        return pafs.FileSystem.from_uri("s3" + path[len("s3a") :] if path.startswith("s3a://") else path)
     return pafs.LocalFileSystem(), os.path.abspath(path)
 
 
 def expand(path: str) -> list[tuple[str, int]]:
     """(path, size) of the tar files at a file, folder or glob; empty when missing."""
-    store, inside = open_store(path)
-    prefix = path[: len(path) - len(inside)] if path.endswith(inside) else ""
-    if any(c in inside for c in "*?["):
-        folder = inside.rsplit("/", 1)[0]
-        found = store.get_file_info(pafs.FileSelector(folder, allow_not_found=True))
-        files = [f for f in found if f.is_file and fnmatch.fnmatchcase(f.path, inside)]
-    else:
-        info = store.get_file_info(inside)
-        if info.type == pafs.FileType.Directory:
-            found = store.get_file_info(pafs.FileSelector(inside))
-            files = [f for f in found if f.is_file and f.path.endswith(".tar")]
-        else:
-            files = [info] if info.is_file else []
-    return sorted((prefix + f.path, f.size) for f in files)
+    base, mark, query = path.partition("?") if "://" in path else (path, "", "")
+    pattern = base.rsplit("/", 1)[-1]
+    globbed = any(c in pattern for c in "*?[")
+    if globbed:
+        base = base[: -len(pattern)].rstrip("/")
+    store, inside = open_store(base + mark + query)
+    prefix = base[: len(base) - len(inside)] if base.endswith(inside) else ""
+    info = store.get_file_info(inside)
+    files = [info]
+    if info.type == pafs.FileType.Directory:
+        files = store.get_file_info(pafs.FileSelector(inside))
+        files = [f for f in files if fnmatch.fnmatchcase(f.base_name, pattern if globbed else "*.tar")]
+    return sorted((prefix + f.path + mark + query, f.size) for f in files if f.is_file)
 
 
 def count_shards(paths: str | list[str]) -> int:

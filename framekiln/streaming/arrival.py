@@ -46,6 +46,8 @@ def arriving_shards(
         F.explode(begins).alias("begin"),
         "length",
     )
+    # Pieces of one large shard go to different tasks.
+    splits = splits.repartition("path", "begin")
     options = {
         "path": "",
         "fields": "*" if fields is None else ",".join(fields),

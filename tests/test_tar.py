@@ -5,7 +5,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from framekiln.functions import fields
+from framekiln.functions import captions, fields
+from framekiln.operators.buckets import Bins
+from framekiln.plans import training
 from framekiln.sources import tar
 from workload.media import png_bytes
 
@@ -51,6 +53,36 @@ def test_samples(spark, folder):
     assert got["a"].pos == 0 < got["b"].pos
 
 
+def test_uris_and_globs(spark, folder):
+    assert tar.tar_scan(spark, f"file://{folder}").select("key").distinct().count() == 6 + 1
+    assert tar.count_shards([f"file://{folder}/shard-00000[01].tar", folder]) == 4
+
+
+def test_hooks_of_the_training_plan(spark, tmp_path):
+    """Subject training: own buckets and own captions."""
+    write_tar(tmp_path / "shard-000000.tar", [m for i in range(6) for m in ((f"{i}.png", PNG), (f"{i}.txt", b"a dog"))])
+
+    def place(rows):
+        return rows.withColumns({"bucket": F.lit(7.0), "target_height": F.lit(2), "target_width": F.lit(2)})
+
+    rows = training.training_batches(
+        spark,
+        str(tmp_path),
+        Bins.from_sizes([(1, 1)]),
+        2,
+        4,
+        lambda: lambda pictures: [[float(p.shape[1])] for p in pictures],
+        lambda: lambda texts: [[[float(len(t))]] for t in texts],
+        2,
+        3,
+        place=place,
+        caption=lambda text: captions.class_label(text, "dog", "sks"),
+    ).collect()
+    # One shard and two ranks: both read it, and each fills one batch of four.
+    assert sorted((r["rank"], r.slot, r.key) for r in rows) == [(k, i, str(i)) for k in range(2) for i in range(4)]
+    assert {(r.bucket, r.caption, r.emb[0][0]) for r in rows} == {(7.0, "a sks dog", 9.0)}
+
+
 def test_required_and_first_present(spark, folder):
     rows = tar.tar_scan(spark, folder).select(
         "key", fields.first_present(F.col("fields")).alias("image"), fields.text_field(F.col("fields")).alias("caption")

@@ -267,15 +267,37 @@ dealt AS (SELECT *, row_number() OVER (ORDER BY shard_idx, pos) - 1 AS i FROM bu
 SELECT i // 64 AS shard_no, printf('%07d', i % 64) AS key, round(bucket, 6) AS ratio, length(caption) AS latent0 FROM dealt""",
 )
 def feature_write(spark, sf_dir):
+    back = written_features(spark, sf_dir, "features")
+    return back.select("shard_no", "key", F.round("ratio", 6).alias("ratio"), F.col("latent")[0].alias("latent0"))
+
+
+def written_features(spark, sf_dir, label):
     rows = samples(spark, sf_dir).withColumn("ratio", buckets.aspect_ratio(F.col("height"), F.col("width")))
     placed = buckets.nearest_bin(rows, BINS).select("shard_idx", "pos", "bucket", F.array(F.length("caption")).alias("latent"))
     dealt = sharding.shard_numbering(placed, SHARD_SIZE, digits=7)
-    path = fresh_path(spark, "features")
+    path = fresh_path(spark, label)
     features.write_features(
         dealt.select("shard_no", "shard_pos", F.col("shard_key").alias("key"), F.col("bucket").alias("ratio"), "latent"), path
     )
-    back = spark.read.schema("shard_no long, key string, latent array<int>, ratio double").parquet(path)
-    return back.select("shard_no", "key", F.round("ratio", 6).alias("ratio"), F.col("latent")[0].alias("latent0"))
+    return spark.read.schema("shard_no long, key string, latent array<int>, ratio double").parquet(path)
+
+
+@query(
+    "feature_batches",
+    f"""WITH {BUCKETED_SQL},
+numbered AS (
+  SELECT *, row_number() OVER (PARTITION BY bucket ORDER BY shard_idx, pos) - 1 AS i,
+         count(*) OVER (PARTITION BY bucket) AS n FROM bucketed_v)
+SELECT round(bucket, 6) AS ratio, i // 8 AS batch_no, i % 8 AS slot, length(caption) AS latent0
+FROM numbered WHERE i // 8 < n // 8""",
+)
+def feature_batches(spark, sf_dir):
+    """Batches from a feature table written in shards."""
+    rows = written_features(spark, sf_dir, "features-batched")
+    keyed = rows.withColumn("shard_pos", F.col("key").cast("long"))
+    return training.feature_batches(keyed, BATCH).select(
+        F.round("ratio", 6).alias("ratio"), "batch_no", "slot", F.col("latent")[0].alias("latent0")
+    )
 
 
 @query(
