@@ -9,7 +9,6 @@ from __future__ import annotations
 import struct
 import zlib
 from collections.abc import Callable, Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -105,16 +104,33 @@ def default_decoder() -> Decoder:
     return lambda data: np.asarray(Image.open(io.BytesIO(data)).convert("RGB"))
 
 
-@lru_cache(maxsize=256)
-def _box(size: int, target: int) -> np.ndarray:
-    # Triangle weights (target x size), widened when shrinking so that no source
-    # pixel is skipped.
+def _triangle(size: int, target: int) -> tuple[np.ndarray, np.ndarray]:
+    """Source places and weights (target x taps), widened when shrinking so that no pixel is skipped."""
     step = size / target
     reach = max(step, 1.0)
     centres = (np.arange(target) + 0.5) * step
-    gaps = np.abs(np.arange(size)[None, :] + 0.5 - centres[:, None]) / reach
-    weights = np.clip(1.0 - gaps, 0.0, None)
-    return weights / weights.sum(axis=1, keepdims=True)
+    first = np.floor(centres - reach).astype(int)
+    places = first[:, None] + np.arange(int(np.ceil(2 * reach)) + 2)
+    weights = np.clip(1.0 - np.abs(places + 0.5 - centres[:, None]) / reach, 0.0, None)
+    weights[(places < 0) | (places >= size)] = 0.0
+    return np.clip(places, 0, size - 1), weights / weights.sum(axis=1, keepdims=True)
+
+
+def _cubic(size: int, target: int) -> tuple[np.ndarray, np.ndarray]:
+    """Source places and weights (target x 4) of cubic convolution with a = -0.75, edges repeated."""
+    a = -0.75
+    at = (np.arange(target) + 0.5) * size / target - 0.5
+    places = np.floor(at).astype(int)[:, None] + np.arange(-1, 3)
+    d = np.abs(at[:, None] - places)
+    near = ((a + 2) * d - (a + 3)) * d * d + 1
+    far = ((a * d - 5 * a) * d + 8 * a) * d - 4 * a
+    return np.clip(places, 0, size - 1), np.where(d <= 1, near, far)
+
+
+def _weighted(x: np.ndarray, axis: int, places: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    shape = [1] * x.ndim
+    shape[axis] = len(places)
+    return sum(np.take(x, places[:, k], axis) * weights[:, k].reshape(shape) for k in range(places.shape[1]))
 
 
 def resize_bilinear(pixels: np.ndarray, height: int, width: int) -> np.ndarray:
@@ -125,31 +141,16 @@ def resize_bilinear(pixels: np.ndarray, height: int, width: int) -> np.ndarray:
 
     x = pixels.astype(np.float64)
     if width != x.shape[1]:
-        x = rounded(_box(x.shape[1], width) @ x)
+        x = rounded(_weighted(x, 1, *_triangle(x.shape[1], width)))
     if height != x.shape[0]:
-        x = rounded(np.tensordot(_box(x.shape[0], height), x, axes=1))
+        x = rounded(_weighted(x, 0, *_triangle(x.shape[0], height)))
     return x.astype(np.uint8)
 
 
-@lru_cache(maxsize=256)
-def _cubic(size: int, target: int) -> np.ndarray:
-    # Cubic convolution weights (a = -0.75) on four neighbours, edges repeated.
-    a = -0.75
-    at = (np.arange(target) + 0.5) * size / target - 0.5
-    base = np.floor(at).astype(int)
-    weights = np.zeros((target, size))
-    for offset in (-1, 0, 1, 2):
-        d = np.abs(at - (base + offset))
-        near = ((a + 2) * d - (a + 3)) * d * d + 1
-        far = ((a * d - 5 * a) * d + 8 * a) * d - 4 * a
-        np.add.at(weights, (np.arange(target), np.clip(base + offset, 0, size - 1)), np.where(d <= 1, near, far))
-    return weights
-
-
 def resize_bicubic(channels_first: np.ndarray, height: int, width: int) -> np.ndarray:
     """Cubic resize of a (channel, height, width) float array, without smoothing."""
-    rows, cols = _cubic(channels_first.shape[1], height), _cubic(channels_first.shape[2], width)
-    return rows @ channels_first @ cols.T
+    tall = _weighted(channels_first, 1, *_cubic(channels_first.shape[1], height))
+    return _weighted(tall, 2, *_cubic(channels_first.shape[2], width))
 
 
 def model_input(pixels: np.ndarray, height: int, width: int) -> np.ndarray:

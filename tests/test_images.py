@@ -93,3 +93,17 @@ def test_image_source_rows(spark, tmp_path):
     rows = spark.read.format("image").load(str(tmp_path))
     got = rows.select(images.from_image_source(F.col("image")).alias("x")).first().x
     assert got == pixels.ravel().tolist()
+
+
+@pytest.mark.parametrize("size, target", [(7, 3), (3, 7), (9, 4), (4, 4), (5, 1)])
+def test_bilinear_equals_the_formula(size, target):
+    line = np.random.default_rng(size).integers(0, 256, size).astype(float)
+    step = size / target
+    reach = max(step, 1.0)
+    want = []
+    for i in range(target):
+        weights = [max(0.0, 1 - abs(x + 0.5 - (i + 0.5) * step) / reach) for x in range(size)]
+        want.append(np.floor(np.dot(weights, line) / sum(weights) + 0.5))
+    pixels = np.repeat(line.astype(np.uint8)[None, :, None], 3, axis=2)
+    got = images.resize_bilinear(pixels, 1, target)[0, :, 0]
+    assert np.abs(got - np.array(want)).max() == 0

@@ -85,7 +85,7 @@ tagged AS (
 @query(
     "tag_tokens",
     f"""WITH {TAGS_SQL}
-SELECT key, pos, count(*) AS words, sum(length(w)) AS letters FROM tagged GROUP BY ALL""",
+SELECT key, pos, count(*) AS words, sum(length(w))::BIGINT AS letters FROM tagged GROUP BY ALL""",
 )
 def tag_tokens(spark, sf_dir):
     rows = samples(spark, sf_dir).select("key", C.tag_tokens(word_tagger)(F.col("caption")).alias("tagged"))
