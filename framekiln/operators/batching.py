@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from framekiln.functions.draws import draw_hex, hex_block
@@ -53,16 +53,18 @@ def sync_batches(
     """Batches kept in step over ranks, without loss inside a batch.
 
     Batch n of a bucket exists only if every rank can fill it, so all ranks get the
-    same number of batches per bucket.
+    same number of batches per bucket. The shared number comes with the row numbers, so
+    rows are shuffled once.
     """
-    shared = (
-        df.groupBy(bucket, rank)
-        .agg(F.floor(F.count(F.lit(1)) / F.lit(batch_size)).alias("__whole"))
-        .groupBy(bucket)
-        .agg(F.when(F.count(F.lit(1)) == ranks, F.min("__whole")).otherwise(F.lit(0)).alias("__shared"))
-    )
-    batches = bucket_batches(df, batch_size, bucket, order, rank, block_rows)
-    return batches.join(shared, bucket).filter(F.col("batch_no") < F.col("__shared")).drop("__shared")
+    def shared(blocks: DataFrame) -> DataFrame:
+        # One row per block: the least whole number of batches over all ranks.
+        same = Window.partitionBy(bucket)
+        whole = F.floor(F.min("__total").over(same) / F.lit(batch_size))
+        present = F.size(F.collect_set(rank).over(same)) == ranks
+        return blocks.withColumn("__shared", F.when(present, whole).otherwise(F.lit(0)))
+
+    numbered = with_ordinal(df, order, [rank, bucket], "__at", "__total", block_rows=block_rows, extend=shared)
+    return _slots(numbered, batch_size).filter(F.col("batch_no") < F.col("__shared")).drop("__shared")
 
 
 def repeat_batches(

@@ -14,7 +14,7 @@ than one block of one group.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -30,6 +30,7 @@ def with_ordinal(
     total: str | None = None,
     blocks: Sequence[Column] | None = None,
     block_rows: int = BLOCK_ROWS,
+    extend: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
     """Add the 0-based position of each row in its group, and the group's size.
 
@@ -38,6 +39,9 @@ def with_ordinal(
     while the columns before it are whole block keys. ``blocks`` replaces that rule
     with any columns that never fall while the order rises. Choose ``block_rows`` so
     that a block of full-width rows is a fair size for one task.
+
+    ``extend`` may add columns to the table of blocks (group columns and ``total``);
+    they reach the rows through the same join.
     """
     if blocks is None:
         blocks = [F.col(c) for c in order[:-1]]
@@ -54,13 +58,17 @@ def with_ordinal(
         F.coalesce(F.sum("__rows").over(before), F.lit(0)).alias("__offset"),
         *([F.sum("__rows").over(by_group).alias(total)] if total else []),
     )
+    known = set(offsets.columns)
+    if extend:
+        offsets = extend(offsets)
+    added = [c for c in offsets.columns if c not in known]
     inside = Window.partitionBy(*keys).orderBy(*order)
     numbered = cut.withColumn("__inside", F.row_number().over(inside) - 1)
     return (
         numbered.join(offsets, keys)
         .withColumn(name, F.col("__offset") + F.col("__inside"))
         .drop("__inside", "__offset", *block_names)
-        .select(*df.columns, name, *([total] if total else []))
+        .select(*df.columns, name, *([total] if total else []), *added)
     )
 
 

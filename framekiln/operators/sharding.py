@@ -55,6 +55,17 @@ def shard_numbering(
     return dealt.withColumn("shard_key", rekey(F.col("shard_pos"), digits)).drop("__at", "__total")
 
 
+def readers(number: Column, shards: int | Column, ranks: int, when_few: str = "all") -> Column:
+    """The ranks that read a shard, as an array; see ``rank_ranges``."""
+    if when_few not in ("all", "last"):
+        raise ValueError("when_few is 'all' or 'last'")
+    count = shards if isinstance(shards, Column) else F.lit(shards)
+    each = F.floor(count / F.lit(ranks))
+    own = F.least(F.floor(F.try_divide(number, each)).cast("int"), F.lit(ranks - 1))
+    few = F.sequence(F.lit(0 if when_few == "all" else ranks - 1), F.lit(ranks - 1))
+    return F.when(each == 0, few).otherwise(F.array(own))
+
+
 def rank_ranges(shards: DataFrame, ranks: int, number: str = "shard_no", when_few: str = "all") -> DataFrame:
     """Give each rank a contiguous range of the numbered shards; adds ``rank``.
 
@@ -63,14 +74,8 @@ def rank_ranges(shards: DataFrame, ranks: int, number: str = "shard_no", when_fe
     shard (training), or only the ``last`` rank does (feature extraction).
     ``number`` counts the shards from 0 without gaps, as ``shard_numbering`` does.
     """
-    if when_few not in ("all", "last"):
-        raise ValueError("when_few is 'all' or 'last'")
     count = shards.agg(F.count(F.lit(1))).scalar()
-    counted = shards.withColumn("__each", F.floor(count / F.lit(ranks)))
-    own = F.least(F.try_divide(F.col(number), F.col("__each")).cast("int"), F.lit(ranks - 1))
-    few = F.sequence(F.lit(0 if when_few == "all" else ranks - 1), F.lit(ranks - 1))
-    readers = F.when(F.col("__each") == 0, few).otherwise(F.array(own))
-    return counted.withColumn("rank", F.explode(readers)).drop("__each")
+    return shards.withColumn("rank", F.explode(readers(F.col(number), count, ranks, when_few)))
 
 
 def every_rank(shards: DataFrame, ranks: int) -> DataFrame:

@@ -18,8 +18,8 @@ def rank_index(
 ) -> DataFrame:
     """The image index with the rank that reads each shard."""
     index = image_index(spark, paths, place)
-    shards = spark.range(tar.count_shards(paths)).select(F.col("id").cast("int").alias("shard_idx"))
-    return index.join(sharding.rank_ranges(shards, ranks, number="shard_idx"), "shard_idx")
+    ranks_of = sharding.readers(F.col("shard_idx"), tar.count_shards(paths), ranks)
+    return index.withColumn("rank", F.explode(ranks_of))
 
 
 def training_batches(

@@ -38,15 +38,27 @@ def test_counting_reads_only_its_columns(spark, sf_dir):
     assert schemas and all("text" not in s and "lang" not in s for s in schemas)
 
 
-def test_rows_are_shuffled_once_for_batches(spark, sf_dir):
-    """Without broadcasts the join reuses the window's partitioning."""
+@pytest.mark.parametrize(
+    "query, column",
+    [
+        (batches.bucket_batches_lineitem, "l_partkey"),
+        (batches.bucket_batches, "key"),
+        (batches.rank_batches, "key"),
+        (batches.sync_batches, "key"),
+        (batches.repeat_batches, "key"),
+        (shards.shard_numbering, "key"),
+        (shards.epoch_cycle, "key"),
+    ],
+)
+def test_rows_are_shuffled_once(spark, sf_dir, query, column):
+    """Without broadcasts the join with the offsets reuses the window's partitioning."""
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        text = plan(batches.bucket_batches_lineitem(spark, sf_dir))
+        text = plan(query(spark, sf_dir))
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
-    wide = re.findall(r"\(\d+\) Exchange\nInput \[\d+\]: \[(.*)\]", text)
-    assert sum("l_partkey" in columns for columns in wide) == 1
+    inputs = re.findall(r"\(\d+\) Exchange\nInput \[\d+\]: \[(.*)\]", text)
+    assert sum(f" {column}#" in f" {columns}" for columns in inputs) == 1
 
 
 def test_row_windows_are_cut_into_blocks(spark, sf_dir):
