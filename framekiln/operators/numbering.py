@@ -34,7 +34,8 @@ def with_ordinal(
 ) -> DataFrame:
     """Add the 0-based position of each row in its group, and the group's size.
 
-    ``order`` must be a total order in the group, without nulls. By default its last
+    ``order`` must be a total order in the group; neither it nor ``group`` may hold
+    nulls, as every bucket, rank and position is known here. By default its last
     column is an integer position that is cut into blocks of ``block_rows`` values,
     while the columns before it are whole block keys. ``blocks`` replaces that rule
     with any columns that never fall while the order rises. Choose ``block_rows`` so
