@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framekiln.llm import simhash
+from framekiln.llm import packing, simhash
 from framekiln.llm.common import table
 
 QUERIES: dict = {}
@@ -28,3 +28,9 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     text = F.lpad(F.lower(F.hex("fp")), 16, "0")
     return found.select("doc_id", text.alias("fingerprint"), "component_id")
+
+
+@query("op9_packing")
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of every document in sequences of at most 1024 ids."""
+    return packing.pack_documents(table(spark, sf_dir, "documents"))
