@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framekiln.llm import packing, simhash, winnowing
+from framekiln.llm import packing, quality, simhash, winnowing
 from framekiln.llm.common import table
 
 QUERIES: dict = {}
@@ -65,3 +65,9 @@ FROM d LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id)
 def op10_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every document inside any window of 10 words of a benchmark item."""
     return winnowing.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op7_quality")
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document, learnt from labels outside the held-out fifth."""
+    return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
