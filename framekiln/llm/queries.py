@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framekiln.llm import packing, quality, simhash, winnowing
+from framekiln.llm import lm, packing, quality, simhash, winnowing
 from framekiln.llm.common import table
 
 QUERIES: dict = {}
@@ -22,6 +22,12 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+@query("op3_lm")
+def op3_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """log10 probability of every document under a model of nine tenths of them."""
+    return lm.scored(table(spark, sf_dir, "documents"))
+
+
 @query("op6_simhash")
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of 3-word shingles and their groups within 3 bits."""
