@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framekiln.llm import lm, packing, quality, simhash, winnowing
+from framekiln.llm import lm, packing, pii, quality, simhash, winnowing
 from framekiln.llm.common import table
 
 QUERIES: dict = {}
@@ -28,6 +28,12 @@ def op3_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.scored(table(spark, sf_dir, "documents"))
 
 
+@query("op5_pii")
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document: exact spans and those that the trees add."""
+    return pii.detect(table(spark, sf_dir, "documents"))
+
+
 @query("op6_simhash")
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of 3-word shingles and their groups within 3 bits."""
