@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framekiln.llm import lm, packing, pii, quality, simhash, winnowing
+from framekiln.llm import lm, packing, pii, quality, simhash, vectors, winnowing
 from framekiln.llm.common import table
 
 QUERIES: dict = {}
@@ -42,6 +42,26 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", text.alias("fingerprint"), "component_id")
 
 
+_OP8 = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS x FROM embeddings
+  WHERE label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda y: y IS NULL OR NOT isfinite(y))) = 0
+    AND len(list_filter(embedding, lambda y: y <> 0)) > 0),
+e AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.x) = len(b.x)
+  WHERE list_cosine_similarity(a.x, b.x) >= 0.93),
+r AS (SELECT vec_id AS a, vec_id AS c FROM embeddings UNION SELECT e.b, r.c FROM r JOIN e ON e.a = r.a),
+m AS (SELECT a AS vec_id, min(c) AS component_id FROM r GROUP BY 1)
+SELECT vec_id, (SELECT count(*) FROM e WHERE e.a = m.vec_id) AS n_links, component_id, vec_id = component_id AS kept FROM m
+"""
+
+
+@query("op8_vectors", _OP8)
+def op8_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors of equal label with a cosine of 0.93 or more, and their groups."""
+    return vectors.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 @query("op9_packing")
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of every document in sequences of at most 1024 ids."""
