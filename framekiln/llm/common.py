@@ -68,24 +68,25 @@ def mixed(x: np.ndarray) -> np.ndarray:
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
 _TABLE = np.random.default_rng(20240607).integers(1, 1 << 63, (32, 256), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_TABLE[:, _SPACE] = 0
+# Everything in ASCII but digits and letters; bytes of other characters belong to words.
+MARKS = np.arange(256) < 128
+MARKS[[*range(48, 58), *range(65, 91), *range(97, 123)]] = False
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
 class Tokens:
-    """Words (runs without ASCII white space, A-Z lowered) of a list of texts, as arrays.
+    """Words (runs without ASCII white space, or without ``separators``; A-Z lowered) of texts, as arrays.
 
     ``hash`` has a 64-bit hash per word, ``doc`` the index of its text, ``start`` and
     ``end`` its place in ``data``; ``first`` has the first word of each text, and one more entry.
     """
 
-    def __init__(self, texts: list[bytes]) -> None:
+    def __init__(self, texts: list[bytes], separators: np.ndarray = _SPACE) -> None:
         self.data = b"\n".join(texts).lower() + b"\n"
         data = np.frombuffer(self.data, np.uint8)
         begins = np.zeros(len(texts) + 1, np.int64)
         np.cumsum([len(t) + 1 for t in texts], out=begins[1:])
-        space = _SPACE[data]
-        word = ~space
+        word = ~separators[data]
         edge = np.diff(word.astype(np.int8), prepend=0)
         self.start = np.flatnonzero(edge == 1)
         self.end = np.flatnonzero(edge == -1)
@@ -99,6 +100,7 @@ class Tokens:
         origin[self.start] = self.start
         at = np.arange(len(data)) - np.maximum.accumulate(origin)
         value = _TABLE[at & 31, data]
+        value[~word] = 0
         if length.max() > 32:
             block = at >> 5
             far = (block > 0) & word

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framekiln.llm import lm, packing, pii, quality, simhash, vectors, winnowing
+from framekiln.llm import lm, packing, pii, quality, simhash, toxicity, vectors, winnowing
 from framekiln.llm.common import table
 
 QUERIES: dict = {}
@@ -28,6 +28,12 @@ def op3_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.scored(table(spark, sf_dir, "documents"))
 
 
+@query("op4_toxicity")
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, learnt from labels outside the held-out quarter."""
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 @query("op5_pii")
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in every document: exact spans and those that the trees add."""
