@@ -93,7 +93,7 @@ class Tokens:
         self.first = np.searchsorted(self.start, begins)
         self.doc = np.repeat(np.arange(len(texts)), np.diff(self.first))
         if not len(self.start):
-            self.hash = np.zeros(0, np.uint64)
+            self.hash = self._value = np.zeros(0, np.uint64)
             return
         length = self.end - self.start
         origin = np.zeros(len(data), np.int64)
@@ -105,8 +105,20 @@ class Tokens:
             block = at >> 5
             far = (block > 0) & word
             value[far] *= mixed(block[far].astype(np.uint64) * _STEP) | np.uint64(1)
+        self._value = value
         self.hash = mixed(np.add.reduceat(value, self.start) + length.astype(np.uint64) * _STEP)
 
+    def beginnings(self, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """(doc, hash) of the first ``size`` bytes of each word that is longer."""
+        longer = np.flatnonzero(self.end - self.start > size)
+        if not len(longer):
+            return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        start = self.start[longer]
+        value = self._value[start].copy()
+        for i in range(1, size):
+            value += self._value[start + i]
+        return self.doc[longer], mixed(value + np.array([size], np.uint64) * _STEP + np.uint64(1))
+
 
 def isotonic(score: np.ndarray, label: np.ndarray, weight: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Non-decreasing steps through (score, label): pool adjacent violators.

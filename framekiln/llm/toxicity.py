@@ -1,7 +1,7 @@
 """Toxicity from the nearest labelled examples under exact TF-IDF cosine.
 
 At most about ``EXAMPLES`` labelled documents, drawn by a hash of their id, are the examples. The
-vocabulary is the ``TERMS`` words that stand out most in toxic examples (likelihood ratio) and occur in a
+vocabulary is the ``TERMS`` words and word beginnings that stand out most in toxic examples (likelihood ratio) and occur in a
 fair share of them. The examples' unit vectors form an inverted index: postings by term, cut into blocks of
 ``BLOCK`` examples, with the largest weight of each term and block. A query adds up these maxima to
 bounds by block, visits blocks from the highest bound, and ends when no bound reaches the k-th
@@ -37,17 +37,33 @@ BLOCK = 64
 NEIGHBOURS = 15
 THRESHOLD = 0.3
 MEMORY = 50_000
+# Beginnings of longer words stand for their stems.
+BEGINNINGS = (5, 6, 7, 8)
 
 
-def term_counts(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text, term, times) of every different word of every text."""
+def term_counts(texts: list[bytes], only: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, term, times) of every different term of every text, or of those in ``only`` (sorted)."""
     tokens = Tokens(texts, MARKS)
-    order = np.lexsort((tokens.hash, tokens.doc))
-    doc, term = tokens.doc[order], tokens.hash[order]
+    parts = [(tokens.doc, tokens.hash), *(tokens.beginnings(n) for n in BEGINNINGS)]
+    if only is not None:
+        parts = [(doc[hit], term[hit]) for doc, term in parts for hit in [_among(term, only)]]
+    doc, term = (np.concatenate(x) for x in zip(*parts))
+    order = np.lexsort((term, doc))
+    doc, term = doc[order], term[order]
     new = np.flatnonzero(np.append(True, (np.diff(doc) != 0) | (term[1:] != term[:-1]))) if len(doc) else np.zeros(0, np.int64)
     return doc[new], term[new], np.diff(np.append(new, len(doc)))
 
 
+def _among(term: np.ndarray, only: np.ndarray) -> np.ndarray:
+    if not len(only):
+        return np.zeros(0, np.int64)
+    low = np.zeros(1 << 16, bool)
+    low[only & np.uint64(0xFFFF)] = True
+    maybe = np.flatnonzero(low[term & np.uint64(0xFFFF)])
+    at = np.minimum(np.searchsorted(only, term[maybe]), len(only) - 1)
+    return maybe[only[at] == term[maybe]]
+
+
 class BlockMaxIndex:
     """Unit vectors of examples by term, with the largest weight in each block."""
 
@@ -220,7 +236,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, folds: int = 4, held_out: int =
             if known is None:
                 results = [(0.0, [])] * len(texts)
             else:
-                vectors = known.vectors(*term_counts(texts))
+                vectors = known.vectors(*term_counts(texts, known.terms))
                 results = [known(vectors.get(i)) for i in range(len(texts))]
             yield pa.record_batch(
                 {
