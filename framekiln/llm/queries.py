@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framekiln.llm import lm, packing, pii, quality, simhash, toxicity, vectors, winnowing
+from framekiln.llm import lm, packing, pii, quality, simhash, suffixes, toxicity, vectors, winnowing
 from framekiln.llm.common import table
 
 QUERIES: dict = {}
@@ -22,6 +22,12 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+@query("op2_suffixes")
+def op2_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of 50 words or more that occur again, in any document."""
+    return suffixes.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 @query("op3_lm")
 def op3_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     """log10 probability of every document under a model of nine tenths of them."""
