@@ -265,3 +265,17 @@ def quality(docs: DataFrame, labels: DataFrame, target: str = "quality", folds:
     scored = measured.mapInArrow(run, f"doc_id {measured.schema['doc_id'].dataType.simpleString()}, score double")
     out = F.coalesce(fold(F.col("doc_id"), folds) == held_out, F.lit(False))
     return scored.select("doc_id", out.alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+
+
+def kept(docs: DataFrame, labels: DataFrame, target: str = "quality", least: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` that score ``least`` or more, with all their columns; null texts stay null."""
+    measured = written(document_statistics(docs), "quality-statistics")
+    model = fit(measured, labels, target)
+    columns = docs.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, texts in chunks(batches):
+            yield rows.filter(pa.array(model(statistics(texts)) >= least))
+
+    fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in columns)
+    return docs.mapInArrow(run, fields)

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framekiln.llm.common import chunks, components, texts_of
+from framekiln.llm.common import Tokens, chunks, components, mixed, texts_of
 from framekiln.session import written
 
 GROUP_ROWS = 4096
@@ -136,8 +136,15 @@ class _Forest:
                 self.root = up
 
 
-def gray_links(fp: np.ndarray, radius: int) -> np.ndarray:
-    """Root index of each fingerprint of one node; ``fp`` is distinct and in Gray order."""
+def _bits(x: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(x).sum(axis=-1, dtype=np.int64)
+
+
+def gray_links(fp: np.ndarray, radius: int, pairs: list | None = None) -> np.ndarray:
+    """Root index of each fingerprint of one node; ``fp`` has a row of 64-bit words each, in Gray order.
+
+    If ``pairs`` is given, it gets (a, b, differences) of every single link instead, as arrays.
+    """
     forest = _Forest(len(fp))
     levels = [(fp, fp)]  # bits set in all members, bits set in any
     while len(levels[-1][0]) > 1:
@@ -145,18 +152,25 @@ def gray_links(fp: np.ndarray, radius: int) -> np.ndarray:
         cuts = np.arange(0, len(both), FAN)
         levels.append((np.bitwise_and.reduceat(both, cuts), np.bitwise_or.reduceat(any_, cuts)))
     a = b = np.zeros(1, np.int64)
+    step = (1 << 18) // fp.shape[1]
     for depth in range(len(levels) - 1, -1, -1):
         both, any_ = levels[depth]
         free = both ^ any_
         span = FAN**depth
         next_a, next_b = [], []
-        for i in range(0, len(a), 1 << 18):
-            x, y = a[i : i + (1 << 18)], b[i : i + (1 << 18)]
+        for i in range(0, len(a), step):
+            x, y = a[i : i + step], b[i : i + step]
             open_ = free[x] | free[y]
-            least = np.bitwise_count((both[x] ^ both[y]) & ~open_)
+            least = _bits((both[x] ^ both[y]) & ~open_)
             keep = least <= radius
-            x, y, most = x[keep], y[keep], (least + np.bitwise_count(open_))[keep]
-            whole = most <= radius
+            x, y, most, least = x[keep], y[keep], (least + _bits(open_))[keep], least[keep]
+            if pairs is not None:
+                whole = np.zeros(len(x), bool)
+                if not depth:
+                    own = x < y
+                    pairs.append((x[own], y[own], least[own]))
+            else:
+                whole = most <= radius
             if whole.any():
                 wx, wy = x[whole], y[whole]
                 forest.add(wx * span, wy * span)
@@ -181,46 +195,85 @@ def gray_links(fp: np.ndarray, radius: int) -> np.ndarray:
     return forest.root
 
 
-def _search(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
-    """Links in a stream of (mask, pattern, fp) sorted by node and Gray rank; nodes may cross batches."""
+def _runs(batches: Iterator[pa.RecordBatch], columns: list[str], most: int) -> Iterator[tuple[list[np.ndarray], np.ndarray, np.ndarray]]:
+    """Whole nodes of a stream sorted by (mask, pattern): columns, and begin and end of each run of a node.
+
+    Nodes may cross batches; a node of more than ``most`` rows comes in runs that overlap by half.
+    """
     held: list[np.ndarray] = []
 
-    def links(mask: np.ndarray, pattern: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
-        cut = np.flatnonzero((np.diff(mask) != 0) | (np.diff(pattern) != 0)) + 1
-        begin, end = np.append(0, cut), np.append(cut, len(fp))
-        out_a, out_b = [], []
-        small = np.repeat(end - begin <= SMALL, end - begin)
-        bits, node = fp[small], np.repeat(np.arange(len(begin)), end - begin)[small]
-        for step in range(1, SMALL):
-            near = (node[step:] == node[:-step]) & (np.bitwise_count(bits[step:] ^ bits[:-step]) <= radius)
-            if not near.any():
-                if not (node[step:] == node[:-step]).any():
-                    break
-                continue
-            out_a.append(bits[:-step][near])
-            out_b.append(bits[step:][near])
-        for i in np.flatnonzero(end - begin > SMALL):
-            own = fp[begin[i] : end[i]]
-            root = gray_links(own, radius)
-            moved = root != np.arange(len(own))
-            out_a.append(own[root[moved]])
-            out_b.append(own[moved])
-        a = np.concatenate(out_a) if out_a else np.zeros(0, np.uint64)
-        b = np.concatenate(out_b) if out_b else np.zeros(0, np.uint64)
-        return pa.record_batch({"a": pa.array(a.view(np.int64)), "b": pa.array(b.view(np.int64))})
+    def cut_up(rows: list[np.ndarray]):
+        edge = np.flatnonzero((np.diff(rows[0]) != 0) | (np.diff(rows[1]) != 0)) + 1
+        begin, end = [], []
+        for a, b in zip(np.append(0, edge).tolist(), np.append(edge, len(rows[0])).tolist()):
+            for first in range(a, max(a + 1, b - most // 2), most // 2):
+                begin.append(first)
+                end.append(min(first + most, b))
+        return rows[2:], np.array(begin), np.array(end)
 
     for batch in batches:
-        new = [batch.column(c).to_numpy() for c in ("mask", "pattern", "fp")]
+        new = [batch.column(c).to_numpy() for c in ("mask", "pattern", *columns)]
         rows = [np.concatenate([h, n]) for h, n in zip(held, new)] if held else new
         if not len(rows[0]):
             continue
-        last = (rows[0] == rows[0][-1]) & (rows[1] == rows[1][-1])
-        cut = int(np.argmax(last))
+        cut = int(np.argmax((rows[0] == rows[0][-1]) & (rows[1] == rows[1][-1])))
         if cut:
-            yield links(rows[0][:cut], rows[1][:cut], rows[2][:cut].view(np.uint64))
+            yield cut_up([r[:cut] for r in rows])
         held = [r[cut:] for r in rows]
+        if len(held[0]) > 4 * most:  # the begin of a long node; half a run stays for the overlap
+            yield cut_up(held)
+            held = [r[-(most // 2) :] for r in held]
     if held:
-        yield links(held[0], held[1], held[2].view(np.uint64))
+        yield cut_up(held)
+
+
+def _close(bits: np.ndarray, begin: np.ndarray, end: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(a, b, differences) of all links in runs of at most ``SMALL`` rows, many runs at a time."""
+    size = end - begin
+    small = size <= SMALL
+    row = np.concatenate([np.arange(a, b) for a, b in zip(begin[small], end[small])] or [np.zeros(0, np.int64)])
+    run = np.repeat(np.flatnonzero(small), size[small])
+    for step in range(1, SMALL):
+        same = np.flatnonzero(run[step:] == run[:-step])
+        if not len(same):
+            return
+        differing = _bits(bits[row[same + step]] ^ bits[row[same]])
+        near = differing <= radius
+        yield row[same[near]], row[same[near] + step], differing[near]
+
+
+def _search(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
+    """Spanning links of all nodes of a stream of (mask, pattern, fp)."""
+    for (fp,), begin, end in _runs(batches, ["fp"], 1 << 20):
+        bits = fp.view(np.uint64)[:, None]
+        out = [np.zeros((2, 0), np.int64)]
+        out += [np.stack([fp[a], fp[b]]) for a, b, _ in _close(bits, begin, end, radius)]
+        for i in np.flatnonzero(end - begin > SMALL):
+            own = fp[begin[i] : end[i]]
+            root = gray_links(bits[begin[i] : end[i]], radius)
+            moved = np.flatnonzero(root != np.arange(len(own)))
+            out.append(np.stack([own[root[moved]], own[moved]]))
+        a, b = np.concatenate(out, axis=1)
+        yield pa.record_batch({"a": pa.array(a), "b": pa.array(b)})
+
+
+def _nearest(batches: Iterator[pa.RecordBatch], radius: int, parts: list[str], most: int) -> Iterator[pa.RecordBatch]:
+    """(a, b, differences): the ``NEAREST`` closest of each entry in each run of its node."""
+    for (ids, *words), begin, end in _runs(batches, ["id", *parts], most):
+        bits = np.column_stack([w.view(np.uint64) for w in words])
+        found = list(_close(bits, begin, end, radius))
+        for i in np.flatnonzero(end - begin > SMALL):
+            pairs: list = []
+            gray_links(bits[begin[i] : end[i]], radius, pairs)
+            found += [(a + begin[i], b + begin[i], d) for a, b, d in pairs]
+        a = np.concatenate([np.zeros(0, np.int64), *[f[0] for f in found], *[f[1] for f in found]])
+        b = np.concatenate([np.zeros(0, np.int64), *[f[1] for f in found], *[f[0] for f in found]])
+        d = np.concatenate([np.zeros(0, np.int64), *[f[2] for f in found], *[f[2] for f in found]])
+        order = np.lexsort((ids[b], d, a))
+        a, b, d = a[order], b[order], d[order]
+        rank = np.arange(len(a)) - np.searchsorted(a, a)
+        keep = rank < NEAREST
+        yield pa.record_batch({"a": pa.array(ids[a[keep]]), "b": pa.array(ids[b[keep]]), "differences": pa.array(d[keep])})
 
 
 def linked(fps: DataFrame, radius: int = 3, group_rows: int = GROUP_ROWS) -> DataFrame:
@@ -241,3 +294,151 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 3, group_rows
     ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = written(rooted.join(ids, "root").select("fp", "component_id"), "simhash-named")
     return marked.join(named, "fp").select("doc_id", "fp", "component_id")
+
+
+PARTS = 4
+NEAREST = 4
+
+
+def _shingles(texts: list[bytes], words: int) -> tuple[np.ndarray, np.ndarray]:
+    """(text, hash) of every run of ``words`` words; a shorter text is one shingle."""
+    tokens = Tokens(texts)
+    if not len(tokens.hash):
+        return tokens.doc, tokens.hash
+    at, last = np.arange(len(tokens.hash)), len(tokens.hash) - 1
+    code = np.zeros(len(at), np.uint64)
+    for i in range(words):
+        there = np.minimum(at + i, last)
+        inside = (tokens.doc[there] == tokens.doc) & (at + i <= last)
+        code = np.where(inside, mixed(code + tokens.hash[there] + np.array([i + 1], np.uint64)), code)
+    final = tokens.first[:-1] + np.maximum(np.diff(tokens.first) - words, 0)
+    begins = at <= final[tokens.doc]
+    return tokens.doc[begins], code[begins]
+
+
+def wide_fingerprints(docs: DataFrame, words: int = 5) -> DataFrame:
+    """(key, f0 ... f3): 256 majority bits of the hashed word shingles; ``key`` comes with the text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, texts in chunks(batches):
+            doc, code = _shingles(texts, words)
+            first = np.searchsorted(doc, np.arange(len(texts)))
+            filled = np.diff(np.append(first, len(doc))) > 0
+            shingles = np.diff(np.append(first, len(doc)))
+            out = np.zeros((len(texts), PARTS), np.int64)
+            for part in range(PARTS):
+                own = np.unpackbits(mixed(code + np.array([part], np.uint64) * _PART).view(np.uint8).reshape(-1, 8), axis=1)
+                if len(own):
+                    ones = np.add.reduceat(own, first[filled], axis=0, dtype=np.int32)
+                    packed = np.packbits(2 * ones > shingles[filled][:, None], axis=1)
+                    out[filled, part] = packed.copy().view(np.int64).ravel()
+            yield pa.record_batch({"key": rows.column("key"), **{f"f{i}": pa.array(out[:, i].copy()) for i in range(PARTS)}})
+
+    fields = ", ".join(f"f{i} long" for i in range(PARTS))
+    return docs.select("key", "text").mapInArrow(run, f"key long, {fields}")
+
+
+_PART = np.uint64(0xD6E8FEB86659FD93)
+
+
+def expected_distance(similarity: float, bits: int) -> tuple[float, float]:
+    """Mean and deviation of differing bits of two texts whose shingle sets have this Jaccard similarity."""
+    share = np.arccos(2 * similarity / (1 + similarity)) / np.pi
+    return bits * share, float(np.sqrt(bits * share * (1 - share)))
+
+
+def _shingle_sets(docs: DataFrame, words: int) -> DataFrame:
+    """(id, n, codes): the sorted hashes of each text's different shingles, 8 bytes each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, texts in chunks(batches):
+            doc, code = _shingles(texts, words)
+            cut = np.searchsorted(doc, np.arange(len(texts) + 1))
+            sets = [np.unique(code[a:b]) for a, b in zip(cut[:-1], cut[1:])]
+            yield pa.record_batch(
+                {"id": rows.column("id"), "n": pa.array([len(x) for x in sets], pa.int32()), "codes": pa.array([x.tobytes() for x in sets], pa.binary())}
+            )
+
+    return docs.mapInArrow(run, "id long, n int, codes binary")
+
+
+def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, recall: float = 0.99) -> DataFrame:
+    """(doc_id, key, component_id) of every row: groups of texts with a shingle similarity of ``similarity`` or more.
+
+    Candidates differ in no more of 256 bits than the similarity lets expect, plus two
+    deviations. Upper nodes are random masks instead of blocks, as so many differences leave no
+    whole block equal: a mask takes as many bits as single out some dozens of texts, and there are as many
+    masks as let two texts at the threshold agree in one of them with probability ``recall``. Nodes are dealt
+    to tasks by range, so one that holds a third of all texts is shared by many; runs of a long node overlap
+    in Gray order. Each text's ``NEAREST`` candidates are then compared by their whole shingle sets (Jaccard); only links that
+    reach the similarity count. Texts without words form one group.
+    """
+    docs = texts_of(docs).withColumn("key", F.xxhash64("text"))
+    rows = written(docs.select("doc_id", "key"), "similar-rows")
+    once = written(wide_fingerprints(docs, words), "similar-prints").groupBy("key").agg(*[F.first(f"f{i}").alias(f"f{i}") for i in range(PARTS)])
+    parts = [f"f{i}" for i in range(PARTS)]
+    # Equal fingerprints are one entry, named by one of their keys.
+    once = written(once, "similar-texts")
+    entries = written(once.groupBy(*parts).agg(F.min("key").alias("id")), "similar-entries")
+    size = entries.count()
+    mean, deviation = expected_distance(similarity, 64 * PARTS)
+    radius = int(mean + 2 * deviation)
+    picked = min(40, max(6, int(np.ceil(np.log2(max(size, 1) / 32 + 1)))))
+    agree = (1 - mean / (64 * PARTS)) ** picked
+    masks = int(np.ceil(np.log(1 - recall) / np.log(1 - agree)))
+    rng = np.random.default_rng(64)
+    chosen = []
+    for number in range(masks):
+        bits = rng.permutation(64 * PARTS)[:picked]
+        mask = [_signed(sum(1 << int(b % 64) for b in bits if b // 64 == part)) for part in range(PARTS)]
+        code = F.xxhash64(*[F.col(p).bitwiseAND(F.lit(m)) for p, m in zip(parts, mask)])
+        chosen.append(F.struct(F.lit(number).alias("mask"), code.alias("pattern")))
+    nodes = entries.select("id", *parts, F.explode(F.array(*chosen)).alias("node")).select("node.mask", "node.pattern", "id", *parts)
+    order = ["mask", "pattern", _gray_rank(F.col("f0")), "id"]
+    placed = nodes.repartitionByRange(*order).sortWithinPartitions(*order)
+    near = placed.mapInArrow(lambda batches: _nearest(batches, radius, parts, 1024), "a long, b long, differences long")
+    best = near.groupBy("a").agg(F.slice(F.array_sort(F.collect_set(F.struct("differences", "b"))), 1, NEAREST).alias("near"))  # a few for each mask
+    pairs = best.select("a", F.explode("near.b").alias("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    pairs = written(pairs, "similar-pairs")
+
+    named = written(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "similar-named")
+    texts = docs.join(named, docs["key"] == named["id"], "left_semi").dropDuplicates(["key"]).select(F.col("key").alias("id"), "text")
+    sets = written(_shingle_sets(texts, words), "similar-sets")
+    left = sets.select(F.col("id").alias("a"), F.col("codes").alias("x"))
+    right = sets.select(F.col("id").alias("b"), F.col("codes").alias("y"))
+
+    def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist()):
+                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                shared = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(shared >= similarity * (len(x) + len(y) - shared) - 1e-9)
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    linked_ = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(verified, "a long, b long")
+    roots = components(linked_, "similar-links")
+    grouped = once.join(entries, parts).select("key", "id").join(roots.withColumnRenamed("node", "id"), "id", "left")
+    grouped = written(grouped.select("key", F.coalesce("root", "id").alias("root")), "similar-roots")
+    least = rows.join(grouped, "key").groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    ids = written(grouped.join(least, "root").select("key", "component_id"), "similar-ids")
+    return rows.join(ids, "key").select("doc_id", "key", "component_id")
+
+
+def without_near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """``docs`` with one row of each group of ``similar_groups``, the one with the smallest ``doc_id``.
+
+    Of rows that repeat one is kept; rows without ``doc_id`` go if their group has a row with one.
+    """
+    columns = docs.columns
+    groups = similar_groups(docs, words, similarity)
+    lost = groups.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id", "key").distinct()
+    repeated = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").count().filter("count > 1")
+    lost = written(lost, "similar-lost").withColumnsRenamed({"doc_id": "__id", "key": "__lost"})
+    keyed = docs.withColumn("__key", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
+    kept = keyed.join(lost, keyed["doc_id"].eqNullSafe(lost["__id"]) & (keyed["__key"] == lost["__lost"]), "left_anti")
+    repeated = written(repeated.select(F.col("doc_id").alias("__id")), "similar-repeated")
+    same = kept["doc_id"].eqNullSafe(repeated["__id"])
+    single = kept.join(repeated, same, "left_anti")
+    several = kept.join(repeated, same, "left_semi").dropDuplicates(["doc_id"])
+    return single.union(several).select(*columns)

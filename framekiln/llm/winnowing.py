@@ -99,19 +99,17 @@ def _covered(spans: Column) -> Column:
     )
 
 
-def contamination(docs: DataFrame, items: DataFrame, span: int = SPAN) -> DataFrame:
-    """Per row of ``docs``: doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
+def hits(docs: DataFrame, items: DataFrame, span: int = SPAN) -> DataFrame:
+    """(doc_id, __key, n_hit, items): the documents that hold a window, by id and hash of their text."""
     docs = docs.select(F.col("doc_id"), F.xxhash64("text").alias("__key"), F.col("text"))
     bench = items.select(F.col("item_id").cast("string").alias("item"), words_of(F.col("text")).alias("words")).filter(F.size("words") > 0)
     classes = bench.groupBy("words").agg(F.collect_set("item").alias("items"))
     classes = classes.select(F.xxhash64("words").alias("class"), "words", "items", F.least(F.lit(span), F.size("words")).alias("length"))
     classes = written(classes, "winnowing-classes")
     lengths = sorted(r["length"] for r in classes.select("length").distinct().collect())  # ``span`` at most
-    n_words = F.coalesce(F.size(words_of(F.col("text"))), F.lit(0))
-    counted = docs.select("doc_id", "__key", F.greatest(n_words, F.lit(0)).cast("long").alias("n_words"))
     if not lengths:
-        found = counted.select("doc_id", "__key", F.lit(0).cast("long").alias("n_hit"), F.array().cast("array<string>").alias("items")).limit(0)
-        return _report(counted, found)
+        nothing = docs.select("doc_id", "__key", F.lit(0).cast("long").alias("n_hit"), F.array().cast("array<string>").alias("items"))
+        return nothing.filter(F.lit(False))
 
     by_length = classes.select(
         "length",
@@ -121,12 +119,12 @@ def contamination(docs: DataFrame, items: DataFrame, span: int = SPAN) -> DataFr
     )
     marks = written(by_length.select(F.col("f.length").alias("length"), F.col("f.hash").alias("hash")).distinct(), "winnowing-marks")
     exploded = docs.select("doc_id", "__key", F.explode(_all_fingerprints(words_of(F.col("text")), lengths)).alias("f"))
-    hits = exploded.select("doc_id", "__key", "f.*").join(marks, ["length", "hash"], "left_semi")
-    hits = hits.groupBy("doc_id", "__key").agg(F.collect_set(F.struct("length", "at")).alias("hits"))
-    hits = written(hits, "winnowing-hits").withColumnsRenamed({"doc_id": "__id", "__key": "__hit_key"})
+    seen = exploded.select("doc_id", "__key", "f.*").join(marks, ["length", "hash"], "left_semi")
+    seen = seen.groupBy("doc_id", "__key").agg(F.collect_set(F.struct("length", "at")).alias("hits"))
+    seen = written(seen, "winnowing-hits").withColumnsRenamed({"doc_id": "__id", "__key": "__hit_key"})
 
-    same = docs["doc_id"].eqNullSafe(hits["__id"]) & (docs["__key"] == hits["__hit_key"])
-    near = docs.join(hits, same).dropDuplicates(["doc_id", "__key"])
+    same = docs["doc_id"].eqNullSafe(seen["__id"]) & (docs["__key"] == seen["__hit_key"])
+    near = docs.join(seen, same).dropDuplicates(["doc_id", "__key"])
     near = near.select("doc_id", "__key", F.explode(_windows_around(words_of(F.col("text")), F.col("hits"))).alias("w")).select("doc_id", "__key", "w.*")
     places = F.sequence(F.lit(1), F.size("words") - F.col("length") + 1)
     windows = classes.select(
@@ -142,7 +140,25 @@ def contamination(docs: DataFrame, items: DataFrame, span: int = SPAN) -> DataFr
     named = named.select("doc_id", "__key", F.explode("items").alias("item")).groupBy("doc_id", "__key").agg(F.collect_set("item").alias("items"))
     named = named.withColumnsRenamed({"doc_id": "__id", "__key": "__hit_key"})
     found = met.join(named, met["doc_id"].eqNullSafe(named["__id"]) & (met["__key"] == named["__hit_key"]), "left")
-    return _report(counted, found.select(met["doc_id"], met["__key"], "n_hit", "items"))
+    return found.select(met["doc_id"], met["__key"], "n_hit", "items")
+
+
+def contamination(docs: DataFrame, items: DataFrame, span: int = SPAN) -> DataFrame:
+    """Per row of ``docs``: doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
+    n_words = F.greatest(F.coalesce(F.size(words_of(F.col("text"))), F.lit(0)), F.lit(0)).cast("long")
+    counted = docs.select("doc_id", F.xxhash64("text").alias("__key"), n_words.alias("n_words"))
+    return _report(counted, hits(docs, items, span))
+
+
+def decontaminated(docs: DataFrame, items: DataFrame, span: int = SPAN) -> DataFrame:
+    """The rows of ``docs`` that hold no window of an item, with all their columns."""
+    found = hits(docs, items, span).select(F.col("doc_id").alias("__id"), F.col("__key").alias("__hit_key"))
+    found = written(found, "winnowing-found")
+    keyed = docs.withColumn("__text_key", F.xxhash64("text"))
+    same = keyed["doc_id"].eqNullSafe(found["__id"]) & (keyed["__text_key"] == found["__hit_key"])
+    return keyed.join(found, same, "left_anti").select(*docs.columns)
+
+
 
 
 def _report(counted: DataFrame, found: DataFrame) -> DataFrame:
