@@ -5,13 +5,13 @@ hash of each run of ``min_words`` - k + 1 neighbouring k-grams. Equal passages o
 such a place in common. Suffixes whose k-gram occurs once can't belong to a repeat and are dropped by
 a count of hashes. The others are sorted over the cluster by k-gram, the words that follow and
 then the words before it (read backwards); a range partitioning splits even a k-gram that a
-third of all documents share. Neighbours in this order are compared word by word to the right and extended to the
-left; the last suffix of a partition and the first of the next are compared at the end. A suffix
+third of all documents share. Neighbours in this order, up to ``LOOK_BACK`` apart, are compared word by word to the right and
+extended to the left; the last suffix of a partition and the first of the next are compared at the end. A suffix
 that shares ``min_words`` or more with a neighbour marks its part of the passage, and the parts of a document are
 joined, so a passage of any length is returned whole.
 
 Since a suffix is compared with its neighbours only, a passage of less than about 70 words may be
-overlooked if other occurrences agree with it further to the right and less to the left.
+overlooked if more than ``LOOK_BACK`` other occurrences agree with it further to the right and less to the left.
 
 Cases: null and empty texts and texts below ``min_words`` have no passages; rows that repeat, also
 under one ``doc_id``, are copies of each other; a null ``doc_id`` is returned as null and is never
@@ -20,6 +20,7 @@ preferred as ``first_doc``; a passage that occurs twice in one document is a rep
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,6 +34,7 @@ from framekiln.session import written
 
 GRAM = 32
 MIN_WORDS = 50
+LOOK_BACK = 16
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 
@@ -60,29 +62,58 @@ def sampled(texts: list[bytes], gram: int, run: int) -> tuple[np.ndarray, np.nda
     return doc, place - tokens.first[doc], code[place]
 
 
-def _common(a: str, b: str) -> int:
-    """Words that two space-joined lists share from the begin on."""
+def _common(a: list[str], b: list[str]) -> int:
+    """Words that two lists share from the begin on."""
     if a == b:
-        return a.count(" ") + 1 if a else 0
+        return len(a)
     shared = 0
-    for x, y in zip(a.split(" "), b.split(" ")):
+    for x, y in zip(a, b):
         if x != y:
             break
-        shared += x != ""
+        shared += 1
     return shared
 
 
-def _segments(a: dict, b: dict, gram: int, min_words: int) -> list[dict]:
-    """The passage that two neighbours share, as a part of either document; none if it is short."""
-    if a["hash"] != b["hash"]:
-        return []
-    left, right = _common(a["left"], b["left"]), _common(a["right"], b["right"])
-    if left + gram + right < min_words:
-        return []
-    return [
-        {"doc_id": x["doc_id"], "key": x["key"], "start": x["at"] - left, "end": x["at"] + gram + right, "match_doc": y["doc_id"], "hash": x["hash"]}
-        for x, y in ((a, b), (b, a))
-    ]
+class _Suffix:
+    """A suffix with the words around its k-gram, and how far others agree with it to either side."""
+
+    __slots__ = ("row", "left", "right", "next_right", "best_left", "best_right")
+
+    def __init__(self, row: dict) -> None:
+        self.row = row
+        self.left = row["left"].split(" ") if row["left"] else []
+        self.right = row["right"].split(" ") if row["right"] else []
+        self.next_right = 0
+        self.best_left = self.best_right = -1
+
+    def gains(self, left: int, right: int) -> bool:
+        return left > self.best_left or right > self.best_right
+
+    def part(self, left: int, right: int, gram: int, match: "_Suffix") -> dict:
+        self.best_left, self.best_right = max(self.best_left, left), max(self.best_right, right)
+        at = self.row["at"]
+        kept = {c: self.row[c] for c in ("doc_id", "key", "hash")}
+        return {**kept, "start": at - left, "end": at + gram + right, "match_doc": match.row["doc_id"]}
+
+
+def _compare(before: deque, new: _Suffix, gram: int, min_words: int) -> list[dict]:
+    """Parts of passages that a suffix shares with those sorted before it, the nearest last in ``before``.
+
+    To the right, the words shared with an earlier suffix are the least that any two neighbours
+    between share; a suffix further off may still share more to the left.
+    """
+    out, right = [], None
+    for old in reversed(before):
+        if right is None:
+            right = old.next_right = _common(old.right, new.right)
+        else:
+            right = min(right, old.next_right)
+        left = _common(old.left, new.left)
+        if left + gram + right >= min_words and (old.gains(left, right) or new.gains(left, right)):
+            out += [old.part(left, right, gram, new), new.part(left, right, gram, old)]
+        if old.left == new.left and old.right == new.right:
+            break  # what lies before was compared with an equal suffix
+    return out
 
 
 def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, gram: int = GRAM) -> DataFrame:
@@ -147,19 +178,22 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, gram: int = G
     ordered = suffixes.repartitionByRange(*order).sortWithinPartitions(*order)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, last, fields = TaskContext.get().partitionId(), None, None
+        part, before, fields = TaskContext.get().partitionId(), deque(maxlen=LOOK_BACK), None
         for rows in batches:
             out, ends = [], []
             for row in rows.to_pylist():
-                if last is None:
+                if fields is None:
                     ends.append(row)
-                else:
-                    out += _segments(last, row, gram, min_words)
-                last = row
-            fields = rows.schema.field("doc_id").type
-            yield batch(part, out, ends, 0, fields)
-        if last is not None:
-            yield batch(part, [], [last], 1, fields)
+                    fields = rows.schema.field("doc_id").type
+                if before and before[-1].row["hash"] != row["hash"]:
+                    before.clear()
+                new = _Suffix(row)
+                out += _compare(before, new, gram, min_words)
+                before.append(new)
+            if rows.num_rows:
+                yield batch(part, out, ends, 0, fields)
+        if before:
+            yield batch(part, [], [before[-1].row], 1, fields)
 
     def batch(part: int, out: list[dict], ends: list[dict], side: int, kind_: pa.DataType) -> pa.RecordBatch:
         none = {"part": None, "side": None, "start": None, "end": None, "match_doc": None, "at": None, "left": None, "right": None}
@@ -171,7 +205,10 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, gram: int = G
     schema = f"doc_id {kind}, key long, start int, end int, match_doc {kind}, hash long, part int, side int, at int, left string, right string"
     found = written(ordered.mapInArrow(compare, schema), "suffixes-found")
     ends = [r.asDict() for r in found.filter("side IS NOT NULL").orderBy("part", "side").collect()]  # two rows per partition
-    over = [s for a, b in zip(ends, ends[1:]) if a["part"] != b["part"] for s in _segments(a, b, gram, min_words)]
+    over = []
+    for a, b in zip(ends, ends[1:]):
+        if a["part"] != b["part"] and a["hash"] == b["hash"]:
+            over += _compare(deque([_Suffix(a)]), _Suffix(b), gram, min_words)
     names = ["doc_id", "key", "start", "end", "match_doc", "hash"]
     parts = found.filter("side IS NULL").select(*names)
     if over:
