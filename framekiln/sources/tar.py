@@ -11,7 +11,8 @@ that share a name up to the first dot of the file name. Options:
                   The columns ``members`` (extensions) and ``bytes`` cover all members
                   in any case
 ``sizes``         ``true`` reads image sizes from header bytes
-``splitBytes``    shards larger than this are read by several tasks
+``splitBytes``    shards larger than this are read by several tasks, each of which skips
+                  through the headers before its part
 ``ignoreMissing`` ``true`` skips listed paths that do not exist
 """
 
@@ -19,9 +20,11 @@ from __future__ import annotations
 
 import fnmatch
 import os
+import re
 import tarfile
 import uuid
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -69,6 +72,7 @@ BLOCK_UNITS = SPLIT_BYTES // BLOCK
 BATCH_ROWS = 512
 BATCH_BYTES = 32 << 20
 HEADER_BYTES = 1 << 16
+MOVES_AT_ONCE = 32
 
 
 def open_store(path: str) -> tuple[pafs.FileSystem, str]:
@@ -118,57 +122,57 @@ class TarSplit(InputPartition):
     end: int
 
 
-def _header_at(stream, offset: int):
-    stream.seek(offset)
-    block = stream.read(BLOCK)
-    try:
-        return tarfile.TarInfo.frombuf(block, "utf-8", "surrogateescape")
-    except tarfile.HeaderError:
-        return None
-
-
-def _member_start(stream, header: int) -> int:
-    """Where the member of a header begins: at the extension headers before it, if any."""
-    # An extension header has a body of a few blocks and directly precedes its member.
-    for body in range(1, 9):
-        before = header - BLOCK * (body + 1)
-        extra = _header_at(stream, before) if before >= 0 else None
-        if extra and extra.type in b"xgLK" and -(-extra.size // BLOCK) == body:
-            return _member_start(stream, before)
-    return header
-
-
-def first_member(stream, begin: int, size: int) -> int | None:
-    """Offset of the first member that begins at or after ``begin``.
-
-    A header is known by its checksum and its ``ustar`` mark.
-    """
+def _next_header(stream, begin: int, size: int) -> int | None:
+    """Offset of the first block at or after ``begin`` that is a header by its checksum."""
     offset = -(-begin // BLOCK) * BLOCK
     while offset + BLOCK <= size:
         stream.seek(offset)
         window = stream.read(1 << 20)
         for at in range(0, len(window) - BLOCK + 1, BLOCK):
-            if window[at + 257 : at + 262] != b"ustar" or _header_at(stream, offset + at) is None:
+            try:
+                tarfile.TarInfo.frombuf(window[at : at + BLOCK], "utf-8", "surrogateescape")
+            except tarfile.HeaderError:
                 continue
-            start = _member_start(stream, offset + at)
-            if start >= begin:
-                return start
-            # The cut lies between a member's headers: the next member is the first.
-            stream.seek(start)
-            archive = tarfile.open(fileobj=stream, mode="r:")
-            archive.next()
-            return archive.offset if archive.offset + BLOCK <= size and _header_at(stream, archive.offset) else None
+            return offset + at
         offset += max(len(window) // BLOCK, 1) * BLOCK
     return None
 
 
+def _walk(stream, size: int) -> Iterator[tuple]:
+    """(offset, archive, member, problem) of every member; after a problem the walk goes on at the next header.
+
+    The end is a block of zeros or the end of the file; any other block that is no header is a
+    problem. Errors of the store are not caught, so that Spark tries the task again.
+    """
+    start: int | None = 0
+    while start is not None:
+        at, why = start, None
+        stream.seek(start)
+        try:
+            archive = tarfile.open(fileobj=stream, mode="r:")
+            while (member := archive.next()) is not None:
+                archive.members = []
+                yield member.offset, archive, member, None
+                at = archive.offset
+            at = archive.offset
+        except tarfile.TarError as problem:
+            why = f"{type(problem).__name__}: {problem}"
+        if why is None:
+            stream.seek(at)
+            block = stream.read(BLOCK)
+            if at >= size or not block.strip(b"\0"):
+                return
+            why = f"no header at {at}"
+        yield at, None, None, why
+        start = _next_header(stream, at + BLOCK, size)
+
+
 class _Samples:
     """The samples of one split, in file order.
 
-    A split owns the samples that start after its first member's sample, up to and
-    including the sample of the first member at or after its end. The first split of
-    a shard also owns its first sample. So each sample has one owner, although a cut
-    may fall inside it.
+    A split owns the samples that begin in it. Every split walks its shard's headers from the begin, without
+    bodies, so all splits see the same samples as one scan does, whatever the bodies hold. A
+    sample beside a corrupt header may lack members and is marked as bad.
     """
 
     def __init__(self, wanted: set[str] | None, sizes: bool):
@@ -178,45 +182,39 @@ class _Samples:
     def read(self, split: TarSplit) -> Iterator[dict]:
         store, inside = open_store(split.path)
         with store.open_input_file(inside) as stream:
-            total = stream.size()
-            start = 0 if split.begin == 0 else first_member(stream, split.begin, total)
-            if start is None:
-                return
-            stream.seek(start)
-            yield from self._groups(stream, split, start)
+            yield from self._groups(stream, split, stream.size())
 
-    def _groups(self, stream, split: TarSplit, start: int) -> Iterator[dict]:
-        skipped, last, row = None, None, None
-        try:
-            archive = tarfile.open(fileobj=stream, mode="r:")
-            for member in archive:
-                key, ext = split_name(member.name)
-                if split.begin > 0 and skipped is None:
-                    skipped = key
-                if member.offset >= split.end and last is None:
-                    last = key
-                if last is not None and key != last:
-                    break
-                archive.members = []
-                if key == skipped or not member.isfile():
-                    if key == skipped and last is not None:
-                        return
-                    continue
-                if row is not None and row["key"] != key:
-                    yield row
-                    row = None
+    def _groups(self, stream, split: TarSplit, size: int) -> Iterator[dict]:
+        row, problem_before = None, None
+        for offset, archive, member, problem in _walk(stream, size):
+            if problem:
                 if row is None:
-                    row = self._empty(split, member.offset, key)
-                row["members"].append(ext)
-                row["bytes"] += member.size
-                self._take(archive, member, ext, row)
-        except (tarfile.TarError, EOFError, OSError) as problem:
-            bad = row or self._empty(split, start, None)
-            bad["_error"] = f"{type(problem).__name__}: {problem}"
-            yield bad
-            return
-        if row is not None:
-            yield row
+                    row = self._empty(split, offset, None)
+                row["_error"] = row["_error"] or problem
+                problem_before = problem
+                continue
+            if not member.isfile():
+                continue
+            key, ext = split_name(member.name)
+            if row is not None and row["key"] != key:
+                if split.begin <= row["pos"] * BLOCK:
+                    yield self._measured(row)
+                row = None
+            if row is None:
+                if offset >= split.end:
+                    return
+                row = self._empty(split, offset, key)
+                row["_error"] = problem_before
+            problem_before = None
+            row["members"].append(ext)
+            row["bytes"] += member.size
+            if split.begin <= row["pos"] * BLOCK:
+                try:
+                    self._take(archive, member, ext, row)
+                except tarfile.TarError as cut:
+                    row["_error"] = row["_error"] or f"{type(cut).__name__}: {cut}"
+        if row is not None and split.begin <= row["pos"] * BLOCK < split.end:
+            yield self._measured(row)
 
     def at(self, stream, offset: int) -> dict[str, bytes]:
         """The wanted members of the one sample that starts at ``offset``."""
@@ -245,8 +243,21 @@ class _Samples:
             "height": None,
             "width": None,
             "_error": None,
+            "_images": {},
         }
 
+    def _measured(self, row: dict) -> dict:
+        """The size of the image that ``first_present`` takes, or its error."""
+        images = row.pop("_images")
+        for ext in IMAGE_EXTENSIONS:
+            if ext in images:
+                if images[ext] is None:
+                    row["_error"] = row["_error"] or f"no image header in {row['key']}.{ext}"
+                else:
+                    row["height"], row["width"] = images[ext]
+                break
+        return row
+
     def _take(self, archive, member, ext: str, row: dict) -> None:
         keep = self.wanted is None or ext in self.wanted
         measure = self.sizes and ext in IMAGE_EXTENSIONS
@@ -260,15 +271,12 @@ class _Samples:
             row["fields"][ext] = data
         else:
             data = body.read(HEADER_BYTES)
-        if measure and row["height"] is None:
+        if measure:
             size = header_size(data)
             if size is None and len(data) < member.size:
                 body.seek(0)
                 size = header_size(body.read())
-            if size:
-                row["height"], row["width"] = size
-            else:
-                row["_error"] = f"no image header in {member.name}"
+            row["_images"][ext] = size
 
 
 class TarReader(DataSourceReader):
@@ -340,7 +348,7 @@ class TarWriter(DataSourceArrowWriter):
                             raise ValueError("rows must come sorted by shard_no")
                         seen.add(current)
                         hidden = f"{folder}/.{uuid.uuid4().hex}.tar.part"
-                        moves.append((hidden, f"{folder}/shard-{current:06d}.tar"))
+                        moves.append((hidden, current))
                         stream = store.open_output_stream(hidden)
                         archive = tarfile.open(fileobj=stream, mode="w|")
                     self._add(archive, row, members)
@@ -368,19 +376,27 @@ class TarWriter(DataSourceArrowWriter):
             archive.addfile(info, io.BytesIO(data))
 
     def commit(self, messages: list) -> None:
+        """Give shards their names: in append mode after the highest number there, else in place of the old ones.
+
+        Old shards go last, so a failure never leaves less than one whole set.
+        """
         store, folder = open_store(self.folder)
         moves = [move for message in messages if message for move in message.moves]
-        final = [name for _, name in moves]
-        if len(set(final)) != len(final):
+        if len({number for _, number in moves}) != len(moves):
             self.abort(messages)
             raise ValueError("a shard number occurs in two tasks: repartition by shard_no first")
+        old = {}
+        for info in store.get_file_info(pafs.FileSelector(folder, allow_not_found=True)):
+            number = re.fullmatch(r"shard-(\d+)\.tar", info.path.rsplit("/", 1)[-1])
+            if info.is_file and number:
+                old[int(number[1])] = info.path
+        first = 0 if self.overwrite else max(old, default=-1) + 1
+        names = {f"{folder}/shard-{first + number:06d}.tar": hidden for hidden, number in moves}
+        with ThreadPoolExecutor(MOVES_AT_ONCE) as pool:
+            list(pool.map(lambda name: store.move(names[name], name), names))
         if self.overwrite:
-            for old in store.get_file_info(pafs.FileSelector(folder, allow_not_found=True)):
-                base = old.path.rsplit("/", 1)[-1]
-                if old.is_file and base.startswith("shard-") and base.endswith(".tar"):
-                    store.delete_file(old.path)
-        for hidden, name in moves:
-            store.move(hidden, name)
+            for path in set(old.values()) - set(names):
+                store.delete_file(path)
 
     def abort(self, messages: list) -> None:
         store, _ = open_store(self.folder)

@@ -159,3 +159,115 @@ def test_failed_write_leaves_nothing(spark, tmp_path):
     with pytest.raises(Exception):
         tar.write_shards(broken, str(tmp_path / "out"), ["txt"])
     assert not [p for p in (tmp_path / "out").glob("*")]
+
+
+def plain_rows(spark, path, **options):
+    rows = tar.tar_scan(spark, str(path), bad_samples="keep", **options).orderBy("pos").collect()
+    return [(r.key, r.pos, r.members, r.fields, r._error) for r in rows]
+
+
+def damaged(path, number, count=20, flip=True):
+    """A shard of ``count`` samples of two members; the header of member ``number`` is damaged."""
+    write_tar(path, [m for i in range(count) for m in ((f"{i:02d}.txt", b"t" * 700), (f"{i:02d}.png", PNG))])
+    if flip:
+        with tarfile.open(path) as archive:
+            at = archive.getmembers()[number].offset
+        data = bytearray(path.read_bytes())
+        data[at + 3] ^= 0xFF
+        path.write_bytes(bytes(data))
+
+
+@pytest.mark.parametrize("number", [0, 1, 2, 13, 39])
+def test_damaged_header_costs_two_samples_at_most(spark, tmp_path, number):
+    damaged(tmp_path / "s.tar", number)
+    rows = plain_rows(spark, tmp_path)
+    good = [r for r in rows if r[4] is None]
+    own = f"{number // 2:02d}"
+    assert all(len(r[2]) == 2 for r in good) and own not in {r[0] for r in good}
+    assert 18 <= len(good) and any(r[4] for r in rows)
+    for split_bytes in (512, 5000):
+        assert plain_rows(spark, tmp_path, split_bytes=split_bytes) == rows
+
+
+@pytest.mark.parametrize("kind", ["unmarked", "long_pax", "nested"])
+def test_splits_of_odd_shards(spark, tmp_path, kind):
+    path = tmp_path / "s.tar"
+    if kind == "nested":  # bodies that are tar files themselves
+        inner = io.BytesIO()
+        with tarfile.open(fileobj=inner, mode="w") as archive:
+            for i in range(3):
+                info = tarfile.TarInfo(f"inner{i}.txt")
+                info.size = 4
+                archive.addfile(info, io.BytesIO(b"data"))
+        write_tar(path, [(f"{i}.tar", inner.getvalue()) for i in range(8)])
+    elif kind == "long_pax":
+        with tarfile.open(path, "w", format=tarfile.PAX_FORMAT) as archive:
+            for i in range(12):
+                info = tarfile.TarInfo(f"{i:02d}.txt")
+                info.size, info.pax_headers = 600, {"SCHILY.xattr.user.note": "n" * 6000}
+                archive.addfile(info, io.BytesIO(b"t" * 600))
+    else:
+        damaged(path, 0, flip=False)
+        data = bytearray(path.read_bytes())
+        with tarfile.open(path) as archive:
+            offsets = [m.offset for m in archive]
+        for at in offsets:
+            data[at + 257 : at + 265] = bytes(8)
+            data[at + 148 : at + 156] = b" " * 8
+            data[at + 148 : at + 156] = b"%06o\0 " % sum(data[at : at + 512])
+        path.write_bytes(bytes(data))
+    whole = plain_rows(spark, tmp_path)
+    assert len(whole) == {"nested": 8, "long_pax": 12, "unmarked": 20}[kind] and not any(r[4] for r in whole)
+    for split_bytes in (512, 3000, 7000, 20_000):
+        assert plain_rows(spark, tmp_path, split_bytes=split_bytes) == whole
+
+
+def test_errors_of_the_store_are_raised(tmp_path, monkeypatch):
+    damaged(tmp_path / "s.tar", 0, flip=False)
+    path = str(tmp_path / "s.tar")
+
+    class Stream:
+        def __init__(self, inner):
+            self.inner = inner
+
+        def __enter__(self):
+            return self
+
+        def __exit__(self, *_):
+            self.inner.close()
+
+        def __getattr__(self, name):
+            return getattr(self.inner, name)
+
+        def read(self, size=-1):
+            if self.inner.tell() > 20_000:
+                raise OSError("connection lost")
+            return self.inner.read(size)
+
+    class Store:
+        def open_input_file(self, inside):
+            return Stream(open(inside, "rb"))
+
+    Stream.size = lambda self: (tmp_path / "s.tar").stat().st_size
+    monkeypatch.setattr(tar, "open_store", lambda _: (Store(), path))
+    with pytest.raises(OSError, match="connection lost"):
+        list(tar._Samples(None, False).read(tar.TarSplit(path, 0, 0, 1 << 40)))
+
+
+def test_size_is_of_the_image_that_is_taken(spark, tmp_path):
+    small, large = png_bytes(np.zeros((4, 9, 3), np.uint8)), png_bytes(np.zeros((7, 3, 3), np.uint8))
+    write_tar(tmp_path / "s.tar", [("a.png", small), ("a.jpg", large), ("b.png", b"junk"), ("b.jpg", large), ("c.jpeg", b"junk"), ("c.png", small)])
+    rows = {r.key: (r.height, r.width, r._error is None) for r in tar.tar_scan(spark, str(tmp_path), sizes=True, bad_samples="keep").collect()}
+    assert rows == {"a": (7, 3, True), "b": (7, 3, True), "c": (None, None, False)}
+
+
+def test_append_goes_on_numbering(spark, tmp_path):
+    df = spark.createDataFrame([(n, 0, "k", f"first {n}") for n in range(3)], "shard_no long, shard_pos long, shard_key string, txt string")
+    out = tmp_path / "out"
+    tar.write_shards(tar.by_shard(df), str(out), ["txt"])
+    before = {p.name: p.read_bytes() for p in out.iterdir()}
+    tar.write_shards(tar.by_shard(df.filter("shard_no = 0").withColumn("txt", F.lit("second"))), str(out), ["txt"])
+    after = {p.name: p.read_bytes() for p in out.iterdir()}
+    assert sorted(after) == [f"shard-{n:06d}.tar" for n in range(4)] and all(after[n] == b for n, b in before.items())
+    got = tar.tar_scan(spark, str(out)).orderBy("shard_idx").collect()
+    assert [r.fields["txt"] for r in got] == [b"first 0", b"first 1", b"first 2", b"second"]
