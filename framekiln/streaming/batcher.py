@@ -7,8 +7,10 @@ rows are taken in arrival order; the trigger's file limit bounds what a key hold
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -84,9 +86,14 @@ def stream_bounded_batches(
 ) -> DataFrame:
     """Batches in step over ranks, with bounded state.
 
-    A bucket keeps the newest ``batch_size`` rows of each rank; older ones drop out
-    while other ranks lag behind. After every micro-batch a bucket that is full on
-    all ranks is emitted and emptied. Adds ``batch_no`` and ``slot``.
+    Rows that agree in ``order`` arrive in one step. A bucket keeps the newest ``batch_size``
+    rows of each rank; older ones drop out while other ranks lag behind. After every step a bucket
+    that is full on all ranks is emitted and emptied, so the batches depend on the order of
+    rows and not on how many of them a micro-batch holds; the rows of a step have to come in one
+    micro-batch, and steps in order. Adds ``batch_no`` and ``slot``.
+
+    The rule needs all ranks of a bucket at once. Keep rows narrow (positions), and join
+    or fetch what else is wanted by position afterwards.
     """
     columns = [c for c in samples.columns if c != bucket]
     numbers = [StructField("batch_no", LongType()), StructField("slot", IntegerType())]
@@ -95,16 +102,27 @@ def stream_bounded_batches(
     def fill(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         done, held = _held(state, columns)
         arrived = _arrived(parts, columns, order).astype(object)
-        rows = pd.concat([held, arrived], ignore_index=True) if len(held) else arrived
-        rows = rows.groupby(rank, sort=True).tail(batch_size)
-        ready = (rows[rank].value_counts() >= batch_size).sum() == ranks
-        _keep(state, done + int(ready), rows.iloc[:0] if ready else rows)
-        if ready:
-            full = rows.copy()
-            full.insert(0, "slot", full.groupby(rank).cumcount().astype("int32"))
-            full.insert(0, "batch_no", done)
-            full.insert(0, bucket, key[0])
-            yield full
+        rows = (pd.concat([held, arrived], ignore_index=True) if len(held) else arrived).reset_index(drop=True)
+        owners, steps = rows[rank].tolist(), list(zip(*(rows[c].tolist() for c in order)))
+        newest: dict = {}
+        full, taken, batches = 0, [], []
+        for i, owner in enumerate(owners):
+            own = newest.setdefault(owner, deque(maxlen=batch_size))
+            full += len(own) == batch_size - 1
+            own.append(i)
+            step_over = i + 1 == len(steps) or steps[i + 1] != steps[i]
+            if i >= len(held) and step_over and full == ranks:
+                for r in sorted(newest):
+                    taken += newest[r]
+                batches.append(done)
+                newest, full, done = {}, 0, done + 1
+        _keep(state, done, rows.iloc[sorted(i for own in newest.values() for i in own)])
+        out = rows.iloc[taken].copy()
+        size = ranks * batch_size
+        out.insert(0, "slot", (np.arange(len(out)) % batch_size).astype("int32"))
+        out.insert(0, "batch_no", np.repeat(batches, size).astype("int64"))
+        out.insert(0, bucket, key[0])
+        yield out
 
     return samples.groupBy(bucket).applyInPandasWithState(
         fill, output, _state_schema(samples, columns), "append", GroupStateTimeout.NoTimeout

@@ -34,7 +34,10 @@ def step_losses(log: DataFrame, ranks: int, accumulation: int, block: int = 256)
         sums = pd.concat(held).groupby(level="step").sum()
         whole = sums["rows"] >= needed
         rest = sums[~whole]
-        state.update((rest.index.tolist(), rest["total"].tolist(), rest["rows"].tolist()))
+        if len(rest):
+            state.update((rest.index.tolist(), rest["total"].tolist(), rest["rows"].tolist()))
+        elif state.exists:
+            state.remove()
         yield pd.DataFrame({"step": sums.index[whole], "loss": sums["total"][whole].to_numpy() / ranks})
 
     steps = log.withColumn("step", F.floor(F.col("micro") / F.lit(accumulation)))

@@ -49,11 +49,24 @@ def test_bounded_state_keeps_the_newest(spark, folder):
         sinks.drain(batcher.stream_bounded_batches(arrival.arriving_rows(spark, source, SCHEMA), 2, 3), table, mark)
         return sorted((r["rank"], r.batch_no, r.slot, r.pos) for r in spark.read.parquet(table).collect())
 
-    # Rank 0 runs ahead of rank 1.
+    # Rank 0 runs ahead of rank 1; the batch leaves with the third row of rank 1, not with the trigger.
     add_file(spark, source, 0, [(0, "a", i) for i in range(10)])
     assert run() == []
     add_file(spark, source, 1, [(1, "a", 100 + i) for i in range(4)])
-    assert run() == [(0, 0, s, 7 + s) for s in range(3)] + [(1, 0, s, 101 + s) for s in range(3)]
+    first = [(0, 0, s, 7 + s) for s in range(3)] + [(1, 0, s, 100 + s) for s in range(3)]
+    assert run() == first
+    add_file(spark, source, 2, [(0, "a", 200 + i) for i in range(3)] + [(1, "a", 300 + i) for i in range(2)])
+    assert run() == sorted(first + [(0, 1, s, 200 + s) for s in range(3)] + [(1, 1, s, p) for s, p in enumerate([103, 300, 301])])
+
+
+@pytest.mark.parametrize("files", [1, 10])
+def test_bounded_batches_do_not_depend_on_triggers(spark, oracle, sf_dir, files):
+    from workload import streams
+    from workload.registry import ORACLES
+
+    stream = batcher.stream_bounded_batches(streams.events_in_steps(spark, sf_dir, files), 4, 16, order=["step"])
+    got = sinks.drained(spark, stream, "stream-bounded").select("bucket", "batch_no", "rank", "slot", "pos").collect()
+    assert sorted(map(tuple, got)) == sorted(oracle.execute(ORACLES["stream_bounded"]).fetchall())
 
 
 def test_reshard_numbers_go_on_after_a_restart(spark, folder):

@@ -219,6 +219,13 @@ def sync_batches_lockstep(spark, sf_dir):
     return rows.select("rank", "bucket", "batch_no", "slot", "key")
 
 
+@query("sync_batches_blocks", lockstep_sql("ASC"))
+def sync_batches_blocks(spark, sf_dir):
+    """Emissions that are followed over many blocks of time."""
+    rows = lockstep.lockstep_batches(bucketed(spark, sf_dir), RANKS, RANK_BATCH, block_rows=32)
+    return rows.select("rank", "bucket", "batch_no", "slot", "key")
+
+
 @query("sync_batches_newest", lockstep_sql("DESC"))
 def sync_batches_newest(spark, sf_dir):
     rows = lockstep.lockstep_batches(bucketed(spark, sf_dir), RANKS, RANK_BATCH, overflow="newest")

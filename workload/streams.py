@@ -38,11 +38,45 @@ def stream_bucket_batches(spark, sf_dir):
     )
 
 
-@query("stream_bounded")
+def events_in_steps(spark, sf_dir, files):
+    """Narrow events of ranks in step, as files that hold whole steps and come one after the other."""
+    path = fresh_path(spark, "steps")
+    events = table(spark, sf_dir, "events").select(
+        F.pmod("event_id", F.lit(RANKS)).alias("rank"),
+        F.col("event_type").alias("bucket"),
+        F.floor(F.col("event_id") / F.lit(RANKS)).alias("step"),
+        F.col("event_id").alias("pos"),
+    )
+    last = events.agg(F.max("step")).first()[0] or 0
+    for i in range(files):
+        part = events.filter(F.floor(F.col("step") * F.lit(files) / F.lit(last + 1)) == i)
+        part.coalesce(1).write.mode("append").parquet(path)
+    return arrival.arriving_rows(spark, path, events.schema, max_files=1)
+
+
+@query(
+    "stream_bounded",
+    """WITH RECURSIVE timed AS (
+  SELECT event_id AS pos, event_id % 4 AS rank, event_type AS bucket, event_id // 4 AS t FROM events),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY bucket, rank ORDER BY t) - 1 AS k,
+         coalesce(lead(t, 16) OVER (PARTITION BY bucket, rank ORDER BY t), 1e15::BIGINT) AS later FROM timed),
+following AS (
+  SELECT DISTINCT bucket, t, max(later) OVER (PARTITION BY bucket ORDER BY t) AS nxt FROM placed),
+chain(bucket, e) AS (
+  SELECT bucket, max(t) FROM placed WHERE k = 15 GROUP BY bucket HAVING count(*) = 4
+  UNION ALL
+  SELECT c.bucket, f.nxt FROM chain c JOIN following f ON f.bucket = c.bucket AND f.t = c.e WHERE f.nxt < 1e15::BIGINT),
+emitted AS (SELECT bucket, e, row_number() OVER (PARTITION BY bucket ORDER BY e) - 1 AS batch_no FROM chain),
+windowed AS (SELECT p.*, e.batch_no FROM placed p ASOF JOIN emitted e ON p.bucket = e.bucket AND p.t <= e.e),
+slots AS (SELECT *, row_number() OVER (PARTITION BY bucket, rank, batch_no ORDER BY k DESC) AS place FROM windowed)
+SELECT bucket, batch_no, rank, row_number() OVER (PARTITION BY bucket, rank, batch_no ORDER BY k) - 1 AS slot, pos
+FROM slots WHERE place <= 16""",
+)
 def stream_bounded(spark, sf_dir):
-    stream = batcher.stream_bounded_batches(arriving_events(spark, sf_dir), RANKS, 16)
+    stream = batcher.stream_bounded_batches(events_in_steps(spark, sf_dir, FILES), RANKS, 16, order=["step"])
     table_ = sinks.drained(spark, stream, "stream-bounded")
-    return table_.groupBy("bucket", "batch_no", "rank").agg(F.count(F.lit(1)).alias("rows"))
+    return table_.select("bucket", "batch_no", "rank", "slot", "pos")
 
 
 @query(
