@@ -28,7 +28,7 @@ ENTITY_LABELS = ("PERSON", "ORG")
 
 TAGGED = "struct<words: array<string>, tags: array<string>, entities: array<string>, labels: array<string>>"
 
-# Two characters that no word holds: the end of a phrase and the edge of a name.
+# The end of a phrase and the edge of a name; words lose these characters first.
 _END = "\u0001"
 _EDGE = "\u0002"
 
@@ -63,13 +63,14 @@ def phrases(tagged: Column) -> Column:
     between edge marks; only they depend on what was said before, so the fold runs
     over names and not over words, and the cost grows with the caption's length.
     """
+    words, entities = (F.transform(tagged[c], lambda w: F.translate(w, _END + _EDGE, "")) for c in ("words", "entities"))
     is_name = F.zip_with(
-        tagged["entities"],
+        entities,
         tagged["labels"],
         lambda name, label: F.when(label.isin(*ENTITY_LABELS), F.lower(name)),
     )
     names = F.concat(F.lit(_END), F.array_join(is_name, _END), F.lit(_END))
-    text = _let(names, lambda n: F.array_join(F.zip_with(tagged["words"], tagged["tags"], lambda w, t: _piece(w, t, n)), ""))
+    text = _let(names, lambda n: F.array_join(F.zip_with(words, tagged["tags"], lambda w, t: _piece(w, t, n)), ""))
     told = _let(text, lambda t: F.when(F.contains(t, F.lit(_EDGE)), _say_names_once(t)).otherwise(t))
     # What follows the last end mark are adjectives without a noun.
     return _let(F.split(told, _END), lambda ends: F.slice(ends, 1, F.size(ends) - 1))

@@ -16,8 +16,8 @@ def field(fields: Column, ext: str) -> Column:
 
 
 def text_field(fields: Column, ext: str = "txt") -> Column:
-    """A member decoded as UTF-8 text."""
-    return F.decode(field(fields, ext), "UTF-8")
+    """A member as UTF-8 text; null when it is none or there is no such member."""
+    return F.try_validate_utf8(field(fields, ext).cast("string"))
 
 
 def first_present(fields: Column, extensions: Sequence[str] = IMAGE_EXTENSIONS) -> Column:

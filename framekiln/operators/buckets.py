@@ -9,9 +9,6 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# The bin table becomes literals in the plan, so its size is checked.
-MAX_BINS = 512
-
 
 @dataclass(frozen=True)
 class Bins:
@@ -20,8 +17,8 @@ class Bins:
     rows: tuple[tuple[float, int, int], ...]
 
     def __post_init__(self):
-        if not 0 < len(self.rows) <= MAX_BINS:
-            raise ValueError(f"a bin table has 1 to {MAX_BINS} rows, not {len(self.rows)}")
+        if not self.rows:
+            raise ValueError("a bin table has one row at least")
 
     @classmethod
     def from_mapping(cls, table: Mapping[str, Sequence[float]]) -> "Bins":
@@ -74,17 +71,25 @@ def _cuts(candidates: Sequence[float]) -> tuple[list[int], list[float]]:
     return order, cuts
 
 
+def _search(ratio: str, cuts: Sequence[float], order: Sequence[int]) -> str:
+    """Binary search as nested conditions: as deep as the logarithm of the number of bins."""
+    if not cuts:
+        return str(order[0])
+    middle = len(cuts) // 2
+    below = _search(ratio, cuts[:middle], order[: middle + 1])
+    above = _search(ratio, cuts[middle + 1 :], order[middle + 1 :])
+    return f"IF(`{ratio}` < {_double(cuts[middle])}, {below}, {above})"
+
+
 def _first_nearest(df: DataFrame, ratio: str, candidates: Sequence[float], out: str, limit: float) -> DataFrame:
-    # A cascade of comparisons with constants: generated code without join or lambda,
-    # and linear in the bins also where a filter on the bucket repeats it.
+    # Comparisons with constants: generated code without join or lambda. A row whose nearest
+    # candidate is not closer than the limit has none.
     values = [float(c) for c in candidates]
     order, cuts = _cuts(values)
-    least, most = values[order[0]], values[order[-1]]
-    if any(values[j] - values[i] >= limit for i, j in zip(order, order[1:])):
-        raise ValueError(f"the limit {limit} is narrower than a gap between bins")
-    far = f"`{ratio}` IS NULL OR NOT {_double(least)} - `{ratio}` < {_double(limit)} OR NOT `{ratio}` - {_double(most)} < {_double(limit)}"
-    cases = " ".join(f"WHEN `{ratio}` < {_double(cut)} THEN {i}" for i, cut in zip(order, cuts))
-    return df.withColumn(out, F.expr(f"CASE WHEN {far} THEN NULL {cases} ELSE {order[-1]} END"))
+    found = df.withColumn(out, F.expr(_search(ratio, cuts, order)))
+    nearest = f"get(array({', '.join(map(_double, values))}), `{out}`)"
+    close = F.expr(f"IF(`{ratio}` < {nearest}, {nearest} - `{ratio}`, `{ratio}` - {nearest}) < {_double(limit)}")
+    return found.withColumn(out, F.when(close, F.col(out)))
 
 
 def nearest_bin(
@@ -100,9 +105,12 @@ def nearest_bin(
 
     Rows with no bin closer than ``limit`` get ``fallback``. The two rules in use are
     (1000, -1) for training batches and (100, 0.6) for precomputed features. With
-    ``sizes`` the bin's ``target_height`` and ``target_width`` come along.
+    ``sizes`` the bin's ``target_height`` and ``target_width`` come along, those of the
+    fallback if that is a bin's ratio.
     """
     found = _first_nearest(df, ratio, bins.ratios, "__bin", limit)
+    if float(fallback) in bins.ratios:
+        found = found.withColumn("__bin", F.coalesce("__bin", F.lit(bins.ratios.index(float(fallback)))))
     added = {out: F.coalesce(bins.pick("__bin", "ratio"), F.lit(float(fallback)))}
     if sizes:
         added["target_height"] = bins.pick("__bin", "height")
@@ -123,13 +131,11 @@ def nearest_open_bucket(
 ) -> DataFrame:
     """As ``nearest_bin``, over the buckets that occur in ``open_buckets``.
 
-    A ratio of -1 marks an invalid row and stays -1. Buckets come from a bin table,
-    so at most ``MAX_BINS`` values are read to the driver; more is an error.
-    Buckets are tried in rising order.
+    A ratio of -1 marks an invalid row and stays -1. Buckets come from a bin table, so
+    the values that are read to the driver are as many as its rows at most. Buckets are
+    tried in rising order.
     """
-    seen = [r[0] for r in open_buckets.select(bucket).distinct().limit(MAX_BINS + 1).collect()]
-    if len(seen) > MAX_BINS:
-        raise ValueError(f"more than {MAX_BINS} open buckets")
+    seen = [r[0] for r in open_buckets.select(bucket).distinct().collect()]
     if not seen:
         return df.withColumn(out, F.lit(-1.0))
     seen.sort()
@@ -145,8 +151,6 @@ def nearest_in_class(
 
     ``bins_by_class`` maps a class value to its ordered ratios.
     """
-    if sum(len(v) for v in bins_by_class.values()) > MAX_BINS:
-        raise ValueError(f"more than {MAX_BINS} candidates")
     picked = F.lit(None).cast("double")
     work = df
     for i, (value, ratios) in enumerate(bins_by_class.items()):

@@ -89,7 +89,7 @@ def valid_features(cache: DataFrame, error: str = "_error") -> DataFrame:
 
 def cache_hits(cache: DataFrame, samples: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Cached features of the given samples."""
-    return valid_features(cache).join(samples.select(*keys).distinct(), list(keys), "left_semi")
+    return valid_features(cache).join(samples.select(*keys), list(keys), "left_semi")
 
 
 def cache_misses(cache: DataFrame, samples: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -116,7 +116,7 @@ def refresh_cache(
 ) -> DataFrame:
     """Encode what the cache at ``path`` lacks, append it, and return the usable cache.
 
-    Each row of the result belongs to one of the samples. A failed run leaves no
+    Each row of the result belongs to one of the samples; a key is encoded once. A failed run leaves no
     committed rows, so running again is safe.
     """
     empty = spark.createDataFrame([], schema)
@@ -124,7 +124,7 @@ def refresh_cache(
         cache = spark.read.schema(schema).parquet(path)
     except AnalysisException:
         cache = empty
-    fresh = encode(cache_misses(cache, samples, keys))
+    fresh = encode(cache_misses(cache, samples, keys).dropDuplicates(list(keys)))
     fresh.select(*empty.columns).write.mode("append").option("compression", compression).parquet(path)
     return cache_hits(spark.read.schema(schema).parquet(path), samples, keys)
 

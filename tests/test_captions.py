@@ -108,3 +108,9 @@ def test_small_edits(spark):
     df = spark.createDataFrame([("",), ("a red car",)], "c string")
     got = df.select(C.remove_word(F.col("c"), "red "), C.caption_guard(F.col("c"), F.lit("x"))).collect()
     assert [tuple(r) for r in got] == [("", ""), ("a car", "x")]
+
+
+def test_marks_in_words_are_dropped(spark):
+    row = (["big\u0001", "d\u0002og"], ["ADJ", "NOUN"], [], [])
+    tagged = spark.createDataFrame([(row,)], f"t {C.TAGGED}")
+    assert tagged.select(C.phrases(F.col("t")).alias("p")).first().p == ["big dog"]

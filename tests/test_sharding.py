@@ -71,14 +71,15 @@ def test_nearest_bin_equals_the_smallest_distance(spark, seed):
 def test_bin_table_size_is_checked():
     with pytest.raises(ValueError):
         buckets.Bins.from_sizes([])
-    with pytest.raises(ValueError):
-        buckets.Bins.from_sizes([(i + 1, 1) for i in range(buckets.MAX_BINS + 1)])
 
 
-def test_limit_must_cover_the_gaps(spark):
-    df = spark.createDataFrame([(1.0,)], "ratio double")
-    with pytest.raises(ValueError):
-        buckets.nearest_bin(df, buckets.Bins.from_sizes([(1, 1), (9, 1)]), limit=5.0)
+def test_a_gap_gives_the_fallback_with_its_size(spark):
+    df = spark.createDataFrame([(1.0,), (3.9,), (4.5,), (5.0,), (6.1,), (99.0,), (None,)], "ratio double")
+    bins = buckets.Bins.from_sizes([(1, 1), (9, 1)])
+    rows = buckets.nearest_bin(df, bins, limit=3.0, fallback=9.0, sizes=True).collect()
+    assert [r.bucket for r in rows] == [1.0, 1.0, 9.0, 9.0, 9.0, 9.0, 9.0]
+    assert [r.target_height for r in rows] == [1, 1, 9, 9, 9, 9, 9]
+    assert [r.bucket for r in buckets.nearest_bin(df, bins, limit=3.0).collect()] == [1.0, 1.0, -1.0, -1.0, 9.0, -1.0, -1.0]
 
 
 def test_zero_width_is_no_error(spark):

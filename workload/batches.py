@@ -54,6 +54,37 @@ def nearest_bin_sizes(spark, sf_dir):
     return placed.select("key", "bucket", "target_height", "target_width")
 
 
+MANY_BINS = buckets.Bins(tuple(((500 + i * 7919 % 2000) / 1000, 1, 1) for i in range(2000)))
+
+
+@query(
+    "nearest_bin_many",
+    """WITH n AS (SELECT i, (500 + i * 7919 % 2000) / 1000.0::DOUBLE AS b FROM range(2000) t(i)),
+p AS (SELECT printf('%09d', doc_id) AS key, CAST(256 + (doc_id * 7919) % 1793 AS DOUBLE) / CAST(256 + (doc_id * 104729 + n_chars) % 1793 AS INT) AS ratio
+      FROM documents)
+SELECT key, CASE WHEN abs(b - ratio) < 0.25 THEN b ELSE -1.0 END AS bucket FROM p, n
+QUALIFY row_number() OVER (PARTITION BY key ORDER BY abs(b - ratio), i) = 1""",
+)
+def nearest_bin_many(spark, sf_dir):
+    """A table of 2,000 bins."""
+    rows = samples(spark, sf_dir).withColumn("ratio", buckets.aspect_ratio(F.col("height"), F.col("width")))
+    return buckets.nearest_bin(rows, MANY_BINS, limit=0.25).select("key", "bucket")
+
+
+@query(
+    "nearest_bin_gap",
+    f"""WITH {BUCKETED_SQL},
+p AS (SELECT key, height::DOUBLE / width AS ratio FROM samples_v),
+q AS (SELECT key, p.ratio AS own, n.ratio AS b, n.ord FROM p, bins_v n
+      QUALIFY row_number() OVER (PARTITION BY key ORDER BY abs(n.ratio - p.ratio), n.ord) = 1)
+SELECT key, CASE WHEN abs(b - own) < 0.02 THEN b ELSE 1.0 END AS bucket FROM q""",
+)
+def nearest_bin_gap(spark, sf_dir):
+    """A limit narrower than the gaps between bins."""
+    rows = samples(spark, sf_dir).withColumn("ratio", buckets.aspect_ratio(F.col("height"), F.col("width")))
+    return buckets.nearest_bin(rows, BINS, limit=0.02, fallback=1.0).select("key", "bucket")
+
+
 @query("target_size", f"WITH {BUCKETED_SQL} SELECT key, target_height, target_width FROM bucketed_v")
 def target_size(spark, sf_dir):
     return buckets.target_size(bucketed(spark, sf_dir), BINS).select("key", "target_height", "target_width")
@@ -62,15 +93,14 @@ def target_size(spark, sf_dir):
 @query(
     "nearest_open_bucket",
     f"""WITH {BUCKETED_SQL},
-open_v AS (SELECT DISTINCT bucket AS b FROM bucketed_v SEMI JOIN labels ON labels.doc_id = bucketed_v.pos
-           WHERE shard_idx < 10),
+open_v AS (SELECT DISTINCT bucket AS b FROM bucketed_v SEMI JOIN labels ON labels.doc_id = bucketed_v.pos),
 probe_v AS (SELECT key, CASE WHEN pos % 13 = 0 THEN -1.0 ELSE height::DOUBLE / width END AS ratio FROM samples_v)
 SELECT key, CASE WHEN ratio = -1.0 THEN -1.0 ELSE b END AS bucket FROM probe_v, open_v
 QUALIFY row_number() OVER (PARTITION BY key ORDER BY abs(b - ratio), b) = 1""",
 )
 def nearest_open_bucket(spark, sf_dir):
     labelled = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("pos"))
-    seen = bucketed(spark, sf_dir).filter("shard_idx < 10").join(labelled, "pos", "left_semi")
+    seen = bucketed(spark, sf_dir).join(labelled, "pos", "left_semi")
     rows = samples(spark, sf_dir).withColumn(
         "ratio",
         F.when(F.pmod("pos", F.lit(13)) == 0, F.lit(-1.0)).otherwise(
