@@ -55,14 +55,25 @@ def image_model(factory: Callable[[], Encoder], decoder: Callable[[], images.Dec
 
     Images are decoded, stretched to the bin's size and normalised inside the encoder
     call, so pixels never leave the Python worker. The model gets a list of (channel,
-    height, width) arrays.
+    height, width) arrays. An image that can't be decoded gives null.
     """
 
     def build() -> Encoder:
         model, decode = factory(), decoder()
-        return lambda rows: model(
-            [images.model_input(decode(r["image"]), int(r["height"]), int(r["width"])) for r in rows]
-        )
+
+        def run(rows: list) -> list:
+            inputs, out = {}, [None] * len(rows)
+            for i, row in enumerate(rows):
+                try:
+                    inputs[i] = images.model_input(decode(row["image"]), int(row["height"]), int(row["width"]))
+                except Exception:  # whatever a decoder raises on a broken body
+                    continue
+            if inputs:
+                for i, value in zip(inputs, model(list(inputs.values())), strict=True):
+                    out[i] = value
+            return out
+
+        return run
 
     return build
 

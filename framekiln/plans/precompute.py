@@ -22,18 +22,30 @@ def nearest(bins: Bins, **rule: float) -> Callable[[DataFrame], DataFrame]:
 def image_index(spark: SparkSession, paths: str | list[str], place: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """The samples of shards with their bucket and target size, from image headers only.
 
-    Samples without an image or a caption are left out. ``place`` adds ``bucket``,
+    Samples that ``rejected_samples`` lists are left out. ``place`` adds ``bucket``,
     ``target_height`` and ``target_width`` to rows with ``height``, ``width`` and
     ``ratio``. The index is written once: batching reads it more than once, and a scan
     opens every shard.
     """
-    index = tar.tar_scan(spark, paths, fields=[], sizes=True).filter(
-        F.col("height").isNotNull() & F.array_contains("members", "txt")
-    )
-    rows = index.withColumn("ratio", aspect_ratio(F.col("height"), F.col("width")))
-    placed = place(rows)
     columns = ["shard", "shard_idx", "pos", "key", "bytes", "bucket", "target_height", "target_width"]
-    return written(placed.select(*columns), "index")
+    return written(_placed(spark, paths, place).filter("_error IS NULL").select(*columns), "index")
+
+
+def rejected_samples(spark: SparkSession, paths: str | list[str], place: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``shard, pos, key, _error`` of the samples that ``image_index`` leaves out, for a quarantine table."""
+    return _placed(spark, paths, place).filter("_error IS NOT NULL").select("shard", "pos", "key", "_error")
+
+
+def _placed(spark: SparkSession, paths: str | list[str], place: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    index = tar.tar_scan(spark, paths, fields=[], sizes=True, bad_samples="keep")
+    placed = place(index.withColumn("ratio", aspect_ratio(F.col("height"), F.col("width"))))
+    problem = (
+        F.when(F.col("_error").isNotNull(), F.col("_error"))
+        .when(F.col("height").isNull(), F.lit("no image"))
+        .when(~F.array_contains("members", "txt"), F.lit("no caption"))
+        .when(F.col("target_height").isNull() | F.col("target_width").isNull(), F.lit("no bucket for this shape"))
+    )
+    return placed.withColumn("_error", problem)
 
 
 def encode_batches(
@@ -48,16 +60,18 @@ def encode_batches(
     tasks: int | None = None,
     caption: Callable[[Column], Column] | None = None,
 ) -> DataFrame:
-    """Fetch the members of batched index rows and add ``caption``, ``latent`` and ``emb``.
+    """Fetch the members of batched index rows and add ``caption``, ``latent``, ``emb`` and ``_error``.
 
-    ``caption`` edits the caption before it is encoded.
+    ``caption`` edits the caption before it is encoded. A body that can't be decoded, or a
+    caption that is no UTF-8 text, does not end the job: its row says so in ``_error``.
     """
     spread = features.arranged(batches, batch, tasks=tasks)
     fetched = tar.with_members(spread, [*fields.IMAGE_EXTENSIONS, "txt"])
     text = fields.text_field(F.col("fields"))
     ready = fetched.withColumns(
         {
-            "caption": caption(text) if caption else text,
+            "__text": text,
+            "caption": caption(F.coalesce(text, F.lit(""))) if caption else F.coalesce(text, F.lit("")),
             "picture": F.struct(
                 fields.first_present(F.col("fields")).alias("image"),
                 F.col("target_height").alias("height"),
@@ -67,9 +81,11 @@ def encode_batches(
     )
     latent = features.encoder(features.image_model(image_factory), latent_type, image_max)
     emb = features.encoder(text_factory, emb_type, text_max)
-    return ready.withColumns(
-        {"latent": latent(F.col("picture"), F.col("bucket")), "emb": emb(F.col("caption"))}
-    ).drop("fields", "picture")
+    encoded = ready.withColumns({"latent": latent(F.col("picture"), F.col("bucket")), "emb": emb(F.col("caption"))})
+    problem = F.when(F.col("__text").isNull(), F.lit("the caption is no UTF-8 text")).when(
+        F.col("latent").isNull(), F.lit("the image can't be decoded")
+    )
+    return encoded.withColumn("_error", problem).drop("fields", "picture", "__text")
 
 
 def precompute_features(
@@ -85,7 +101,10 @@ def precompute_features(
     emb_type: str = "array<array<float>>",
     caption: Callable[[Column], Column] | None = None,
 ) -> None:
-    """Encode full batches and write ``shard_no, key, ratio, latent, emb`` as Parquet."""
+    """Encode full batches and write ``shard_no, key, ratio, latent, emb, _error`` as Parquet.
+
+    Readers take the rows of ``features.valid_features``; the others count as missing.
+    """
     index = image_index(spark, paths, nearest(bins, limit=100.0, fallback=0.6))
     batches = batching.bucket_batches(index, batch_size, block_rows=tar.BLOCK_UNITS)
     dealt = sharding.shard_numbering(batches, shard_size, digits=7, block_rows=tar.BLOCK_UNITS)
@@ -102,7 +121,7 @@ def precompute_features(
     )
     features.write_features(
         rows.select(
-            "shard_no", "shard_pos", F.col("shard_key").alias("key"), F.col("bucket").alias("ratio"), "latent", "emb"
+            "shard_no", "shard_pos", F.col("shard_key").alias("key"), F.col("bucket").alias("ratio"), "latent", "emb", "_error"
         ),
         out,
     )

@@ -35,9 +35,9 @@ def training_batches(
     place: Callable[[DataFrame], DataFrame] | None = None,
     caption: Callable[[Column], Column] | None = None,
 ) -> DataFrame:
-    """Encoded batches in step over ranks: ``rank, bucket, batch_no, slot, shard_idx, key, caption, latent, emb``.
+    """Encoded batches in step over ranks: ``rank, bucket, batch_no, slot, shard_idx, key, caption, latent, emb, _error``.
 
-    ``place`` replaces the choice of bucket (see ``image_index``) and ``caption`` edits
+    Rows with an ``_error`` have to be left out or replaced by the reader. ``place`` replaces the choice of bucket (see ``image_index``) and ``caption`` edits
     captions before they are encoded.
     """
     index = rank_index(spark, paths, ranks, place or nearest(bins))
@@ -52,7 +52,7 @@ def training_batches(
         tasks=tar.fetch_tasks(index),
         caption=caption,
     )
-    return rows.select("rank", "bucket", "batch_no", "slot", "shard_idx", "key", "caption", "latent", "emb")
+    return rows.select("rank", "bucket", "batch_no", "slot", "shard_idx", "key", "caption", "latent", "emb", "_error")
 
 
 def feature_batches(

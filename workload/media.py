@@ -429,3 +429,23 @@ def training_batches(spark, sf_dir):
         F.md5(F.encode("caption", "UTF-8")).alias("digest"),
         F.col("latent")[0].cast("double").alias("height"),
     )
+
+
+@query(
+    "precompute_quarantine",
+    f"""WITH {SMALL_SQL}
+SELECT CASE WHEN pos % 7 = 0 THEN 'header' WHEN pos % 13 = 0 THEN 'caption' WHEN pos % 11 = 0 THEN 'body' ELSE 'good' END AS kind,
+       count(*) AS rows FROM small_v GROUP BY ALL""",
+)
+def precompute_quarantine(spark, sf_dir):
+    """Images cut off in the header or the body, and captions that are no text: the job goes on and tells each kind."""
+    cut = "CASE WHEN pos % 7 = 0 THEN substring(png, 1, 10) WHEN pos % 11 = 0 THEN substring(png, 1, 40) ELSE png END"
+    text = "CASE WHEN pos % 13 = 0 THEN X'61FF62' ELSE encode(caption, 'UTF-8') END"
+    shards = image_shards(spark, sf_dir, "tar-quarantine", png=cut, txt=text)
+    path = fresh_path(spark, "quarantine")
+    precompute.precompute_features(spark, shards, path, SMALL_BINS, toy_image_model, word_lengths, 1, 100)
+    rows = spark.read.schema("latent array<float>, _error string, ratio double").parquet(path)
+    kind = F.when(F.col("_error").isNull(), "good").when(F.col("_error").contains("caption"), "caption").otherwise("body")
+    rejected = precompute.rejected_samples(spark, shards, precompute.nearest(SMALL_BINS, limit=100.0, fallback=0.6))
+    kinds = rows.select(kind.alias("kind")).unionByName(rejected.select(F.lit("header").alias("kind")))
+    return kinds.groupBy("kind").agg(F.count(F.lit(1)).alias("rows"))
