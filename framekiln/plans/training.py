@@ -7,9 +7,11 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from framekiln.functions.draws import draw_hex, draw_int
 from framekiln.operators import batching, features, sharding
 from framekiln.operators.buckets import Bins
 from framekiln.plans.precompute import encode_batches, image_index, nearest
+from framekiln.session import written
 from framekiln.sources import tar
 
 
@@ -22,6 +24,36 @@ def rank_index(
     return index.withColumn("rank", F.explode(ranks_of))
 
 
+def planned_batches(
+    index: DataFrame,
+    ranks: int,
+    batch_size: int,
+    epochs: int = 1,
+    seed: int | None = None,
+    steps: int | None = None,
+    accumulation: int = 1,
+) -> DataFrame:
+    """Batches of several epochs in step over ranks; adds ``epoch``, ``batch_no`` and ``slot``.
+
+    With a ``seed`` each rank reads its shards in another order in every epoch, and the samples of
+    a shard in another order too. Rests of an epoch go on into the next. ``steps`` keeps exactly
+    ``steps * accumulation`` batches of each rank, drawn by the seed, the same for all ranks; they are in the
+    order of ``batch_seq`` then. Only narrow index rows are moved.
+    """
+    rows = index.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))))
+    shard = draw_hex(seed, "epoch", "rank", F.lit("shard"), "shard_idx") if seed is not None else F.lpad(F.col("shard_idx").cast("string"), 10, "0")
+    # 31 bits of a draw, then the place in the shard: a total order in one integer.
+    draw = F.shiftright(draw_int(seed, "epoch", "rank", "shard_idx", "pos"), 1) if seed is not None else F.lit(0).cast("long")
+    rows = rows.withColumns({"__shard": shard, "__place": F.shiftleft(draw, 31) + F.col("pos")})
+    dealt = batching.sync_batches(rows, ranks, batch_size, order=["epoch", "__shard", "__place"], block_rows=1 << 62)
+    dealt = dealt.drop("__shard", "__place")
+    if steps is None:
+        return dealt
+    names = written(dealt.filter("rank = 0 AND slot = 0").select("bucket", "batch_no", "slot"), "training-batches")
+    kept = batching.step_limit(names, steps, seed or 0, accumulation).select("bucket", "batch_no", "batch_seq")
+    return dealt.join(kept, ["bucket", "batch_no"])
+
+
 def training_batches(
     spark: SparkSession,
     paths: str | list[str],
@@ -34,14 +66,22 @@ def training_batches(
     text_max: int,
     place: Callable[[DataFrame], DataFrame] | None = None,
     caption: Callable[[Column], Column] | None = None,
+    epochs: int = 1,
+    seed: int | None = None,
+    steps: int | None = None,
+    accumulation: int = 1,
 ) -> DataFrame:
     """Encoded batches in step over ranks: ``rank, bucket, batch_no, slot, shard_idx, key, caption, latent, emb, _error``.
 
     Rows with an ``_error`` have to be left out or replaced by the reader. ``place`` replaces the choice of bucket (see ``image_index``) and ``caption`` edits
-    captions before they are encoded.
+    captions before they are encoded. Any of ``epochs``, ``seed`` and ``steps`` gives the batches of
+    ``planned_batches``, with its columns ``epoch`` and ``batch_seq``.
     """
     index = rank_index(spark, paths, ranks, place or nearest(bins))
-    batches = batching.sync_batches(index, ranks, batch_size, block_rows=tar.BLOCK_UNITS)
+    if epochs > 1 or seed is not None or steps is not None:
+        batches = planned_batches(index, ranks, batch_size, epochs, seed, steps, accumulation)
+    else:
+        batches = batching.sync_batches(index, ranks, batch_size, block_rows=tar.BLOCK_UNITS)
     rows = encode_batches(
         batches,
         image_factory,
@@ -52,7 +92,8 @@ def training_batches(
         tasks=tar.fetch_tasks(index),
         caption=caption,
     )
-    return rows.select("rank", "bucket", "batch_no", "slot", "shard_idx", "key", "caption", "latent", "emb", "_error")
+    planned = [c for c in ("epoch", "batch_seq") if c in rows.columns]
+    return rows.select("rank", "bucket", "batch_no", "slot", "shard_idx", "key", "caption", "latent", "emb", "_error", *planned)
 
 
 def feature_batches(

@@ -449,3 +449,27 @@ def precompute_quarantine(spark, sf_dir):
     rejected = precompute.rejected_samples(spark, shards, precompute.nearest(SMALL_BINS, limit=100.0, fallback=0.6))
     kinds = rows.select(kind.alias("kind")).unionByName(rejected.select(F.lit("header").alias("kind")))
     return kinds.groupBy("kind").agg(F.count(F.lit(1)).alias("rows"))
+
+
+@query(
+    "training_epochs",
+    f"""WITH {PLACED_SQL},
+n AS (SELECT (count(*) + 63) // 64 AS shards FROM small_v),
+ranked AS (
+  SELECT r.r AS rank, e.e AS epoch, p.* FROM placed_v p, n, range(4) r(r), range(3) e(e)
+  WHERE CASE WHEN shards < 4 THEN TRUE ELSE r.r = least(i // 64 // (shards // 4), 3) END),
+numbered AS (
+  SELECT rank, bucket, count(*) AS m FROM ranked GROUP BY ALL),
+shared AS (
+  SELECT bucket, CASE WHEN count(DISTINCT rank) = 4 THEN min(m // 4) ELSE 0 END AS whole FROM numbered GROUP BY bucket),
+names AS (SELECT bucket, unnest(range(whole)) AS batch_no FROM shared)
+SELECT count(*) AS batches, least(count(*), 40) * 4 * 4 AS rows, least(count(*), 40) AS steps FROM names""",
+)
+def training_epochs(spark, sf_dir):
+    """Three shuffled epochs, of which twenty steps of two batches are kept."""
+    shards = image_shards(spark, sf_dir, "tar-epochs")
+    index = training.rank_index(spark, shards, RANKS, precompute.nearest(SMALL_BINS))
+    whole = training.planned_batches(index, RANKS, 4, epochs=3, seed=9)
+    kept = training.planned_batches(index, RANKS, 4, epochs=3, seed=9, steps=20, accumulation=2)
+    names = whole.filter("rank = 0 AND slot = 0").agg(F.count(F.lit(1)).alias("batches"))
+    return names.crossJoin(kept.agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("batch_seq").alias("steps")))
