@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 
 from framekiln.session import written
 
-CHUNK_BYTES = 2 << 20
-BATCH_BYTES = 16 << 20
+CHUNK_BYTES = 1 << 20
+BATCH_BYTES = 8 << 20
+# Bits of a filter that is sent to the workers: 8 MB at most.
+FILTER_BITS = 1 << 26
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -137,6 +139,45 @@ def isotonic(score: np.ndarray, label: np.ndarray, weight: np.ndarray | None = N
     return done[:, 2] / done[:, 0], done[:, 1] / done[:, 0]
 
 
+class KeyFilter:
+    """Whether a 64-bit key may be among given ones: never wrong for those, and of bounded size.
+
+    Rows that it rules out need no join, so their texts are not shuffled. Beyond
+    ``FILTER_BITS`` / 16 keys it lets more others pass; an exact join has to follow in any case.
+    """
+
+    def __init__(self, keys: DataFrame, bits: int = FILTER_BITS) -> None:
+        """``keys`` has one column of longs; words of 64 bits are put together before they are collected."""
+        (name,) = keys.columns
+        count = keys.count()
+        self.bits = min(bits, 1 << max(10, (16 * count).bit_length()))
+        places = F.array(*[F.shiftrightunsigned(F.xxhash64(F.lit(probe), F.col(name)), 64 - self.bits.bit_length() + 1) for probe in (0, 1)])
+        place = keys.select(F.explode(places).alias("place"))
+        words = place.groupBy(F.shiftright("place", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(place & 63 as int))")).alias("set"))
+        held = words.toArrow()  # bits / 64 rows at most
+        self.words = np.zeros(self.bits // 64, np.uint64)
+        self.words[held.column("word").to_numpy()] = held.column("set").to_numpy().view(np.uint64)
+
+    def split(self, rows: DataFrame, key: str, may: bool) -> DataFrame:
+        """The rows whose key may be among the given ones, or those whose key is not."""
+        shift = 64 - self.bits.bit_length() + 1
+        shared = rows.sparkSession.sparkContext.broadcast(self.words)
+        probed = rows.withColumns({f"__place{i}": F.shiftrightunsigned(F.xxhash64(F.lit(i), F.col(key)), shift) for i in (0, 1)})
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            words = shared.value
+            for batch in batches:
+                hit = np.ones(batch.num_rows, bool)
+                for i in (0, 1):
+                    place = batch.column(f"__place{i}").to_numpy()
+                    hit &= (words[place >> 6] >> (place & 63).astype(np.uint64)) & np.uint64(1) == 1
+                yield batch.select(names).filter(pa.array(hit == may))
+
+        names = rows.columns
+        fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
+        return probed.mapInArrow(run, fields)
+
+
 def components(edges: DataFrame, label: str = "components") -> DataFrame:
     """(node, root) for every node of the links (a, b); the root is the smallest node reachable.
 

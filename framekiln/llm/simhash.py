@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framekiln.llm.common import Tokens, chunks, components, mixed, texts_of
+from framekiln.llm.common import KeyFilter, Tokens, chunks, components, mixed, texts_of
 from framekiln.session import written
 
 GROUP_ROWS = 4096
@@ -152,7 +152,7 @@ def gray_links(fp: np.ndarray, radius: int, pairs: list | None = None) -> np.nda
         cuts = np.arange(0, len(both), FAN)
         levels.append((np.bitwise_and.reduceat(both, cuts), np.bitwise_or.reduceat(any_, cuts)))
     a = b = np.zeros(1, np.int64)
-    step = (1 << 18) // fp.shape[1]
+    step = (1 << 15) // fp.shape[1]
     for depth in range(len(levels) - 1, -1, -1):
         both, any_ = levels[depth]
         free = both ^ any_
@@ -402,7 +402,8 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, rec
     pairs = written(pairs, "similar-pairs")
 
     named = written(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "similar-named")
-    texts = docs.join(named, docs["key"] == named["id"], "left_semi").dropDuplicates(["key"]).select(F.col("key").alias("id"), "text")
+    maybe = KeyFilter(named).split(docs, "key", True)
+    texts = maybe.join(named, maybe["key"] == named["id"], "left_semi").dropDuplicates(["key"]).select(F.col("key").alias("id"), "text")
     sets = written(_shingle_sets(texts, words), "similar-sets")
     left = sets.select(F.col("id").alias("a"), F.col("codes").alias("x"))
     right = sets.select(F.col("id").alias("b"), F.col("codes").alias("y"))
@@ -436,9 +437,13 @@ def without_near_duplicates(docs: DataFrame, words: int = 5, similarity: float =
     repeated = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").count().filter("count > 1")
     lost = written(lost, "similar-lost").withColumnsRenamed({"doc_id": "__id", "key": "__lost"})
     keyed = docs.withColumn("__key", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
-    kept = keyed.join(lost, keyed["doc_id"].eqNullSafe(lost["__id"]) & (keyed["__key"] == lost["__lost"]), "left_anti")
+    # Most texts are neither lost nor repeated for sure, and are not shuffled.
+    keys = groups.join(repeated.select(F.col("doc_id").alias("__id")), F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi").select("key")
+    special = KeyFilter(lost.select(F.col("__lost").alias("key")).union(keys).distinct())
+    certain, maybe = special.split(keyed, "__key", False), special.split(keyed, "__key", True)
+    kept = maybe.join(lost, maybe["doc_id"].eqNullSafe(lost["__id"]) & (maybe["__key"] == lost["__lost"]), "left_anti")
     repeated = written(repeated.select(F.col("doc_id").alias("__id")), "similar-repeated")
     same = kept["doc_id"].eqNullSafe(repeated["__id"])
     single = kept.join(repeated, same, "left_anti")
     several = kept.join(repeated, same, "left_semi").dropDuplicates(["doc_id"])
-    return single.union(several).select(*columns)
+    return certain.union(single).union(several).select(*columns)
