@@ -74,10 +74,6 @@ def _context(shorter: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return context
 
 
-def _contexts(grams: list[np.ndarray], counts: np.ndarray) -> list[np.ndarray]:
-    return [_context(shorter, counts) for shorter in grams[:-1]]
-
-
 def _counted(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(values, return_counts=True)
 
@@ -112,11 +108,19 @@ def _quantised(counts: np.ndarray, base: float) -> np.ndarray:
     return 1 + np.floor(np.log(np.maximum(counts, 1)) / np.log(base) + 1e-9).astype(np.int64)
 
 
-def _places(hashes: np.ndarray, level: np.ndarray | int, bits: np.ndarray | int, probe: int) -> np.ndarray:
-    """Bit of a (hash, level) entry for one probe, inside its bucket."""
-    level = np.atleast_1d(np.asarray(level, np.uint64))
-    mixed_ = mixed(hashes + (level * np.uint64(PROBES) + np.uint64(probe + 1)) * _MIX)
-    return ((mixed_ >> np.uint64(32)) * np.asarray(bits, np.uint64) >> np.uint64(32)).astype(np.int64)
+_LOW = np.uint64((1 << 40) - 1)
+
+
+def _steps(hashes: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two 32-bit numbers of a (hash, level) entry, from which all its places follow."""
+    both = mixed((hashes & _LOW) + np.array([level], np.uint64) * _MIX)
+    return both >> np.uint64(32), both & np.uint64(0xFFFFFFFF) | np.uint64(1)
+
+
+def _place(first: np.ndarray, step: np.ndarray, bits: np.ndarray | int, probe: int) -> np.ndarray:
+    """Bit of an entry for one probe, inside its bucket."""
+    at = (first + step * np.array([probe], np.uint64)) & np.uint64(0xFFFFFFFF)
+    return (at * np.asarray(bits, np.uint64) >> np.uint64(32)).astype(np.int64)
 
 
 def bloom_filter(train: DataFrame, buckets: int, order: int = ORDER, base: float = LEVEL_BASE) -> DataFrame:
@@ -136,31 +140,41 @@ def bloom_filter(train: DataFrame, buckets: int, order: int = ORDER, base: float
             yield packed(held)
 
     def packed(held: list[np.ndarray]) -> pa.RecordBatch:
-        """Per bucket the sorted hashes and their counts, as bytes."""
+        """Per bucket the lower 40 bits of its hashes, which tell them apart there, and counts up to 255, as bytes."""
         value, count = _counted(np.concatenate(held))
+        times = -(-count // 255)  # larger counts come in several entries
+        value, count = np.repeat(value, times), np.repeat(count, times)
+        last = np.cumsum(times) - 1
+        whole = np.ones(len(value), bool)
+        whole[last] = False
+        rest = count - 255 * (np.repeat(times, times) - 1)
+        count = np.where(whole, 255, rest).astype(np.uint8)
         bucket = _buckets(value, buckets)  # rises with the hash
+        low = np.ascontiguousarray(value.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5])
         cuts = np.flatnonzero(np.diff(bucket)) + 1
         begin, end = np.append(0, cuts), np.append(cuts, len(bucket))
         return pa.record_batch(
             {
                 "bucket": pa.array(bucket[begin]),
-                "hashes": pa.array([value[a:b].tobytes() for a, b in zip(begin, end)], pa.binary()),
-                "counts": pa.array([count[a:b].astype(np.uint32).tobytes() for a, b in zip(begin, end)], pa.binary()),
+                "hashes": pa.array([low[a:b].tobytes() for a, b in zip(begin, end)], pa.binary()),
+                "counts": pa.array([count[a:b].tobytes() for a, b in zip(begin, end)], pa.binary()),
             }
         )
 
     def build(key: tuple, parts: pa.Table) -> pa.Table:
-        value = np.frombuffer(b"".join(parts.column("hashes").to_pylist()), np.uint64)
-        count = np.frombuffer(b"".join(parts.column("counts").to_pylist()), np.uint32).astype(np.int64)
-        value, inverse = np.unique(value, return_inverse=True)
+        low = np.frombuffer(b"".join(parts.column("hashes").to_pylist()), np.uint8).reshape(-1, 5)
+        value = np.zeros((len(low), 8), np.uint8)
+        value[:, :5] = low
+        count = np.frombuffer(b"".join(parts.column("counts").to_pylist()), np.uint8)
+        value, inverse = np.unique(value.view("<u8").ravel(), return_inverse=True)
         level = _quantised(np.bincount(inverse, weights=count), base)
         entries = int(level.sum())
         bits = max(64, -(-entries * BITS // 64) * 64)
         filled = np.zeros(bits, bool)
         for l in range(1, int(level.max()) + 1):
-            of = value[level >= l]
+            first, step = _steps(value[level >= l], l)
             for probe in range(PROBES):
-                filled[_places(of, l, bits, probe)] = True
+                filled[_place(first, step, bits, probe)] = True
         return pa.table(
             {
                 "bucket": pa.array([key[0].as_py()], pa.int64()),
@@ -176,32 +190,34 @@ def bloom_filter(train: DataFrame, buckets: int, order: int = ORDER, base: float
 class Turn:
     """Some buckets of the filter, and probes into them."""
 
-    def __init__(self, buckets: int, rows: list) -> None:
+    def __init__(self, buckets: int, rows) -> None:
         self.buckets = buckets
         self.bits = np.zeros(buckets, np.int64)
         self.at = np.zeros(buckets, np.int64)
-        at = 0
+        data = bytearray()
         for row in rows:
-            self.bits[row["bucket"]], self.at[row["bucket"]] = 8 * len(row["bits"]), at
-            at += len(row["bits"])
-        self.data = np.frombuffer(b"".join(bytes(r["bits"]) for r in rows), np.uint8)
+            self.bits[row["bucket"]], self.at[row["bucket"]] = 8 * len(row["bits"]), len(data)
+            data += row["bits"]
+        self.data = np.frombuffer(data, np.uint8)
 
     def levels(self, hashes: np.ndarray) -> np.ndarray:
         """Highest level of each n-gram in this turn's buckets; 0 where it is absent or elsewhere."""
-        value, inverse = np.unique(hashes, return_inverse=True)
-        bucket = _buckets(value, self.buckets)
-        out = np.zeros(len(value), np.uint8)
+        bucket = _buckets(hashes, self.buckets)
+        out = np.zeros(len(hashes), np.uint8)
         alive = np.flatnonzero(self.bits[bucket] > 0)
         level = 0
         while len(alive):
             level += 1
+            first, step = _steps(hashes[alive], level)
+            own = bucket[alive]
+            bits, at = self.bits[own], self.at[own]
             for probe in range(PROBES):
-                b = bucket[alive]
-                place = _places(value[alive], level, self.bits[b], probe)
-                byte = self.data[self.at[b] + (place >> 3)]
-                alive = alive[(byte >> (7 - (place & 7)).astype(np.uint8)) & 1 == 1]
+                place = _place(first, step, bits, probe)
+                hit = np.flatnonzero((self.data[at + (place >> 3)] >> (7 - (place & 7)).astype(np.uint8)) & 1)
+                if len(hit) < len(alive):
+                    alive, first, step, bits, at = alive[hit], first[hit], step[hit], bits[hit], at[hit]
             out[alive] = level
-        return out[inverse]
+        return out
 
 
 def _turns(filter_: DataFrame, turn_bytes: int) -> list[list[int]]:
@@ -243,8 +259,8 @@ def scored(docs: DataFrame, folds: int = 10, held_out: int = 0, order: int = ORD
 
     counts = written(word_counts(train), "lm-words")
     total, kinds = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-    frequent = counts.filter(F.col("c") * FREQUENT >= total).toPandas().sort_values("word")  # FREQUENT words at most
-    known = spark.sparkContext.broadcast((frequent["word"].to_numpy(np.int64), frequent["c"].to_numpy(np.int64)))
+    frequent = counts.filter(F.col("c") * FREQUENT >= total).toArrow()  # FREQUENT words at most
+    known = spark.sparkContext.broadcast((frequent.column("word").to_numpy(), frequent.column("c").to_numpy()))
 
     buckets = max(1, -(-int(total) * order // BUCKET_TOKENS))
     filter_ = written(bloom_filter(train, buckets, order, base), "lm-filter")
@@ -252,30 +268,31 @@ def scored(docs: DataFrame, folds: int = 10, held_out: int = 0, order: int = ORD
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     state = docs.withColumn("levels", F.lit(None).cast("binary"))
+    begin_level = 0
     for number, chosen in enumerate(turns):
-        rows = filter_.filter(F.col("bucket").between(chosen[0], chosen[-1])).collect() if chosen else []  # turn_bytes at most
-        turn = spark.sparkContext.broadcast(Turn(buckets, rows))
-        last = number == len(turns) - 1
-        if last:
+        part = Turn(buckets, filter_.filter(F.col("bucket").between(chosen[0], chosen[-1])).toLocalIterator() if chosen else [])
+        begin_level = max(begin_level, int(part.levels(np.array([START], np.uint64))[0]))
+        turn = spark.sparkContext.broadcast(part)  # turn_bytes at most
+        if number == len(turns) - 1:
             break
         fields = f"doc_id {kind}, text string, levels binary"
         state = written(state.mapInArrow(_filling(turn, order), fields), "lm-levels")
+        turn.destroy()
 
-    finished = _finishing(turn, known, order, int(total), int(kinds), prior, base)
+    finished = _finishing(turn, known, order, int(total), int(kinds), prior, base, begin_level)
     schema = f"doc_id {kind}, key long, n_tokens long, n_known long, base_score double, score double, rare array<struct<word:long,n:int>>"
-    rows = written(state.mapInArrow(finished, schema), "lm-scores")
+    rows = written(state.mapInArrow(finished, schema).withColumn("key", F.xxhash64("doc_id", "key")), "lm-scores")
     # Rare words of equal rows are looked up once for each; equal rows share a key, so what they add is divided by their number.
-    rare = rows.select("doc_id", "key", F.explode("rare").alias("r")).select("doc_id", "key", "r.word", "r.n")
+    rare = rows.select("key", F.explode("rare").alias("r")).select("key", "r.word", "r.n")
     unseen = float(np.log10(0.1 / (total + 0.1 * (kinds + 1))))
     chance = F.log10((F.coalesce("c", F.lit(0)) + F.lit(0.1)) / F.lit(float(total + 0.1 * (kinds + 1))))
-    rare = rare.join(counts, "word", "left").groupBy("doc_id", "key").agg(
+    rare = rare.join(counts, "word", "left").groupBy("key").agg(
         F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("more_known"), F.sum(F.col("n") * (chance - F.lit(unseen))).alias("more")
     )
-    rare = rare.withColumnsRenamed({"doc_id": "__id", "key": "__key"})
     copies = rows.groupBy("doc_id", "key", "n_tokens", "n_known").agg(
         F.count(F.lit(1)).alias("copies"), F.min("base_score").alias("base_score"), F.min("score").alias("score")
     )
-    joined = copies.join(rare, copies["doc_id"].eqNullSafe(rare["__id"]) & (copies["key"] == rare["__key"]), "left")
+    joined = copies.join(rare, "key", "left")
     joined = joined.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
     return joined.select(
         "doc_id",
@@ -288,9 +305,9 @@ def scored(docs: DataFrame, folds: int = 10, held_out: int = 0, order: int = ORD
     )
 
 
-def _level_arrays(turn, grams, contexts, stored: list[bytes], counts: np.ndarray) -> list[np.ndarray]:
-    """Levels of the n-grams and contexts, those of earlier turns included."""
-    found = [turn.levels(x) for x in (*grams, *contexts)]
+def _level_arrays(turn, grams, stored: list[bytes], counts: np.ndarray) -> list[np.ndarray]:
+    """Levels of the n-grams, those of earlier turns included."""
+    found = [turn.levels(x) for x in grams]
     if any(s is not None for s in stored):
         before = np.frombuffer(b"".join(stored), np.uint8)
         begin = np.append(0, np.cumsum(counts))
@@ -302,12 +319,12 @@ def _level_arrays(turn, grams, contexts, stored: list[bytes], counts: np.ndarray
 
 
 def _filling(turn, order: int):
-    """Adds one turn's levels: for each text the levels of all 1-grams, then 2-grams, ..., then contexts."""
+    """Adds one turn's levels: for each text the levels of all 1-grams, then of all 2-grams, ..."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, texts in chunks(batches):
             grams, counts = ngrams(texts, order)
-            found = _level_arrays(turn.value, grams, _contexts(grams, counts), rows.column("levels").to_pylist(), counts)
+            found = _level_arrays(turn.value, grams, rows.column("levels").to_pylist(), counts)
             begin = np.append(0, np.cumsum(counts))
             levels = [b"".join(x[a:b].tobytes() for x in found) for a, b in zip(begin[:-1], begin[1:])]
             yield pa.record_batch({"doc_id": rows.column("doc_id"), "text": rows.column("text"), "levels": pa.array(levels, pa.binary())})
@@ -315,7 +332,7 @@ def _filling(turn, order: int):
     return run
 
 
-def _finishing(turn, known, order: int, total: int, kinds: int, prior: float, base: float):
+def _finishing(turn, known, order: int, total: int, kinds: int, prior: float, base: float, begin_level: int):
     """Scores from the last turn; words that were not sent are returned for the join."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -326,10 +343,15 @@ def _finishing(turn, known, order: int, total: int, kinds: int, prior: float, ba
         whole = total + 0.1 * (kinds + 1)
         for rows, texts in chunks(batches):
             grams, counts = ngrams(texts, order)
-            contexts = _contexts(grams, counts)
-            levels = _level_arrays(turn.value, grams, contexts, rows.column("levels").to_pylist(), counts)
+            levels = _level_arrays(turn.value, grams, rows.column("levels").to_pylist(), counts)
             heads = np.append(0, np.cumsum(counts)[:-1])
-            score = np.add.reduceat(log_probabilities(levels[:order], levels[order:], total, kinds, prior, base), heads)
+            contexts = []
+            for shorter in levels[: order - 1]:
+                context = np.empty_like(shorter)
+                context[1:] = shorter[:-1]
+                context[heads] = begin_level
+                contexts.append(context)
+            score = np.add.reduceat(log_probabilities(levels[:order], contexts, total, kinds, prior, base), heads)
             doc = np.repeat(np.arange(len(texts)), counts)
             count = np.zeros(len(doc), np.int64)
             if len(words):
