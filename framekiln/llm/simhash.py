@@ -257,23 +257,38 @@ def _search(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.Recor
         yield pa.record_batch({"a": pa.array(a), "b": pa.array(b)})
 
 
-def _nearest(batches: Iterator[pa.RecordBatch], radius: int, parts: list[str], most: int) -> Iterator[pa.RecordBatch]:
-    """(a, b, differences): the ``NEAREST`` closest of each entry in each run of its node."""
-    for (ids, *words), begin, end in _runs(batches, ["id", *parts], most):
+def _nearest(batches: Iterator[pa.RecordBatch], radius: int, parts: list[str], run: int, most: int) -> Iterator[pa.RecordBatch]:
+    """(a, b, differences, cut): the ``most`` closest of each entry in each run of its node, without those of its own group.
+
+    ``cut`` tells that the run holds more of them for ``a``. Ties are ordered by a hash of both, so no entry is everyone's choice.
+    """
+    for (ids, root, *words), begin, end in _runs(batches, ["id", "root", *parts], run):
         bits = np.column_stack([w.view(np.uint64) for w in words])
-        found = list(_close(bits, begin, end, radius))
+        found = [(np.zeros(0, np.int64),) * 3]
+
+        def add(a: np.ndarray, b: np.ndarray, d: np.ndarray) -> None:
+            apart = root[a] != root[b]
+            found.append((a[apart], b[apart], d[apart]))
+
+        for a, b, d in _close(bits, begin, end, radius):
+            add(a, b, d)
         for i in np.flatnonzero(end - begin > SMALL):
             pairs: list = []
             gray_links(bits[begin[i] : end[i]], radius, pairs)
-            found += [(a + begin[i], b + begin[i], d) for a, b, d in pairs]
-        a = np.concatenate([np.zeros(0, np.int64), *[f[0] for f in found], *[f[1] for f in found]])
-        b = np.concatenate([np.zeros(0, np.int64), *[f[1] for f in found], *[f[0] for f in found]])
-        d = np.concatenate([np.zeros(0, np.int64), *[f[2] for f in found], *[f[2] for f in found]])
-        order = np.lexsort((ids[b], d, a))
+            for a, b, d in pairs:
+                add(a + begin[i], b + begin[i], d)
+        a, b, d = (np.concatenate(x) for x in zip(*found))
+        a, b, d = np.append(a, b), np.append(b, a), np.append(d, d)
+        order = np.lexsort((b, mixed((ids[a] ^ ids[b]).view(np.uint64)), d, a))
         a, b, d = a[order], b[order], d[order]
-        rank = np.arange(len(a)) - np.searchsorted(a, a)
-        keep = rank < NEAREST
-        yield pa.record_batch({"a": pa.array(ids[a[keep]]), "b": pa.array(ids[b[keep]]), "differences": pa.array(d[keep])})
+        first = np.append(True, (np.diff(a) != 0) | (np.diff(b) != 0))[: len(a)]  # runs overlap
+        a, b, d = a[first], b[first], d[first]
+        start = np.searchsorted(a, a)
+        keep = np.arange(len(a)) - start < most
+        cut = np.searchsorted(a, a, side="right") - start > most
+        yield pa.record_batch(
+            {"a": pa.array(ids[a[keep]]), "b": pa.array(ids[b[keep]]), "differences": pa.array(d[keep]), "cut": pa.array(cut[keep])}
+        )
 
 
 def linked(fps: DataFrame, radius: int = 3, group_rows: int = GROUP_ROWS) -> DataFrame:
@@ -370,8 +385,10 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, rec
     whole block equal: a mask takes as many bits as single out some dozens of texts, and there are as many
     masks as let two texts at the threshold agree in one of them with probability ``recall``. Nodes are dealt
     to tasks by range, so one that holds a third of all texts is shared by many; runs of a long node overlap
-    in Gray order. Each text's ``NEAREST`` candidates are then compared by their whole shingle sets (Jaccard); only links that
-    reach the similarity count. Texts without words form one group.
+    in Gray order. Candidates are compared by their whole shingle sets (Jaccard), and only links that reach the similarity
+    count. This goes in rounds: first each text's ``NEAREST`` candidates, then four times as many of those in other groups than its own
+    so far, among the texts that had more than their share, until no text has candidates left in another group.
+    Texts without words form one group.
     """
     docs = texts_of(docs).withColumn("key", F.xxhash64("text"))
     rows = written(docs.select("doc_id", "key"), "similar-rows")
@@ -393,20 +410,15 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, rec
         mask = [_signed(sum(1 << int(b % 64) for b in bits if b // 64 == part)) for part in range(PARTS)]
         code = F.xxhash64(*[F.col(p).bitwiseAND(F.lit(m)) for p, m in zip(parts, mask)])
         chosen.append(F.struct(F.lit(number).alias("mask"), code.alias("pattern")))
-    nodes = entries.select("id", *parts, F.explode(F.array(*chosen)).alias("node")).select("node.mask", "node.pattern", "id", *parts)
-    order = ["mask", "pattern", _gray_rank(F.col("f0")), "id"]
-    placed = nodes.repartitionByRange(*order).sortWithinPartitions(*order)
-    near = placed.mapInArrow(lambda batches: _nearest(batches, radius, parts, 1024), "a long, b long, differences long")
-    best = near.groupBy("a").agg(F.slice(F.array_sort(F.collect_set(F.struct("differences", "b"))), 1, NEAREST).alias("near"))  # a few for each mask
-    pairs = best.select("a", F.explode("near.b").alias("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    pairs = written(pairs, "similar-pairs")
-
-    named = written(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "similar-named")
-    maybe = KeyFilter(named).split(docs, "key", True)
-    texts = maybe.join(named, maybe["key"] == named["id"], "left_semi").dropDuplicates(["key"]).select(F.col("key").alias("id"), "text")
-    sets = written(_shingle_sets(texts, words), "similar-sets")
-    left = sets.select(F.col("id").alias("a"), F.col("codes").alias("x"))
-    right = sets.select(F.col("id").alias("b"), F.col("codes").alias("y"))
+    def searched(open_: DataFrame, most: int) -> DataFrame:
+        """(a, near, cut): the closest candidates in other groups, and whether there are more."""
+        nodes = open_.select("id", "root", *parts, F.explode(F.array(*chosen)).alias("node")).select("node.mask", "node.pattern", "id", "root", *parts)
+        order = ["mask", "pattern", _gray_rank(F.col("f0")), "id"]
+        placed = nodes.repartitionByRange(*order).sortWithinPartitions(*order)
+        near = placed.mapInArrow(lambda batches: _nearest(batches, radius, parts, 1024, most), "a long, b long, differences long, cut boolean")
+        tie = F.xxhash64(F.col("a").bitwiseXOR(F.col("b"))).alias("tie")
+        best = near.groupBy("a").agg(F.array_sort(F.collect_set(F.struct("differences", tie, "b"))).alias("all"), F.max("cut").alias("cut"))
+        return best.select("a", F.slice("all", 1, most)["b"].alias("near"), (F.col("cut") | (F.size("all") > most)).alias("cut"))
 
     def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -417,8 +429,31 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, rec
                 keep.append(shared >= similarity * (len(x) + len(y) - shared) - 1e-9)
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    linked_ = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(verified, "a long, b long")
-    roots = components(linked_, "similar-links")
+    open_, most, sets, tried, links = entries.withColumn("root", F.col("id")), NEAREST, None, None, None
+    while True:
+        best = written(searched(open_, most), "similar-near")
+        pairs = best.select("a", F.explode("near").alias("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        if tried is not None:
+            pairs = pairs.join(tried, ["a", "b"], "left_anti")
+        pairs = written(pairs, "similar-pairs")
+        if sets is None:  # later rounds compare no other texts
+            named = written(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "similar-named")
+            maybe = KeyFilter(named).split(docs, "key", True)
+            texts = maybe.join(named, maybe["key"] == named["id"], "left_semi").dropDuplicates(["key"]).select(F.col("key").alias("id"), "text")
+            sets = written(_shingle_sets(texts, words), "similar-sets")
+            left = sets.select(F.col("id").alias("a"), F.col("codes").alias("x"))
+            right = sets.select(F.col("id").alias("b"), F.col("codes").alias("y"))
+        reached = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(verified, "a long, b long")
+        reached = written(reached, "similar-reached")
+        tried = pairs if tried is None else tried.union(pairs)
+        links = reached if links is None else links.union(reached)
+        roots = components(links, "similar-links")
+        more = best.filter("cut").select(F.col("a").alias("id"))
+        if more.isEmpty():
+            break
+        open_ = entries.join(more, "id", "left_semi").join(roots.withColumnRenamed("node", "id"), "id", "left")
+        open_ = written(open_.select("id", *parts, F.coalesce("root", "id").alias("root")), "similar-open")
+        most *= 4
     grouped = once.join(entries, parts).select("key", "id").join(roots.withColumnRenamed("node", "id"), "id", "left")
     grouped = written(grouped.select("key", F.coalesce("root", "id").alias("root")), "similar-roots")
     least = rows.join(grouped, "key").groupBy("root").agg(F.min("doc_id").alias("component_id"))

@@ -110,3 +110,17 @@ def test_without_near_duplicates_keeps_columns(odd_docs):
     assert kept.columns == odd_docs.columns
     ids = [r.doc_id for r in kept.collect()]
     assert ids.count(4) == 1 and 11 in ids and 12 not in ids and ids.count(5) <= 2 and 1 in ids and 2 not in ids
+
+
+def test_similar_groups_link_families_of_close_copies(spark):
+    """Each text has five closer copies than the nearest text of the other family, which is similar enough as well."""
+    rows = []
+    for number in range(8):
+        words = [f"n{number}w{i}" for i in range(200)]
+        other = words[:90] + [f"n{number}o{i}" for i in range(13)] + words[103:]
+        rows += [(len(rows) + i, " ".join([*family, f"n{number}v{j}"])) for i, (family, j) in enumerate((f, j) for f in (words, other) for j in range(6))]
+    want = plain_groups(rows, lambda a, b: jaccard(a, b) >= 0.8)
+    assert len(set(want)) == 8
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in simhash.similar_groups(docs).collect()}
+    assert [got[i] for i, _ in rows] == want
