@@ -332,14 +332,21 @@ def _shingles(texts: list[bytes], words: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def wide_fingerprints(docs: DataFrame, words: int = 5) -> DataFrame:
-    """(key, f0 ... f3): 256 majority bits of the hashed word shingles; ``key`` comes with the text."""
+    """(key, same, f0 ... f3): 256 majority bits of the hashes of the different word shingles; ``key`` comes with the text.
+
+    ``same`` is a hash of the set of shingles.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, texts in chunks(batches):
             doc, code = _shingles(texts, words)
-            first = np.searchsorted(doc, np.arange(len(texts)))
-            filled = np.diff(np.append(first, len(doc))) > 0
-            shingles = np.diff(np.append(first, len(doc)))
+            order = np.lexsort((code, doc))
+            doc, code = doc[order], code[order]
+            fresh = np.append(True, (np.diff(doc) != 0) | (np.diff(code) != 0))[: len(doc)]
+            doc, code = doc[fresh], code[fresh]
+            cut = np.searchsorted(doc, np.arange(len(texts) + 1))
+            first, shingles = cut[:-1], np.diff(cut)
+            filled = shingles > 0
             out = np.zeros((len(texts), PARTS), np.int64)
             for part in range(PARTS):
                 own = np.unpackbits(mixed(code + np.array([part], np.uint64) * _PART).view(np.uint8).reshape(-1, 8), axis=1)
@@ -347,10 +354,11 @@ def wide_fingerprints(docs: DataFrame, words: int = 5) -> DataFrame:
                     ones = np.add.reduceat(own, first[filled], axis=0, dtype=np.int32)
                     packed = np.packbits(2 * ones > shingles[filled][:, None], axis=1)
                     out[filled, part] = packed.copy().view(np.int64).ravel()
-            yield pa.record_batch({"key": rows.column("key"), **{f"f{i}": pa.array(out[:, i].copy()) for i in range(PARTS)}})
+            same = np.array([xxhash.xxh64_intdigest(code[a:b].tobytes()) for a, b in zip(cut[:-1], cut[1:])], np.uint64).view(np.int64)
+            yield pa.record_batch({"key": rows.column("key"), "same": pa.array(same), **{f"f{i}": pa.array(out[:, i].copy()) for i in range(PARTS)}})
 
     fields = ", ".join(f"f{i} long" for i in range(PARTS))
-    return docs.select("key", "text").mapInArrow(run, f"key long, {fields}")
+    return docs.select("key", "text").mapInArrow(run, f"key long, same long, {fields}")
 
 
 _PART = np.uint64(0xD6E8FEB86659FD93)
@@ -392,11 +400,11 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, rec
     """
     docs = texts_of(docs).withColumn("key", F.xxhash64("text"))
     rows = written(docs.select("doc_id", "key"), "similar-rows")
-    once = written(wide_fingerprints(docs, words), "similar-prints").groupBy("key").agg(*[F.first(f"f{i}").alias(f"f{i}") for i in range(PARTS)])
+    once = written(wide_fingerprints(docs, words), "similar-prints").dropDuplicates(["key"])
     parts = [f"f{i}" for i in range(PARTS)]
-    # Equal fingerprints are one entry, named by one of their keys.
+    # Equal sets of shingles are one entry, named by one of their keys; equal fingerprints alone are not.
     once = written(once, "similar-texts")
-    entries = written(once.groupBy(*parts).agg(F.min("key").alias("id")), "similar-entries")
+    entries = written(once.groupBy("same").agg(F.min("key").alias("id"), *[F.first(p).alias(p) for p in parts]), "similar-entries")
     size = entries.count()
     mean, deviation = expected_distance(similarity, 64 * PARTS)
     radius = int(mean + 2 * deviation)
@@ -451,10 +459,10 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, rec
         more = best.filter("cut").select(F.col("a").alias("id"))
         if more.isEmpty():
             break
-        open_ = entries.join(more, "id", "left_semi").join(roots.withColumnRenamed("node", "id"), "id", "left")
+        open_ = entries.drop("same").join(more, "id", "left_semi").join(roots.withColumnRenamed("node", "id"), "id", "left")
         open_ = written(open_.select("id", *parts, F.coalesce("root", "id").alias("root")), "similar-open")
         most *= 4
-    grouped = once.join(entries, parts).select("key", "id").join(roots.withColumnRenamed("node", "id"), "id", "left")
+    grouped = once.select("key", "same").join(entries.select("same", "id"), "same").select("key", "id").join(roots.withColumnRenamed("node", "id"), "id", "left")
     grouped = written(grouped.select("key", F.coalesce("root", "id").alias("root")), "similar-roots")
     least = rows.join(grouped, "key").groupBy("root").agg(F.min("doc_id").alias("component_id"))
     ids = written(grouped.join(least, "root").select("key", "component_id"), "similar-ids")

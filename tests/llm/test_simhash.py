@@ -124,3 +124,14 @@ def test_similar_groups_link_families_of_close_copies(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r.doc_id: r.component_id for r in simhash.similar_groups(docs).collect()}
     assert [got[i] for i, _ in rows] == want
+
+
+def test_similar_groups_tell_texts_with_one_common_line_apart(spark):
+    """One line fifty times and another end: equal majorities of repeated shingles, but few shared shingles."""
+    line = " ".join(f"l{i}" for i in range(11))
+    rows = [(i, "\n".join([line] * 50 + [" ".join(f"d{i}e{j}" for j in range(28))])) for i in range(6)]
+    rows += [(6, rows[0][1] + "\n" + line), (7, rows[0][1].upper())]
+    want = plain_groups(rows, lambda a, b: jaccard(a, b) >= 0.8)
+    assert want == [0, 1, 2, 3, 4, 5, 0, 0]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in simhash.similar_groups(docs).collect()} == dict(enumerate(want))
