@@ -386,7 +386,7 @@ def _shingle_sets(docs: DataFrame, words: int) -> DataFrame:
 
 
 def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, recall: float = 0.99) -> DataFrame:
-    """(doc_id, key, component_id) of every row: groups of texts with a shingle similarity of ``similarity`` or more.
+    """(doc_id, key, root, component_id) of every row: groups of texts with a shingle similarity of ``similarity`` or more.
 
     Candidates differ in no more of 256 bits than the similarity lets expect, plus two
     deviations. Upper nodes are random masks instead of blocks, as so many differences leave no
@@ -394,7 +394,7 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, rec
     masks as let two texts at the threshold agree in one of them with probability ``recall``. Nodes are dealt
     to tasks by range, so one that holds a third of all texts is shared by many; runs of a long node overlap
     in Gray order. Candidates are compared by their whole shingle sets (Jaccard), and only links that reach the similarity
-    count. This goes in rounds: first each text's ``NEAREST`` candidates, then four times as many of those in other groups than its own
+    count. ``root`` is the key of one of the group's texts. This goes in rounds: first each text's ``NEAREST`` candidates, then four times as many of those in other groups than its own
     so far, among the texts that had more than their share, until no text has candidates left in another group.
     Texts without words form one group.
     """
@@ -465,28 +465,28 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, rec
     grouped = once.select("key", "same").join(entries.select("same", "id"), "same").select("key", "id").join(roots.withColumnRenamed("node", "id"), "id", "left")
     grouped = written(grouped.select("key", F.coalesce("root", "id").alias("root")), "similar-roots")
     least = rows.join(grouped, "key").groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    ids = written(grouped.join(least, "root").select("key", "component_id"), "similar-ids")
-    return rows.join(ids, "key").select("doc_id", "key", "component_id")
+    ids = written(grouped.join(least, "root").select("key", "root", "component_id"), "similar-ids")
+    return rows.join(ids, "key").select("doc_id", "key", "root", "component_id")
 
 
 def without_near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """``docs`` with one row of each group of ``similar_groups``, the one with the smallest ``doc_id``.
 
-    Of rows that repeat one is kept; rows without ``doc_id`` go if their group has a row with one.
+    Of rows of a group that share this id one is kept; rows without ``doc_id`` go if their group has a row with one.
     """
     columns = docs.columns
     groups = similar_groups(docs, words, similarity)
     lost = groups.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id", "key").distinct()
-    repeated = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").count().filter("count > 1")
+    first = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    repeated = first.groupBy("root").count().filter("count > 1").select("root")
+    repeated = written(first.join(repeated, "root", "left_semi").select("key", "root").distinct(), "similar-repeated")
+    repeated = repeated.withColumnsRenamed({"key": "__same", "root": "__root"})
     lost = written(lost, "similar-lost").withColumnsRenamed({"doc_id": "__id", "key": "__lost"})
     keyed = docs.withColumn("__key", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
     # Most texts are neither lost nor repeated for sure, and are not shuffled.
-    keys = groups.join(repeated.select(F.col("doc_id").alias("__id")), F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi").select("key")
-    special = KeyFilter(lost.select(F.col("__lost").alias("key")).union(keys).distinct())
+    special = KeyFilter(lost.select(F.col("__lost").alias("key")).union(repeated.select("__same")).distinct())
     certain, maybe = special.split(keyed, "__key", False), special.split(keyed, "__key", True)
     kept = maybe.join(lost, maybe["doc_id"].eqNullSafe(lost["__id"]) & (maybe["__key"] == lost["__lost"]), "left_anti")
-    repeated = written(repeated.select(F.col("doc_id").alias("__id")), "similar-repeated")
-    same = kept["doc_id"].eqNullSafe(repeated["__id"])
-    single = kept.join(repeated, same, "left_anti")
-    several = kept.join(repeated, same, "left_semi").dropDuplicates(["doc_id"])
-    return certain.union(single).union(several).select(*columns)
+    single = kept.join(repeated, kept["__key"] == repeated["__same"], "left_anti")
+    several = kept.join(repeated, kept["__key"] == repeated["__same"]).dropDuplicates(["__root"])
+    return certain.union(single).select(*columns).union(several.select(*columns))

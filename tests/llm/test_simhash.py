@@ -135,3 +135,14 @@ def test_similar_groups_tell_texts_with_one_common_line_apart(spark):
     assert want == [0, 1, 2, 3, 4, 5, 0, 0]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert {r.doc_id: r.component_id for r in simhash.similar_groups(docs).collect()} == dict(enumerate(want))
+
+
+def test_without_near_duplicates_keeps_one_row_of_each_group(spark, odd_docs):
+    """Ids that are missing or stand on unlike texts do not make them copies."""
+    kept = [(r.doc_id, r.text) for r in simhash.without_near_duplicates(odd_docs).collect()]
+    assert kept.count((5, "first text")) == kept.count((5, "second text of one id")) == 1
+    rows = [(None, "a clean text"), (None, "another one that is unlike"), (None, "another one that is unlike"), (None, "a clean  Text"), (None, "third")]
+    rows += [(1, "some words"), (1, "other words here"), (1, "Some words"), (2, "some words"), (None, "other words here")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = sorted((str(r.doc_id), " ".join(r.text.lower().split())) for r in simhash.without_near_duplicates(docs).collect())
+    assert kept == [("1", "other words here"), ("1", "some words"), ("None", "a clean text"), ("None", "another one that is unlike"), ("None", "third")]
