@@ -12,7 +12,7 @@
    pattern's slot.
 
 Tokens come from the rank form of the byte-level vocabulary, which gives the same ids
-as the ``tokenizers`` form, with strings of special tokens taken as ordinary text. Text is cut
+as the ``tokenizers`` form. Texts are cut at the strings of that form's added tokens first, which have ids of their own. Text is cut
 before single blanks between visible characters, where no token of this vocabulary's
 splitting pattern crosses, and ids of such a word are looked up in a bounded memory of words.
 
@@ -24,9 +24,10 @@ all of these are alike, so any order of them is the same packing.
 from __future__ import annotations
 
 import base64
+import json
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -83,12 +84,42 @@ class WordIds:
         return self._fresh(part)
 
 
-def pieces(docs: DataFrame, ranks_path: str, pattern: str, size: int = SIZE, end_id: int = 0) -> DataFrame:
-    """(doc_id, start, length, ids_crc32, doc_tokens): each document's ids in pieces."""
+def added_tokens() -> dict[str, int]:
+    """Strings and ids of the added tokens of the public byte-level vocabulary."""
+    import public_tokenizers
+
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as file:
+        return {x["content"]: x["id"] for x in json.load(file)["added_tokens"]}
+
+
+def ids_with_added(ids_of: Callable[[str], bytes], added: dict[str, int]) -> Callable[[str], bytes]:
+    """``ids_of`` for what lies between added tokens, and the ids of these; the longest of those that begin at one place counts."""
+    if not added:
+        return ids_of
+    cut = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")")
+    own = {token: np.array([id_], "<u4").tobytes() for token, id_ in added.items()}
+
+    def run(text: str) -> bytes:
+        parts = cut.split(text)
+        if len(parts) == 1:
+            return ids_of(text)
+        return b"".join(own[part] if i % 2 else ids_of(part) for i, part in enumerate(parts))
+
+    return run
+
+
+def pieces(
+    docs: DataFrame, ranks_path: str, pattern: str, size: int = SIZE, end_id: int = 0, added: dict[str, int] | None = None
+) -> DataFrame:
+    """(doc_id, start, length, ids_crc32, doc_tokens): each document's ids in pieces.
+
+    ``added`` has the added tokens; without it they are those of the public vocabulary.
+    """
+    added = added_tokens() if added is None else added
     last = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of = WordIds(ranks_path, pattern)
+        ids_of = ids_with_added(WordIds(ranks_path, pattern), added)
         for rows, texts in chunks(batches):
             index, start, length, crc, total = [], [], [], [], []
             for i, text in enumerate(texts):

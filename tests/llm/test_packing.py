@@ -66,3 +66,17 @@ def test_shortest_pack_first_places_every_length():
         total = sum(k * v for k, v in lengths.items())
         assert sum(c for c, _ in patterns) * size < total * 1.02 + 2 * size
         assert len(patterns) <= 2 * size
+
+
+def test_added_tokens_have_their_ids(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x  <|endoftext|><|endoftext|>\n y", "<|endoftext| >", "<|ENDOFTEXT|> a<|endoftext|>  b ", "no token here"]
+    encoded = tokenizer.encode_batch(texts, add_special_tokens=False)
+    assert encoded[0].ids == [64, 220, 50256, 275]
+    want = [(i, np.array(e.ids + [0], "<u4")) for i, e in enumerate(encoded)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    check(packing.pack_documents(docs).collect(), want, 1024)
+    check(packing.pack_documents(docs, *packing.tokenizer_files(), size=3).collect(), want, 3)
