@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framekiln.llm import lm, packing, pii, quality, quotations, simhash, suffixes, toxicity, vectors, winnowing
+from framekiln.llm import lm, packing, pii, quality, quotations, reputation, simhash, suffixes, toxicity, vectors, winnowing
 from framekiln.llm.common import table
 
 QUERIES: dict = {}
@@ -133,3 +133,42 @@ def op10_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of every document, learnt from labels outside the held-out fifth."""
     return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+_OP11 = r"""
+WITH p AS (
+  SELECT page_id, coalesce(translate(regexp_extract(url, '^.*?://([^/?#]*)', 1, 's'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+    coalesce(regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's'), '') AS path FROM pages),
+o AS (SELECT doc_id AS page_id, max(quality = 0 OR toxic = 1) AS bad FROM labels WHERE doc_id IS NOT NULL GROUP BY 1),
+h AS (
+  SELECT host, split_part(host, '.', -1) AS suffix, array_to_string(string_split(host, '.')[-2:], '.') AS domain,
+    count(bad) AS n, count(*) FILTER (WHERE bad) AS bad FROM p LEFT JOIN o USING (page_id) GROUP BY 1),
+s0 AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad, (1 + sum(sum(bad)) OVER () - sum(bad)) / (2 + sum(sum(n)) OVER () - sum(n)) AS m FROM h GROUP BY 1),
+s1 AS (SELECT 1 / least(0.5, greatest(0.001, coalesce(sum((bad - n * m) ** 2 - n * m * (1 - m)) / nullif(sum(n * (n - 1) * m * (1 - m)), 0), 0.5))) - 1 AS w FROM s0),
+s AS (SELECT suffix, w * m + bad AS bad_above, w + n AS n_above FROM s0, s1),
+d00 AS (SELECT domain, suffix, sum(n) AS n, sum(bad) AS bad FROM h GROUP BY 1, 2),
+d0 AS (SELECT domain, n, bad, (bad_above - bad) / (n_above - n) AS m FROM d00 JOIN s USING (suffix)),
+d1 AS (SELECT 1 / least(0.5, greatest(0.001, coalesce(sum((bad - n * m) ** 2 - n * m * (1 - m)) / nullif(sum(n * (n - 1) * m * (1 - m)), 0), 0.5))) - 1 AS w FROM d0),
+d AS (SELECT domain, w * m + bad AS bad_above, w + n AS n_above FROM d0, d1),
+h0 AS (SELECT host, n, bad, (bad_above - bad) / (n_above - n) AS m FROM h JOIN d USING (domain)),
+h1 AS (SELECT 1 / least(0.5, greatest(0.001, coalesce(sum((bad - n * m) ** 2 - n * m * (1 - m)) / nullif(sum(n * (n - 1) * m * (1 - m)), 0), 0.5))) - 1 AS w FROM h0),
+h2 AS (SELECT host, n, bad, (w * m + bad) / (w + n) AS mean, w FROM h0, h1),
+b AS (SELECT host, n, bad, mean - 1.645 * sqrt(mean * (1 - mean) / (w + n + 1)) AS bound FROM h2),
+r AS (
+  SELECT page_id, host, path, n, bad, bound, CASE
+    WHEN (host = 'example.net' OR host LIKE '%.example.net') AND starts_with(path, '/en/') THEN 'example.net/en/'
+    WHEN (host = 'example.com' OR host LIKE '%.example.com') AND starts_with(path, '/de/') THEN 'example.com/de/'
+    WHEN (host = 'org' OR host LIKE '%.org') AND starts_with(path, '/fr/') THEN 'org/fr/'
+    WHEN (host = 'net' OR host LIKE '%.net') AND starts_with(path, '/') THEN 'net/' END AS rule
+  FROM p JOIN b USING (host))
+SELECT page_id, host, path, rule, CASE rule WHEN 'net/' THEN 'block' WHEN 'example.com/de/' THEN 'block' WHEN 'example.net/en/' THEN 'allow'
+    WHEN 'org/fr/' THEN 'allow' ELSE CASE WHEN bound > 0.5 THEN 'block' ELSE 'allow' END END AS verdict, n AS n_labelled, bad AS n_bad
+FROM r
+"""
+
+
+@query("op11_reputation", _OP11)
+def op11_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on every url by rules and its host's reputation; a page's outcome is the label of its id."""
+    outcomes = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), F.expr("quality = 0 OR toxic = 1").alias("bad"))
+    return reputation.judge(table(spark, sf_dir, "pages"), outcomes).drop("bound")
