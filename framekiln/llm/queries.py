@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framekiln.llm import lm, packing, pii, quality, quotations, reputation, simhash, suffixes, toxicity, vectors, winnowing
+from framekiln.llm import lm, packing, pii, quality, quotations, reputation, simhash, suffixes, toxicity, vectors, whitening, winnowing
 from framekiln.llm.common import table
 
 QUERIES: dict = {}
@@ -172,3 +172,9 @@ def op11_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdict on every url by rules and its host's reputation; a page's outcome is the label of its id."""
     outcomes = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), F.expr("quality = 0 OR toxic = 1").alias("bad"))
     return reputation.judge(table(spark, sf_dir, "pages"), outcomes).drop("bound")
+
+
+@query("op13_whitening")
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whitened leading components of every vector."""
+    return whitening.whitened(table(spark, sf_dir, "embeddings"))
