@@ -14,18 +14,21 @@ from pyspark.sql import functions as F
 from framekiln.functions import fields
 from framekiln.operators import pairing, sharding
 from framekiln.session import written
-from framekiln.sources import tar
+from framekiln.sources import tar, tar_index
 
 
-def _has(spark: SparkSession, paths, members: Sequence[str]) -> DataFrame:
-    """The index of the samples that have these members.
+def _has(spark: SparkSession, paths, members: Sequence[str], index_path: str | None = None) -> DataFrame:
+    """The samples that have these members, without bodies.
 
-    It is written once, as numbering reads it more than once and a scan opens every
-    shard.
+    They are written once, as numbering reads them more than once and a scan opens every
+    shard. With an ``index_path`` only shards that are not in that index yet are opened.
     """
-    found = tar.tar_scan(spark, paths, fields=[])
-    for member in members:
-        found = found.filter(F.array_contains("members", member))
+    if index_path:
+        found = tar_index.indexed_samples(spark, paths, index_path, sizes=False)
+        for member in members:
+            found = found.filter(F.array_contains("members", member))
+    else:
+        found = tar.tar_scan(spark, paths, fields=[], required=list(members))
     return written(found.select("shard", "shard_idx", "pos", "key", "bytes"), "index")
 
 
@@ -36,12 +39,14 @@ def reshard(
     shard_size: int,
     members: Sequence[str] = ("jpg", "txt"),
     drop_tail: bool = False,
+    index_path: str | None = None,
 ) -> None:
     """Deal the samples of all shards into new shards of ``shard_size``.
 
-    Samples that lack any of ``members`` are left out; keys are renumbered per shard.
+    Samples that lack any of ``members`` are left out; keys are renumbered per shard. ``index_path`` is where a member index
+    of the shards is, or shall be.
     """
-    index = _has(spark, paths, members)
+    index = _has(spark, paths, members, index_path)
     dealt = sharding.shard_numbering(index, shard_size, drop_tail=drop_tail, block_rows=tar.BLOCK_UNITS)
     fetched = tar.with_members(tar.by_shard(dealt, tar.fetch_tasks(index)), list(members))
     bodies = fetched.withColumns({m: fields.field(F.col("fields"), m) for m in members})

@@ -5,7 +5,8 @@ that share a name up to the first dot of the file name. Options:
 
 ``path``          files, folders or globs, separated by commas; also any URI that
                   Arrow's file systems read, such as
-                  ``s3://bucket/folder?endpoint_override=host``
+                  ``s3://bucket/folder?endpoint_override=host``, and ``http(s)`` URLs of
+                  files on servers that answer byte ranges
 ``fields``        extensions whose bytes are wanted, separated by commas; the bodies
                   of other members are skipped, not read. ``*`` is all, empty is none.
                   The columns ``members`` (extensions) and ``bytes`` cover all members
@@ -14,16 +15,24 @@ that share a name up to the first dot of the file name. Options:
 ``splitBytes``    shards larger than this are read by several tasks, each of which skips
                   through the headers before its part
 ``ignoreMissing`` ``true`` skips listed paths that do not exist
+``required``      extensions, separated by commas; samples that lack one are skipped, and
+                  their bodies are not read
+``shards``        a JSON list of shard numbers; other shards are not opened
+``keyPrefixes``   a JSON list of beginnings of keys; bodies of other samples are not read
+
+These last three are options, and the reader has no ``pushFilters``: Spark 4.1 keeps the filters that one query has pushed into a
+Python source for all later ones of the same DataFrame, so a count after a filtered count would be wrong.
 """
 
 from __future__ import annotations
 
 import fnmatch
+import json
 import os
 import re
 import tarfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
@@ -42,6 +51,7 @@ from pyspark.sql.types import StructType
 
 from framekiln.functions.fields import IMAGE_EXTENSIONS
 from framekiln.functions.images import header_size
+from framekiln.sources.ranges import HttpStore
 
 SCHEMA = (
     "shard string, shard_idx int, pos bigint, key string, members array<string>, bytes bigint, "
@@ -75,8 +85,10 @@ HEADER_BYTES = 1 << 16
 MOVES_AT_ONCE = 32
 
 
-def open_store(path: str) -> tuple[pafs.FileSystem, str]:
-    """The Arrow file system of a path or URI, and the path inside it."""
+def open_store(path: str) -> tuple[pafs.FileSystem | HttpStore, str]:
+    """The Arrow file system of a path or URI, and the path inside it; for ``http(s)`` a store of range requests."""
+    if path.startswith(("http://", "https://")):
+        return HttpStore(), path
     if path.startswith("file:/") and not path.startswith("file://"):
         path = "file://" + path[len("file:") :]
     if "://" in path:
@@ -85,8 +97,16 @@ def open_store(path: str) -> tuple[pafs.FileSystem, str]:
     return pafs.LocalFileSystem(), os.path.abspath(path)
 
 
-def expand(path: str) -> list[tuple[str, int]]:
-    """(path, size) of the tar files at a file, folder or glob; empty when missing."""
+def listed(path: str) -> list[tuple[str, int, str]]:
+    """(path, size, version) of the tar files at a file, folder or glob; empty when missing.
+
+    The version is the time of the last change, or what a server names as such. A URL is one file.
+    """
+    if path.startswith(("http://", "https://")):
+        try:
+            return [(path, *open_store(path)[0].stat(path))]
+        except FileNotFoundError:
+            return []
     base, mark, query = path.partition("?") if "://" in path else (path, "", "")
     pattern = base.rsplit("/", 1)[-1]
     globbed = any(c in pattern for c in "*?[")
@@ -99,7 +119,12 @@ def expand(path: str) -> list[tuple[str, int]]:
     if info.type == pafs.FileType.Directory:
         files = store.get_file_info(pafs.FileSelector(inside))
         files = [f for f in files if fnmatch.fnmatchcase(f.base_name, pattern if globbed else "*.tar")]
-    return sorted((prefix + f.path + mark + query, f.size) for f in files if f.is_file)
+    return sorted((prefix + f.path + mark + query, f.size, str(f.mtime_ns)) for f in files if f.is_file)
+
+
+def expand(path: str) -> list[tuple[str, int]]:
+    """(path, size) of the tar files at a file, folder or glob; empty when missing."""
+    return [(name, size) for name, size, _ in listed(path)]
 
 
 def count_shards(paths: str | list[str]) -> int:
@@ -175,9 +200,17 @@ class _Samples:
     sample beside a corrupt header may lack members and is marked as bad.
     """
 
-    def __init__(self, wanted: set[str] | None, sizes: bool):
+    def __init__(
+        self,
+        wanted: set[str] | None,
+        sizes: bool,
+        required: Iterable[str] = (),
+        takes: Callable[[str], bool] | None = None,
+    ):
         self.wanted = wanted
         self.sizes = sizes
+        self.required = set(required)
+        self.takes = takes
 
     def read(self, split: TarSplit) -> Iterator[dict]:
         store, inside = open_store(split.path)
@@ -198,7 +231,7 @@ class _Samples:
             key, ext = split_name(member.name)
             if row is not None and row["key"] != key:
                 if split.begin <= row["pos"] * BLOCK:
-                    yield self._measured(row)
+                    yield from self._finished(row)
                 row = None
             if row is None:
                 if offset >= split.end:
@@ -207,14 +240,32 @@ class _Samples:
                 row["_error"] = problem_before
             problem_before = None
             row["members"].append(ext)
+            row["places"].append((ext, member.offset_data, member.size))
             row["bytes"] += member.size
-            if split.begin <= row["pos"] * BLOCK:
-                try:
-                    self._take(archive, member, ext, row)
-                except tarfile.TarError as cut:
-                    row["_error"] = row["_error"] or f"{type(cut).__name__}: {cut}"
+            if split.begin <= row["pos"] * BLOCK and (self.takes is None or self.takes(key)):
+                if self.required:
+                    row["_later"].append((archive, member, ext))
+                else:
+                    self._read(archive, member, ext, row)
         if row is not None and split.begin <= row["pos"] * BLOCK < split.end:
-            yield self._measured(row)
+            yield from self._finished(row)
+
+    def _read(self, archive, member, ext: str, row: dict) -> None:
+        try:
+            self._take(archive, member, ext, row)
+        except tarfile.TarError as cut:
+            row["_error"] = row["_error"] or f"{type(cut).__name__}: {cut}"
+
+    def _finished(self, row: dict) -> Iterator[dict]:
+        """The row with its bodies, unless it is not asked for."""
+        later = row.pop("_later")
+        if self.takes is not None and not self.takes(row["key"]):
+            return
+        if not self.required <= set(row["members"]):
+            return
+        for opened, member, ext in later:
+            self._read(opened, member, ext, row)
+        yield self._measured(row)
 
     def at(self, stream, offset: int) -> dict[str, bytes]:
         """The wanted members of the one sample that starts at ``offset``."""
@@ -238,12 +289,14 @@ class _Samples:
             "pos": offset // BLOCK,
             "key": key,
             "members": [],
+            "places": [],
             "bytes": 0,
             "fields": {},
             "height": None,
             "width": None,
             "_error": None,
             "_images": {},
+            "_later": [],
         }
 
     def _measured(self, row: dict) -> dict:
@@ -287,6 +340,13 @@ class TarReader(DataSourceReader):
         self.sizes = options.get("sizes", "false").lower() == "true"
         self.split_bytes = max(int(options.get("splitbytes", SPLIT_BYTES)), BLOCK)
         self.ignore_missing = options.get("ignoremissing", "false").lower() == "true"
+        self.required = {f.strip() for f in options.get("required", "").split(",") if f.strip()}
+
+        self.shards = set(json.loads(options["shards"])) if "shards" in options else None
+        self.prefixes = tuple(json.loads(options["keyprefixes"])) if "keyprefixes" in options else None
+
+    def _takes(self, key: str | None) -> bool:
+        return key is not None and key.startswith(self.prefixes)
 
     def partitions(self) -> list[TarSplit]:
         files = []
@@ -298,12 +358,16 @@ class TarReader(DataSourceReader):
         return [
             TarSplit(path, i, begin, min(begin + self.split_bytes, size))
             for i, (path, size) in enumerate(files)
+            if self.shards is None or i in self.shards
             for begin in range(0, max(size, 1), self.split_bytes)
         ]
 
-    def read(self, partition: TarSplit) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: TarSplit | None) -> Iterator[pa.RecordBatch]:
+        if partition is None:  # what Spark gives where there are no partitions
+            return
         rows, held = [], 0
-        for row in _Samples(self.wanted, self.sizes).read(partition):
+        samples = _Samples(self.wanted, self.sizes, self.required, self._takes if self.prefixes is not None else None)
+        for row in samples.read(partition):
             row["fields"] = list(row["fields"].items())
             held += sum(len(data) for _, data in row["fields"])
             rows.append(row)
@@ -429,23 +493,33 @@ def tar_scan(
     split_bytes: int = SPLIT_BYTES,
     ignore_missing: bool = False,
     bad_samples: str = "drop",
+    required: list[str] | None = None,
+    shards: Iterable[int] | None = None,
+    key_prefixes: list[str] | None = None,
 ) -> DataFrame:
     """The samples of tar shards, one row each.
 
-    ``pos`` is the sample's place in its shard, in 512-byte units. ``fields`` limits
+    Of ``shards`` only these numbers are opened (``shard_idx`` stays the place in the whole listing);
+    samples without all ``required`` members, or whose key begins with none of ``key_prefixes``, are left
+    out before their bodies are read. ``pos`` is the sample's place in its shard, in 512-byte units. ``fields`` limits
     the members that are read. ``bad_samples`` is ``drop``, ``keep`` (see ``_error``)
     or ``only``, for a quarantine table.
     """
     spark.dataSource.register(TarShards)
-    rows = (
+    reader = (
         spark.read.format("tarshards")
         .option("path", ",".join([paths] if isinstance(paths, str) else paths))
         .option("fields", "*" if fields is None else ",".join(fields))
         .option("sizes", str(sizes).lower())
         .option("splitBytes", split_bytes)
         .option("ignoreMissing", str(ignore_missing).lower())
-        .load()
+        .option("required", ",".join(required or []))
     )
+    if shards is not None:
+        reader = reader.option("shards", json.dumps(sorted(shards)))
+    if key_prefixes is not None:
+        reader = reader.option("keyPrefixes", json.dumps(key_prefixes))
+    rows = reader.load()
     if bad_samples == "drop":
         return rows.filter("_error IS NULL")
     return rows.filter("_error IS NOT NULL") if bad_samples == "only" else rows

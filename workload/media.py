@@ -12,7 +12,7 @@ from framekiln.functions import fields, images
 from framekiln.operators import batching, buckets, features, sharding
 from framekiln.plans import dataset, precompute, training
 from framekiln.session import fresh_path
-from framekiln.sources import tar
+from framekiln.sources import tar, tar_index
 from workload.registry import query
 from workload.shards import SHARD_SIZE
 from workload.views import (
@@ -92,6 +92,44 @@ def tar_scan(spark, sf_dir):
     return rows.select("shard_idx", "key", sample_id(), "height", "width")
 
 
+@query(
+    "tar_index",
+    f"""WITH {SMALL_SQL}
+SELECT i // 64 AS shard_idx, printf('%06d', i % 64) AS key, pos AS doc_id, h AS height, w AS width, 3 AS members,
+       strlen(caption) AS txt_bytes, md5(caption) AS digest FROM small_v""",
+)
+def tar_index_(spark, sf_dir):
+    """All samples by the member index; ``id`` and ``txt`` are read at their places. A second pass walks no shard."""
+    path = image_shards(spark, sf_dir, "tar-indexed")
+    index = fresh_path(spark, "tar-index")
+    tar_index.refresh_index(spark, path, index)
+    rows = tar_index.with_placed_members(tar_index.indexed_samples(spark, path, index), ["id", "txt"], 200000)
+    return rows.select(
+        "shard_idx",
+        "key",
+        sample_id(),
+        "height",
+        "width",
+        F.size("members").alias("members"),
+        F.filter("places", lambda p: p["ext"] == "txt")[0]["size"].alias("txt_bytes"),
+        F.md5(fields.field(F.col("fields"), "txt")).alias("digest"),
+    )
+
+
+@query(
+    "tar_pruned",
+    f"""WITH {SMALL_SQL}
+SELECT i // 64 AS shard_idx, printf('%06d', i % 64) AS key, pos AS doc_id FROM small_v
+WHERE (i // 64) <> 1 AND i // 64 <= 40 AND (i % 64) // 10 IN (1, 3) AND pos % 3 <> 0""",
+)
+def tar_pruned(spark, sf_dir):
+    """What the scan leaves out: other shards are not opened, bodies of other samples and of those without ``txt`` not read."""
+    path = image_shards(spark, sf_dir, "tar-pruned", txt="CASE WHEN pos % 3 <> 0 THEN caption END")
+    shards = [i for i in range(tar.count_shards(path)) if i <= 40 and i != 1]
+    rows = tar.tar_scan(spark, path, fields=["id"], required=["txt", "png"], shards=shards, key_prefixes=["00001", "00003"])
+    return rows.select("shard_idx", "key", sample_id())
+
+
 @query(
     "local_shards",
     f"""WITH {SMALL_SQL} SELECT i // 64 AS shard_idx, count(*) AS rows FROM small_v GROUP BY ALL""",
