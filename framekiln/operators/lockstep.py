@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from framekiln.operators.numbering import BLOCK_ROWS, running_max, with_ordinal
+from framekiln.operators.numbering import BLOCK_ROWS, prefixes, running_max, with_ordinal
 from framekiln.session import written
 
 ARRIVAL = ("shard_idx", "pos")
@@ -165,17 +165,9 @@ def _windows(rows: DataFrame, emitted: DataFrame, bucket: str, rank: str, order:
     )
     cut = kinds.withColumn("__block", F.floor(F.col("t") / F.lit(block_rows)))
     keys = [bucket, "__block"]
-    by_bucket = Window.partitionBy(bucket)
-    before = by_bucket.orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        cut.groupBy(*keys)
-        .agg(F.sum("__mark").alias("__marks"))
-        .select(
-            *keys,
-            F.coalesce(F.sum("__marks").over(before), F.lit(0)).alias("__offset"),
-            F.sum("__marks").over(by_bucket).alias("__emitted"),
-        )
-    )
+    marks = cut.groupBy(*keys).agg(F.sum("__mark").alias("__marks"))
+    offsets = prefixes(marks, [bucket], ["__block"], "__marks", total="__emitted")
+    offsets = offsets.select(*keys, F.coalesce("__offset", F.lit(0)).alias("__offset"), "__emitted")
     # An emission at time t comes after the rows of time t.
     inside = Window.partitionBy(*keys).orderBy("t", "__mark").rowsBetween(Window.unboundedPreceding, 0)
     return (

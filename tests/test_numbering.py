@@ -2,7 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from framekiln.operators.numbering import running_max, with_ordinal, with_sorted_ordinal
+from framekiln.operators.numbering import prefixes, running_max, with_ordinal, with_sorted_ordinal
 
 
 def skewed_rows(n, seed):
@@ -55,3 +55,32 @@ def test_running_max(spark):
         assert len(got) == len(rows)
         for r in got:
             assert r.top == max(v for g, _, p, v in rows if g == r.g and p <= r.pos)
+
+
+def test_two_levels_equal_one(spark):
+    """Sparse positions: nearly as many blocks as rows, cut into ranges of a few."""
+    rows = skewed_rows(400, 4)
+    df = spark.createDataFrame(rows, "g string, shard_idx int, pos long, v int").repartition(5)
+    for group in (["g"], []):
+        one = with_ordinal(df, ["shard_idx", "pos"], group, total="n", block_rows=2)
+        two = with_ordinal(df, ["shard_idx", "pos"], group, total="n", block_rows=2, level_rows=16)
+        assert sorted(map(tuple, two.collect())) == sorted(map(tuple, one.collect()))
+    top = running_max(df, "v", "pos", ["g"], "top", 3, level_rows=10).collect()
+    assert all(r.top == max(v for g, _, p, v in rows if g == r.g and p <= r.pos) for r in top) and len(top) == len(rows)
+
+
+def test_no_window_over_all_blocks(spark):
+    """Beyond one range, every window below the top is inside a range; the top one has a row per range."""
+    blocks = spark.range(0, 3000, 1, 4).select((F.col("id") * 1_000_003).alias("b"), F.lit(2).cast("long").alias("rows"))
+    found = prefixes(blocks, [], ["b"], "rows", total="n", level_rows=100)
+    assert [(r["__offset"] or 0, r.n) for r in found.orderBy("b").collect()] == [(2 * i, 6000) for i in range(3000)]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    windows = [line for line in plan.splitlines() if "windowspecdefinition" in line and "rows#" in line.split("windowspecdefinition")[0]]
+    assert windows and all("__range" in line.split("windowspecdefinition")[1].split(" ASC")[0] for line in windows)
+    above = found.select("__offset").distinct()
+    assert above.count() == 3000
+
+
+def test_empty_table_has_no_numbers(spark):
+    df = spark.createDataFrame([], "g string, pos long")
+    assert with_ordinal(df, ["pos"], ["g"], total="n").collect() == []

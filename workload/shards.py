@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from framekiln.functions import fields
 from framekiln.operators import features, pairing, sampling, sharding
+from framekiln.operators.numbering import with_ordinal
 from workload.registry import query
 from workload.views import (
     BINS,
@@ -173,6 +174,18 @@ def shard_numbering_whole(spark, sf_dir):
     return sharding.shard_numbering(rows, SHARD_SIZE, drop_tail=True).select("key", "shard_no", "shard_pos")
 
 
+@query(
+    "ordinal_sparse",
+    """SELECT l_orderkey, l_linenumber,
+       row_number() OVER (ORDER BY (l_orderkey * 8 + l_linenumber) * 1000003) - 1 AS ordinal FROM lineitem""",
+)
+def ordinal_sparse(spark, sf_dir):
+    """Positions so sparse that every row is a block: the blocks are summed up in two levels."""
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber")
+    rows = rows.withColumn("pos", (F.col("l_orderkey") * 8 + F.col("l_linenumber")) * 1000003)
+    return with_ordinal(rows, ["pos"], level_rows=1 << 14).drop("pos")
+
+
 def _shards(spark, sf_dir, size):
     dealt = sharding.shard_numbering(samples(spark, sf_dir).select("shard_idx", "pos"), size)
     return dealt.filter("shard_pos = 0").select("shard_no")
