@@ -12,6 +12,7 @@ from framekiln.functions.draws import draw_below, draw_hex, draw_unit, hex_block
 from framekiln.operators.numbering import BLOCK_ROWS, with_ordinal
 
 ARRIVAL = ("shard_idx", "pos")
+BUFFER = 1000
 
 
 def shuffle_global(df: DataFrame, seed: int, epoch: int = 0, key: str = "key", digits: int = 4) -> DataFrame:
@@ -39,6 +40,30 @@ def shuffle_block(
     )
 
 
+def shuffle_buffer(
+    df: DataFrame,
+    seed: int,
+    buffer: int = BUFFER,
+    epoch: int | Column = 0,
+    order: Sequence[str] = ARRIVAL,
+    group: Sequence[str] = (),
+    key: Sequence[str] | None = None,
+    block_rows: int = BLOCK_ROWS,
+) -> DataFrame:
+    """A seeded shuffle like that of a reading buffer: no row moves by ``buffer`` places or more; adds ``place``.
+
+    Each row's place in ``order`` (in its ``group``) is put off by a draw below ``buffer``, and rows are numbered anew by that, the earlier one
+    first where it is equal. Rows that are ``buffer`` or more apart keep their order, so this bound holds
+    both ways, which a buffer that is read one by one doesn't give. Both numberings run in blocks in parallel. The draw depends on the seed, the
+    epoch and the ``key`` (by default group and order), so neither tasks nor restarts change it.
+    """
+    numbered = with_ordinal(df, order, group, "__at", block_rows=block_rows)
+    shift = draw_below(buffer, F.lit(seed), epoch if isinstance(epoch, Column) else F.lit(epoch), *(key or [*group, *order]))
+    moved = numbered.withColumn("__to", F.col("__at") + shift)
+    blocks = [F.floor(F.col("__to") / F.lit(block_rows))]
+    return with_ordinal(moved, ["__to", "__at"], group, "place", blocks=blocks).drop("__at", "__to")
+
+
 def shard_draw(seed: int, rank: Column, draw: Column, shards: int | Column) -> Column:
     """The shard index of a rank's n-th uniform draw with replacement."""
     return draw_below(shards, F.lit(seed) + rank, draw)

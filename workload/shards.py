@@ -327,6 +327,16 @@ def shuffle_block(spark, sf_dir):
     return sampling.shuffle_block(samples(spark, sf_dir).select("shard_idx", "key"), seed=11)
 
 
+@query(
+    "shuffle_buffer",
+    f"""WITH {DEALT_SQL}
+SELECT key, row_number() OVER (ORDER BY i + {draw_sql('11', '1', 'key')} % 100, i) - 1 AS place FROM dealt_v""",
+)
+def shuffle_buffer(spark, sf_dir):
+    rows = samples(spark, sf_dir).select("key", "shard_idx", "pos")
+    return sampling.shuffle_buffer(rows, 11, 100, epoch=1, key=["key"]).select("key", "place")
+
+
 @query(
     "shard_draws",
     f"""WITH n AS (SELECT count(DISTINCT source) AS n FROM documents),
