@@ -6,6 +6,8 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,6 +34,18 @@ def texts_of(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
 
+def send(spark: SparkSession, value) -> Broadcast:
+    """Broadcast an object of this package's classes, to be read by ``received``; workers need no copy of the package.
+
+    The caller has to know a bound of its size.
+    """
+    return spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+
+def received(sent: Broadcast):
+    return cloudpickle.loads(sent.value)
+
+
 def fold(key: Column, folds: int) -> Column:
     """crc32 of the key as text, modulo ``folds``; null keys give null."""
     return F.crc32(key.cast("string").cast("binary")) % folds

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framekiln.llm.common import Tokens, chunks, fold, mixed, texts_of
+from framekiln.llm.common import Tokens, chunks, fold, mixed, received, send, texts_of
 from framekiln.session import written
 
 ORDER = 2
@@ -272,7 +272,7 @@ def scored(docs: DataFrame, folds: int = 10, held_out: int = 0, order: int = ORD
     for number, chosen in enumerate(turns):
         part = Turn(buckets, filter_.filter(F.col("bucket").between(chosen[0], chosen[-1])).toLocalIterator() if chosen else [])
         begin_level = max(begin_level, int(part.levels(np.array([START], np.uint64))[0]))
-        turn = spark.sparkContext.broadcast(part)  # turn_bytes at most
+        turn = send(spark, part)  # turn_bytes at most
         if number == len(turns) - 1:
             break
         fields = f"doc_id {kind}, text string, levels binary"
@@ -322,9 +322,10 @@ def _filling(turn, order: int):
     """Adds one turn's levels: for each text the levels of all 1-grams, then of all 2-grams, ..."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = received(turn)
         for rows, texts in chunks(batches):
             grams, counts = ngrams(texts, order)
-            found = _level_arrays(turn.value, grams, rows.column("levels").to_pylist(), counts)
+            found = _level_arrays(own, grams, rows.column("levels").to_pylist(), counts)
             begin = np.append(0, np.cumsum(counts))
             levels = [b"".join(x[a:b].tobytes() for x in found) for a, b in zip(begin[:-1], begin[1:])]
             yield pa.record_batch({"doc_id": rows.column("doc_id"), "text": rows.column("text"), "levels": pa.array(levels, pa.binary())})
@@ -341,9 +342,10 @@ def _finishing(turn, known, order: int, total: int, kinds: int, prior: float, ba
         by_hash = np.argsort(words)
         words, counts_of = words[by_hash], counts_of[by_hash]
         whole = total + 0.1 * (kinds + 1)
+        own = received(turn)
         for rows, texts in chunks(batches):
             grams, counts = ngrams(texts, order)
-            levels = _level_arrays(turn.value, grams, rows.column("levels").to_pylist(), counts)
+            levels = _level_arrays(own, grams, rows.column("levels").to_pylist(), counts)
             heads = np.append(0, np.cumsum(counts)[:-1])
             contexts = []
             for shorter in levels[: order - 1]:

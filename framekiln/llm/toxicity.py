@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framekiln.llm.common import MARKS, Tokens, chunks, fold, isotonic, texts_of
+from framekiln.llm.common import MARKS, Tokens, chunks, fold, isotonic, received, send, texts_of
 from framekiln.session import written
 
 EXAMPLES = 16_384
@@ -228,10 +228,10 @@ def toxicity(docs: DataFrame, labels: DataFrame, folds: int = 4, held_out: int =
     """(doc_id, held_out, score, predicted, evidence) of every row; the last fold calibrates."""
     picked = texts_of(docs)
     model = fit(picked, labels, folds, held_out, examples)
-    shared = picked.sparkSession.sparkContext.broadcast(model)  # EXAMPLES x TERMS postings at most
+    shared = send(picked.sparkSession, model)  # EXAMPLES x TERMS postings at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = shared.value
+        known = received(shared)
         for rows, texts in chunks(batches):
             if known is None:
                 results = [(0.0, [])] * len(texts)
