@@ -27,7 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from framekiln.llm.common import KeyFilter, Tokens, chunks, components, mixed, texts_of
@@ -257,38 +257,67 @@ def _search(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.Recor
         yield pa.record_batch({"a": pa.array(a), "b": pa.array(b)})
 
 
+def _forest_edges(a: np.ndarray, b: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """Places of pairs that connect all groups which pairs connect, nearest first; pairs come in rising distance."""
+    forest, taken, place = _Forest(int(group.max()) + 1 if len(group) else 0), [], np.arange(len(a))
+    a, b = group[a], group[b]
+    while True:
+        ra, rb = forest.root[a], forest.root[b]
+        apart = ra != rb
+        if not apart.any():
+            return np.sort(np.concatenate(taken)) if taken else place[:0]
+        a, b, place, ra, rb = a[apart], b[apart], place[apart], ra[apart], rb[apart]
+        first = np.full(len(forest.root), len(a))
+        np.minimum.at(first, ra, np.arange(len(a)))
+        np.minimum.at(first, rb, np.arange(len(a)))
+        chosen = np.unique(first[first < len(a)])  # each group's nearest other one
+        taken.append(place[chosen])
+        forest.add(ra[chosen], rb[chosen])
+
+
+def _thinned(ids: np.ndarray, root: np.ndarray, pairs: list[tuple], most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs (a, b) to verify among those of one run, and the roots that have more."""
+    a, b, d = (np.concatenate(x) for x in zip(*pairs))
+    apart = root[a] != root[b]
+    a, b, d = a[apart], b[apart], d[apart]
+    if not len(a):
+        return ids[a], ids[b], root[a]
+    order = np.lexsort((mixed((ids[a] ^ ids[b]).view(np.uint64)), d))
+    a, b = a[order], b[order]
+    low = int(min(a.min(), b.min()))
+    _, group = np.unique(root[low : int(max(a.max(), b.max())) + 1], return_inverse=True)
+    keep = np.zeros(len(a), bool)
+    keep[_forest_edges(a - low, b - low, group)] = True
+    if most:
+        for end in (a, b):  # the nearest of each entry, in order of distance
+            by_end = np.argsort(end, kind="stable")
+            sorted_ = end[by_end]
+            rank = np.arange(len(end)) - np.searchsorted(sorted_, sorted_)
+            keep[by_end[rank < most]] = True
+    left = np.unique(np.concatenate([root[a[~keep]], root[b[~keep]]]))
+    return ids[a[keep]], ids[b[keep]], left
+
+
 def _nearest(batches: Iterator[pa.RecordBatch], radius: int, parts: list[str], run: int, most: int) -> Iterator[pa.RecordBatch]:
-    """(a, b, differences, cut): the ``most`` closest of each entry in each run of its node, without those of its own group.
+    """(a, b): of each run of a node, pairs that connect its groups, nearest first, and each entry's ``most`` nearest in other groups.
 
-    ``cut`` tells that the run holds more of them for ``a``. Ties are ordered by a hash of both, so no entry is everyone's choice.
+    A row (root, null) tells that a group has more. Each run is thinned by itself, so no more pairs than one run's are ever held.
     """
     for (ids, root, *words), begin, end in _runs(batches, ["id", "root", *parts], run):
         bits = np.column_stack([w.view(np.uint64) for w in words])
-        found = [(np.zeros(0, np.int64),) * 3]
-
-        def add(a: np.ndarray, b: np.ndarray, d: np.ndarray) -> None:
-            apart = root[a] != root[b]
-            found.append((a[apart], b[apart], d[apart]))
-
-        for a, b, d in _close(bits, begin, end, radius):
-            add(a, b, d)
+        small = list(_close(bits, begin, end, radius))
+        found = [_thinned(ids, root, small, most)] if small else []
         for i in np.flatnonzero(end - begin > SMALL):
             pairs: list = []
-            gray_links(bits[begin[i] : end[i]], radius, pairs)
-            for a, b, d in pairs:
-                add(a + begin[i], b + begin[i], d)
-        a, b, d = (np.concatenate(x) for x in zip(*found))
-        a, b, d = np.append(a, b), np.append(b, a), np.append(d, d)
-        order = np.lexsort((b, mixed((ids[a] ^ ids[b]).view(np.uint64)), d, a))
-        a, b, d = a[order], b[order], d[order]
-        first = np.append(True, (np.diff(a) != 0) | (np.diff(b) != 0))[: len(a)]  # runs overlap
-        a, b, d = a[first], b[first], d[first]
-        start = np.searchsorted(a, a)
-        keep = np.arange(len(a)) - start < most
-        cut = np.searchsorted(a, a, side="right") - start > most
-        yield pa.record_batch(
-            {"a": pa.array(ids[a[keep]]), "b": pa.array(ids[b[keep]]), "differences": pa.array(d[keep]), "cut": pa.array(cut[keep])}
-        )
+            own = slice(begin[i], end[i])
+            if (root[own] != root[begin[i]]).any():
+                gray_links(bits[own], radius, pairs)
+            if pairs:
+                found.append(_thinned(ids[own], root[own], pairs, most))
+        if found:
+            a, b, left = (np.concatenate(x) for x in zip(*found))
+            left = np.unique(left)
+            yield pa.record_batch({"a": pa.array(np.append(a, left)), "b": pa.array([*b.tolist(), *[None] * len(left)], pa.int64())})
 
 
 def linked(fps: DataFrame, radius: int = 3, group_rows: int = GROUP_ROWS) -> DataFrame:
@@ -313,6 +342,9 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 3, group_rows
 
 PARTS = 4
 NEAREST = 4
+FIRST_MASKS = 2
+RUN = 1024
+SHORT = 14
 
 
 def _shingles(texts: list[bytes], words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -332,9 +364,9 @@ def _shingles(texts: list[bytes], words: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def wide_fingerprints(docs: DataFrame, words: int = 5) -> DataFrame:
-    """(key, same, f0 ... f3): 256 majority bits of the hashes of the different word shingles; ``key`` comes with the text.
+    """(key, same, short, f0 ... f3): 256 majority bits of the hashes of the different word shingles; ``key`` comes with the text.
 
-    ``same`` is a hash of the set of shingles.
+    ``same`` is a hash of the set of shingles; ``short`` are the shingles of texts with ``SHORT`` of them at most.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -355,10 +387,12 @@ def wide_fingerprints(docs: DataFrame, words: int = 5) -> DataFrame:
                     packed = np.packbits(2 * ones > shingles[filled][:, None], axis=1)
                     out[filled, part] = packed.copy().view(np.int64).ravel()
             same = np.array([xxhash.xxh64_intdigest(code[a:b].tobytes()) for a, b in zip(cut[:-1], cut[1:])], np.uint64).view(np.int64)
-            yield pa.record_batch({"key": rows.column("key"), "same": pa.array(same), **{f"f{i}": pa.array(out[:, i].copy()) for i in range(PARTS)}})
+            brief = [code[a:b].view(np.int64).tolist() if b - a <= SHORT else None for a, b in zip(cut[:-1], cut[1:])]
+            own = {"key": rows.column("key"), "same": pa.array(same), "short": pa.array(brief, pa.list_(pa.int64()))}
+            yield pa.record_batch({**own, **{f"f{i}": pa.array(out[:, i].copy()) for i in range(PARTS)}})
 
     fields = ", ".join(f"f{i} long" for i in range(PARTS))
-    return docs.select("key", "text").mapInArrow(run, f"key long, same long, {fields}")
+    return docs.select("key", "text").mapInArrow(run, f"key long, same long, short array<long>, {fields}")
 
 
 _PART = np.uint64(0xD6E8FEB86659FD93)
@@ -385,6 +419,46 @@ def _shingle_sets(docs: DataFrame, words: int) -> DataFrame:
     return docs.mapInArrow(run, "id long, n int, codes binary")
 
 
+def short_links(entries: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): links that connect all entries with ``short`` sets of shingles which are similar, exactly.
+
+    If the union has ``SHORT`` shingles at most and the similarity is 0.8 or more, two sets differ in one or two. So one of them is
+    the other without one or two, or both are equal without one each. Sets without one and without two are hashed, and
+    entries that share such a hash are linked with the smallest one: work grows with the entries, whatever their groups.
+    """
+    sets = entries.filter(F.size("short") > 0).select("id", F.size("short").alias("n"), F.array_sort("short").alias("s"))
+    places = F.sequence(F.lit(0), F.col("n") - 1)
+
+    def without(i, j=None):
+        return F.xxhash64(F.filter("s", lambda _, k: (k != i) & (k != (i if j is None else j))))
+
+    def kept(shared: Column, union: str) -> Column:
+        return shared >= similarity * F.expr(union) - 1e-9
+
+    n = F.col("n")
+    ones = F.when(kept(n - 1, "n") | kept(n - 1, "n + 1"), F.transform(places, lambda i: without(i)))
+    pairs = F.flatten(F.transform(places, lambda i: F.transform(F.filter(places, lambda j: j > i), lambda j: without(i, j))))
+    twos = F.when(kept(n - 2, "n"), pairs)
+    kinds = [(0, F.array(F.xxhash64("s"))), (1, ones), (2, twos)]
+    empty = F.array().cast("array<struct<key:bigint,missing:int>>")
+
+    def marked(hashes: Column, missing: int) -> Column:
+        return F.coalesce(F.transform(hashes, lambda h: F.struct(h.alias("key"), F.lit(missing).alias("missing"))), empty)
+
+    keyed = [marked(hashes, missing) for missing, hashes in kinds]
+    rows = sets.select("id", "n", F.explode(F.concat(*keyed)).alias("k")).select("id", "n", "k.*")
+    rows = written(rows, "similar-short")
+    # The set that is there in whole, and the smallest of those that lack one, per hash.
+    whole = F.min(F.when(F.col("missing") == 0, F.col("id"))).alias("whole")
+    least = F.min(F.when((F.col("missing") == 1) & kept(n - 1, "n + 1"), F.col("id"))).alias("least")
+    heads = rows.groupBy("key").agg(whole, least, F.count(F.lit(1)).alias("size")).filter("size > 1").drop("size")
+    met = rows.filter("missing > 0").join(heads, "key")
+    to_whole = F.when(kept(n - F.col("missing"), "n"), F.col("whole"))
+    to_least = F.when((F.col("missing") == 1) & kept(n - 1, "n + 1"), F.col("least"))
+    links = met.select(F.col("id").alias("a"), F.explode(F.array(to_whole, to_least)).alias("b"))
+    return links.filter("b IS NOT NULL AND a != b").distinct()
+
+
 def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, recall: float = 0.99) -> DataFrame:
     """(doc_id, key, root, component_id) of every row: groups of texts with a shingle similarity of ``similarity`` or more.
 
@@ -392,10 +466,14 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, rec
     deviations. Upper nodes are random masks instead of blocks, as so many differences leave no
     whole block equal: a mask takes as many bits as single out some dozens of texts, and there are as many
     masks as let two texts at the threshold agree in one of them with probability ``recall``. Nodes are dealt
-    to tasks by range, so one that holds a third of all texts is shared by many; runs of a long node overlap
-    in Gray order. Candidates are compared by their whole shingle sets (Jaccard), and only links that reach the similarity
-    count. ``root`` is the key of one of the group's texts. This goes in rounds: first each text's ``NEAREST`` candidates, then four times as many of those in other groups than its own
-    so far, among the texts that had more than their share, until no text has candidates left in another group.
+    to tasks by range, so one that holds a third of all texts is shared by many; runs of a long node overlap, in another
+    Gray order for every mask. Candidates are compared by their whole shingle sets (Jaccard), and only links that reach the similarity
+    count. ``root`` is the key of one of the group's texts.
+
+    A group of any size costs work in proportion to its texts: a run of a node gives a forest of candidate pairs, nearest first, between
+    the groups known so far. The first ``FIRST_MASKS`` masks do so among single texts, the others among the groups
+    that were found. Groups with candidates left then go in rounds with each text's ``NEAREST`` in other groups too, four times as many each
+    time, until no text has candidates left in another group. Texts of few shingles, whose bits tell less, are linked exactly by ``short_links``.
     Texts without words form one group.
     """
     docs = texts_of(docs).withColumn("key", F.xxhash64("text"))
@@ -404,7 +482,8 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, rec
     parts = [f"f{i}" for i in range(PARTS)]
     # Equal sets of shingles are one entry, named by one of their keys; equal fingerprints alone are not.
     once = written(once, "similar-texts")
-    entries = written(once.groupBy("same").agg(F.min("key").alias("id"), *[F.first(p).alias(p) for p in parts]), "similar-entries")
+    entries = once.groupBy("same").agg(F.min("key").alias("id"), F.first("short").alias("short"), *[F.first(p).alias(p) for p in parts])
+    entries = written(entries, "similar-entries")
     size = entries.count()
     mean, deviation = expected_distance(similarity, 64 * PARTS)
     radius = int(mean + 2 * deviation)
@@ -417,16 +496,17 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, rec
         bits = rng.permutation(64 * PARTS)[:picked]
         mask = [_signed(sum(1 << int(b % 64) for b in bits if b // 64 == part)) for part in range(PARTS)]
         code = F.xxhash64(*[F.col(p).bitwiseAND(F.lit(m)) for p, m in zip(parts, mask)])
-        chosen.append(F.struct(F.lit(number).alias("mask"), code.alias("pattern")))
-    def searched(open_: DataFrame, most: int) -> DataFrame:
-        """(a, near, cut): the closest candidates in other groups, and whether there are more."""
-        nodes = open_.select("id", "root", *parts, F.explode(F.array(*chosen)).alias("node")).select("node.mask", "node.pattern", "id", "root", *parts)
-        order = ["mask", "pattern", _gray_rank(F.col("f0")), "id"]
-        placed = nodes.repartitionByRange(*order).sortWithinPartitions(*order)
-        near = placed.mapInArrow(lambda batches: _nearest(batches, radius, parts, 1024, most), "a long, b long, differences long, cut boolean")
-        tie = F.xxhash64(F.col("a").bitwiseXOR(F.col("b"))).alias("tie")
-        best = near.groupBy("a").agg(F.array_sort(F.collect_set(F.struct("differences", tie, "b"))).alias("all"), F.max("cut").alias("cut"))
-        return best.select("a", F.slice("all", 1, most)["b"].alias("near"), (F.col("cut") | (F.size("all") > most)).alias("cut"))
+        word, turn = F.col(parts[number % PARTS]), 7 * number % 64
+        turned = F.shiftleft(word, turn).bitwiseOR(F.shiftrightunsigned(word, 64 - turn)) if turn else word
+        chosen.append(F.struct(F.lit(number).alias("mask"), code.alias("pattern"), _gray_rank(turned).alias("rank")))
+
+    def searched(open_: DataFrame, among: list, most: int) -> DataFrame:
+        """(a, b): candidates in different groups; b is null where the group ``a`` has more."""
+        nodes = open_.select("id", "root", *parts, F.explode(F.array(*among)).alias("node")).select("node.*", "id", "root", *parts)
+        order = ["mask", "pattern", "rank", "id"]
+        placed = nodes.repartitionByRange(*order).sortWithinPartitions(*order).drop("rank")
+        near = placed.mapInArrow(lambda batches: _nearest(batches, radius, parts, RUN, most), "a long, b long")
+        return near.select(F.when(F.col("b").isNull(), F.col("a")).otherwise(F.least("a", "b")).alias("a"), F.greatest("b", F.when(F.col("b").isNotNull(), F.col("a"))).alias("b")).distinct()
 
     def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -437,31 +517,49 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, rec
                 keep.append(shared >= similarity * (len(x) + len(y) - shared) - 1e-9)
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    open_, most, sets, tried, links = entries.withColumn("root", F.col("id")), NEAREST, None, None, None
+    def sets_of(named: DataFrame) -> DataFrame:
+        maybe = KeyFilter(named).split(docs, "key", True)
+        texts = maybe.join(named, maybe["key"] == named["id"], "left_semi").dropDuplicates(["key"]).select(F.col("key").alias("id"), "text")
+        return written(_shingle_sets(texts, words), "similar-sets")
+
+    links = written(short_links(entries, similarity), "similar-reached")
+    sets, tried, flagged, most = None, None, None, 0
+    bare = entries.select("id", *parts)
+    begin, among = 0, chosen[:FIRST_MASKS]
     while True:
-        best = written(searched(open_, most), "similar-near")
-        pairs = best.select("a", F.explode("near").alias("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        roots = components(links, "similar-links")
+        open_ = bare.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+        if most:  # all masks are searched: only groups with candidates left go on
+            left = flagged.withColumnRenamed("a", "id").join(open_.select("id", "root"), "id").select("root").distinct()
+            open_ = open_.join(left, "root", "left_semi")
+        best = written(searched(written(open_, "similar-open"), among, most), "similar-near")
+        more = best.filter("b IS NULL").select("a")
+        pairs = best.filter("b IS NOT NULL")
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = written(pairs, "similar-pairs")
-        if sets is None:  # later rounds compare no other texts
-            named = written(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "similar-named")
-            maybe = KeyFilter(named).split(docs, "key", True)
-            texts = maybe.join(named, maybe["key"] == named["id"], "left_semi").dropDuplicates(["key"]).select(F.col("key").alias("id"), "text")
-            sets = written(_shingle_sets(texts, words), "similar-sets")
-            left = sets.select(F.col("id").alias("a"), F.col("codes").alias("x"))
-            right = sets.select(F.col("id").alias("b"), F.col("codes").alias("y"))
+        if not most:  # later rounds compare no other texts
+            named = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+            if sets is not None:
+                named = named.join(sets, "id", "left_anti")
+            fresh = sets_of(written(named, "similar-named"))
+            sets = fresh if sets is None else sets.union(fresh)
+        left = sets.select(F.col("id").alias("a"), F.col("codes").alias("x"))
+        right = sets.select(F.col("id").alias("b"), F.col("codes").alias("y"))
         reached = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(verified, "a long, b long")
-        reached = written(reached, "similar-reached")
+        links = links.union(written(reached, "similar-reached"))
         tried = pairs if tried is None else tried.union(pairs)
-        links = reached if links is None else links.union(reached)
-        roots = components(links, "similar-links")
-        more = best.filter("cut").select(F.col("a").alias("id"))
-        if more.isEmpty():
+        if most:
+            flagged = more
+        else:
+            flagged = more if flagged is None else flagged.union(more)
+        if among is not chosen and begin == 0:
+            begin, among = FIRST_MASKS, chosen[FIRST_MASKS:]
+            continue
+        if flagged.isEmpty():
             break
-        open_ = entries.drop("same").join(more, "id", "left_semi").join(roots.withColumnRenamed("node", "id"), "id", "left")
-        open_ = written(open_.select("id", *parts, F.coalesce("root", "id").alias("root")), "similar-open")
-        most *= 4
+        among, most = chosen, 4 * most or NEAREST
+    roots = components(links, "similar-links")
     grouped = once.select("key", "same").join(entries.select("same", "id"), "same").select("key", "id").join(roots.withColumnRenamed("node", "id"), "id", "left")
     grouped = written(grouped.select("key", F.coalesce("root", "id").alias("root")), "similar-roots")
     least = rows.join(grouped, "key").groupBy("root").agg(F.min("doc_id").alias("component_id"))

@@ -146,3 +146,68 @@ def test_without_near_duplicates_keeps_one_row_of_each_group(spark, odd_docs):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     kept = sorted((str(r.doc_id), " ".join(r.text.lower().split())) for r in simhash.without_near_duplicates(docs).collect())
     assert kept == [("1", "other words here"), ("1", "some words"), ("None", "a clean text"), ("None", "another one that is unlike"), ("None", "third")]
+
+
+def test_short_texts_at_the_threshold(spark):
+    """Pairs whose shingles just reach 0.8 or just don't: one word more at the end or begin, one exchanged, or two more."""
+    import random
+
+    rng = random.Random(1)
+    rows = []
+    for number in range(400):
+        words = [f"s{rng.randrange(10**6)}" for _ in range((5, 8, 9, 10, 13, 14, 15, 17)[number % 8])]
+        other = [[*words, "more"], [*words[:-1], "other"], [*words, "two", "more"], ["first", *words]][number // 8 % 4]
+        rows += [(2 * number, " ".join(words)), (2 * number + 1, " ".join(other))]
+    sets = {}
+    for i, text in rows:
+        w = text.split()
+        sets[i] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))}
+    by_shingle = {}
+    for i, own in sets.items():
+        for x in own:
+            by_shingle.setdefault(x, []).append(i)
+    pairs = {(a, b) for ids in by_shingle.values() for a in ids for b in ids if a < b}
+    want = plain_roots(len(rows), [(a, b) for a, b in pairs if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])])
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in simhash.similar_groups(docs).collect()}
+    assert [got[i] for i, _ in rows] == want and 500 < len(set(want)) < 700
+
+
+def test_large_group_gives_few_candidates():
+    """A run of near copies gives a forest, and nothing once they are one group."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    fp = np.repeat(rng.integers(1 << 62, size=(1, 4), dtype=np.uint64), 900, axis=0)
+    for row in fp:
+        for bit in rng.integers(256, size=4):
+            row[bit // 64] ^= np.uint64(1 << int(bit % 64))
+    order = np.lexsort(fp.T[::-1])
+    fp, ids = fp[order], np.arange(900)
+
+    def found(root, most):
+        columns = {"mask": np.zeros(900, np.int64), "pattern": np.zeros(900, np.int64), "id": ids, "root": root}
+        columns |= {f"f{i}": fp[:, i].copy().view(np.int64) for i in range(4)}
+        out = list(simhash._nearest(iter([pa.record_batch({k: pa.array(v) for k, v in columns.items()})]), 50, [f"f{i}" for i in range(4)], 1024, most))
+        return [r for b in out for r in b.to_pylist()]
+
+    single = found(ids, 0)
+    pairs = [(r["a"], r["b"]) for r in single if r["b"] is not None]
+    assert len(pairs) == 899 and len(set(plain_roots(900, pairs))) == 1
+    assert found(np.zeros(900, np.int64), 0) == [] == found(np.zeros(900, np.int64), 4)
+    halves = found(ids % 2, 0)
+    assert len([r for r in halves if r["b"] is not None]) == 1 and sorted(r["a"] for r in halves if r["b"] is None) == [0, 1]
+    assert len([r for r in found(ids % 2, 1) if r["b"] is not None]) <= 1800
+
+
+def plain_roots(count, pairs):
+    root = list(range(count))
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a, b in pairs:
+        root[max(top(a), top(b))] = min(top(a), top(b))
+    return [top(i) for i in range(count)]
