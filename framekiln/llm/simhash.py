@@ -498,11 +498,13 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, rec
         code = F.xxhash64(*[F.col(p).bitwiseAND(F.lit(m)) for p, m in zip(parts, mask)])
         word, turn = F.col(parts[number % PARTS]), 7 * number % 64
         turned = F.shiftleft(word, turn).bitwiseOR(F.shiftrightunsigned(word, 64 - turn)) if turn else word
-        chosen.append(F.struct(F.lit(number).alias("mask"), code.alias("pattern"), _gray_rank(turned).alias("rank")))
+        chosen.append(F.struct(F.lit(number).alias("mask"), code.alias("pattern"), turned.alias("word")))
 
     def searched(open_: DataFrame, among: list, most: int) -> DataFrame:
         """(a, b): candidates in different groups; b is null where the group ``a`` has more."""
         nodes = open_.select("id", "root", *parts, F.explode(F.array(*among)).alias("node")).select("node.*", "id", "root", *parts)
+        # One rank below all masks, as its expression is long.
+        nodes = nodes.withColumn("rank", _gray_rank(F.col("word"))).drop("word")
         order = ["mask", "pattern", "rank", "id"]
         placed = nodes.repartitionByRange(*order).sortWithinPartitions(*order).drop("rank")
         near = placed.mapInArrow(lambda batches: _nearest(batches, radius, parts, RUN, most), "a long, b long")
