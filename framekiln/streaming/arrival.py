@@ -25,8 +25,13 @@ def arriving_shards(
     sizes: bool = False,
     max_files: int = READ_AHEAD,
     split_bytes: int = SPLIT_BYTES,
+    bad_samples: str = "keep",
+    required: list[str] | None = None,
 ) -> DataFrame:
-    """Samples of new tar shards in a folder, as ``tar_scan`` gives them.
+    """Samples of new tar shards in a folder, as ``tar_scan`` gives them; its ``bad_samples`` may be ``drop`` or ``only`` too.
+
+    The file source keeps the list of shards in its checkpoint and takes ``max_files`` per micro-batch. A stream
+    reader in Python would have to take all new shards at once, as Spark gives it no limit.
 
     Only names and lengths of the files travel; the tasks read the shards, large ones
     in several pieces. ``shard_idx`` is the number in the file name.
@@ -52,6 +57,7 @@ def arriving_shards(
         "path": "",
         "fields": "*" if fields is None else ",".join(fields),
         "sizes": str(sizes),
+        "required": ",".join(required or []),
     }
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -61,4 +67,7 @@ def arriving_shards(
                 end = min(row["begin"] + split_bytes, row["length"])
                 yield from reader.read(TarSplit(row["path"], row["shard_idx"], row["begin"], end))
 
-    return splits.mapInArrow(read, SCHEMA)
+    rows = splits.mapInArrow(read, SCHEMA)
+    if bad_samples == "drop":
+        return rows.filter("_error IS NULL")
+    return rows.filter("_error IS NOT NULL") if bad_samples == "only" else rows

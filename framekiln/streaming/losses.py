@@ -19,15 +19,22 @@ def running_loss(log: DataFrame, ranks: int, accumulation: int) -> DataFrame:
 
 
 def step_losses(log: DataFrame, ranks: int, accumulation: int, block: int = 256) -> DataFrame:
-    """``step, loss`` once all micro-steps of all ranks have arrived, for append-only sinks.
+    """``step, loss`` once all micro-steps of all ranks have arrived, for append-only sinks."""
+    needed = ranks * accumulation
+    return step_updates(log, ranks, accumulation, block).filter(F.col("rows") >= needed).select("step", "loss")
+
+
+def step_updates(log: DataFrame, ranks: int, accumulation: int, block: int = 256) -> DataFrame:
+    """``step, loss, rows`` so far of each step that a micro-batch adds to, for sinks that merge by step.
 
-    A state key is a block of consecutive steps, so that one call handles many. It
+    Spark lets no Python sink take update mode, so changed rows are appended. A state key is a block of consecutive steps, so that one call handles many. It
     holds a sum and a count for each step that is not complete.
     """
     needed = ranks * accumulation
 
     def add(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         held = [part.groupby("step")["loss"].agg(total="sum", rows="count") for part in parts]
+        fresh = set().union(*(part.index for part in held))
         if state.exists:
             steps, totals, rows = state.get
             held.append(pd.DataFrame({"total": totals, "rows": rows}, index=pd.Index(steps, name="step")))
@@ -38,7 +45,8 @@ def step_losses(log: DataFrame, ranks: int, accumulation: int, block: int = 256)
             state.update((rest.index.tolist(), rest["total"].tolist(), rest["rows"].tolist()))
         elif state.exists:
             state.remove()
-        yield pd.DataFrame({"step": sums.index[whole], "loss": sums["total"][whole].to_numpy() / ranks})
+        changed = sums[sums.index.isin(fresh)]
+        yield pd.DataFrame({"step": changed.index, "loss": changed["total"].to_numpy() / ranks, "rows": changed["rows"].to_numpy()})
 
     steps = log.withColumn("step", F.floor(F.col("micro") / F.lit(accumulation)))
     return (
@@ -46,7 +54,7 @@ def step_losses(log: DataFrame, ranks: int, accumulation: int, block: int = 256)
         .groupBy("__block")
         .applyInPandasWithState(
             add,
-            "step bigint, loss double",
+            "step bigint, loss double, rows bigint",
             "steps array<bigint>, totals array<double>, rows array<bigint>",
             "append",
             GroupStateTimeout.NoTimeout,

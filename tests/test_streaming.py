@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from framekiln.session import fresh_path
-from framekiln.streaming import arrival, batcher, losses, reshard, sinks
+from framekiln.streaming import arrival, batcher, committed, losses, reshard, sinks
 
 SCHEMA = "rank int, bucket string, shard_idx int, pos long"
 
@@ -94,3 +94,83 @@ def test_losses(spark, folder):
     query.awaitTermination()
     assert {r.step: (r.loss, r.rows) for r in spark.table("running").collect()} == {0: (2.0, 4), 1: (6.0, 4), 2: (4.5, 2)}
     assert spark.table("running").agg(F.count(F.lit(1))).first()[0] == 3
+
+
+LOG = "rank int, micro long, loss double"
+
+
+def test_updates_merge_by_step_and_go_on_after_a_restart(spark, folder):
+    def run(rows):
+        spark.createDataFrame(rows, LOG).coalesce(1).write.mode("append").parquet(f"{folder}/log")
+        stream = losses.step_updates(arrival.arriving_rows(spark, f"{folder}/log", LOG, max_files=1), 2, 2)
+        committed.run_updates(stream, f"{folder}/table", f"{folder}/mark")
+        latest = committed.latest_rows(spark, f"{folder}/table", stream.schema, ["step"])
+        return {r.step: (r.loss, r.rows) for r in latest.collect()}, stream.schema
+
+    first, schema = run([(r, m, float(r + m)) for r in range(2) for m in range(5)])
+    assert first == {0: (2.0, 4), 1: (6.0, 4), 2: (4.5, 2)}
+    second, _ = run([(r, 5, 10.0) for r in range(2)])
+    assert second == {0: (2.0, 4), 1: (6.0, 4), 2: (14.5, 4)}
+    # Files of a batch without a manifest, as a killed one leaves them, do not count.
+    spark.createDataFrame([(0, 99.0, 1)], schema).coalesce(1).write.mode("append").parquet(f"{folder}/table/parts")
+    latest = committed.latest_rows(spark, f"{folder}/table", schema, ["step"]).collect()
+    assert {r.step: (r.loss, r.rows) for r in latest} == second
+    committed.compact_updates(spark, f"{folder}/table", schema, ["step"], f"{folder}/small")
+    assert {r.step: (r.loss, r.rows) for r in spark.read.parquet(f"{folder}/small").collect()} == second
+    assert committed.latest_rows(spark, f"{folder}/none", schema, ["step"]).collect() == []
+
+
+def test_a_batch_commits_once(spark, folder):
+    import pyarrow as pa
+
+    schema = spark.createDataFrame([], "step long, loss double").schema
+    writer = committed._UpdateWriter({"path": folder}, schema)
+    row = pa.RecordBatch.from_pylist([{"step": 1, "loss": 2.0}])
+    first, again, other = (writer.write(iter([row])) for _ in range(3))
+    writer.commit([first, None], 0)
+    writer.commit([again, None], 0)  # Spark runs the batch again
+    writer.abort([other], 1)
+    parts = [p for p in __import__("os").listdir(f"{folder}/parts") if p.endswith(".parquet")]
+    assert [f"parts/{p}" for p in parts] == [first.entries[0][0]] and list(committed.committed(folder)) == [0]
+
+
+def test_shards_from_a_stream_hold_each_sample_once(spark, tmp_path):
+    import io
+    import tarfile
+
+    from framekiln.sources import tar
+
+    source, out = tmp_path / "in", tmp_path / "out"
+    source.mkdir()
+
+    def add(number, begin, count):
+        with tarfile.open(source / f"s-{number:03d}.tar", "w") as archive:
+            for i in range(begin, begin + count):
+                info = tarfile.TarInfo(f"{i:04d}.txt")
+                info.size = 4
+                archive.addfile(info, io.BytesIO(b"%04d" % i))
+
+    def run():
+        narrow = arrival.arriving_shards(spark, str(source), fields=[], bad_samples="drop")
+        narrow = narrow.select((F.col("shard_idx") % 2).alias("rank"), F.lit("all").alias("bucket"), "shard_idx", "pos", "shard")
+        committed.stream_to_shards(batcher.stream_bucket_batches(narrow, 4), str(out), str(tmp_path / "mark"), ["txt"])
+        found = {}
+        for path in sorted(out.glob("rank-*/shard-*.tar")):
+            rows = tar.tar_scan(spark, str(path), fields=["txt"]).orderBy("pos").collect()
+            assert [r.key for r in rows] == [f"{i:06d}" for i in range(4)]
+            found[str(path.relative_to(out))] = [int(r.fields["txt"]) for r in rows]
+        return found
+
+    add(0, 0, 7), add(1, 100, 5)
+    assert run() == {"rank-00000/shard-000000.tar": [0, 1, 2, 3], "rank-00001/shard-000000.tar": [100, 101, 102, 103]}
+    add(2, 7, 6), add(3, 105, 2)
+    want = {"rank-00000": list(range(13)), "rank-00001": list(range(100, 107))}
+    got = run()
+    assert got == {f"{k}/shard-{n:06d}.tar": v[4 * n : 4 * n + 4] for k, v in want.items() for n in range(len(v) // 4)}
+    # A batch that was killed before its manifest runs again and makes the same shards.
+    last = max(committed.committed(str(out)))
+    (out / "commits" / f"{last:012d}.json").unlink()
+    for name in (str(last), f".{last}.crc"):
+        (tmp_path / "mark" / "commits" / name).unlink()
+    assert run() == got and max(committed.committed(str(out))) == last
+    assert not list(out.glob("rank-*/.*.part"))

@@ -437,6 +437,59 @@ def precompute_features(spark, sf_dir):
     )
 
 
+EMITTED_SQL = f"""{PLACED_SQL},
+emitted_b AS (
+  SELECT bucket, j // 8 AS batch_no, row_number() OVER (ORDER BY max(i)) - 1 AS e FROM full_v GROUP BY ALL),
+emitted_f AS (SELECT v.*, e * 8 + j % 8 AS f FROM full_v v JOIN emitted_b b ON v.bucket = b.bucket AND v.j // 8 = b.batch_no)"""
+FEATURES = "shard_no long, key string, latent array<float>, emb array<array<float>>, ratio double"
+
+
+def feature_rows(rows):
+    return rows.select(
+        "shard_no",
+        "key",
+        F.round("ratio", 6).alias("ratio"),
+        F.col("latent")[0].cast("double").alias("height"),
+        F.col("latent")[1].cast("double").alias("width"),
+        F.size("emb").cast("long").alias("words"),
+    )
+
+
+@query(
+    "precompute_emission",
+    f"""WITH {EMITTED_SQL}
+SELECT f // 100 AS shard_no, printf('%07d', f % 100) AS key, round(bucket, 6) AS ratio,
+       th::DOUBLE AS height, tw::DOUBLE AS width, len(string_split(caption, ' ')) AS words FROM emitted_f""",
+)
+def precompute_emission(spark, sf_dir):
+    """Features numbered as their batches fill up; the task that encodes a feature shard writes it."""
+    path = fresh_path(spark, "emitted")
+    shards = image_shards(spark, sf_dir, "tar-emit")
+    precompute.precompute_features(spark, shards, path, SMALL_BINS, toy_image_model, word_lengths, BATCH, 100, emission_order=True)
+    return feature_rows(spark.read.schema(FEATURES).parquet(path))
+
+
+@query(
+    "precompute_cached",
+    f"""WITH {EMITTED_SQL}
+SELECT f // 100 AS shard_no, printf('%07d', f % 100) AS key, round(bucket, 6) AS ratio,
+       th::DOUBLE AS height, tw::DOUBLE AS width, len(string_split(caption, ' ')) AS words, 0 AS encoded_again FROM emitted_f""",
+)
+def precompute_cached(spark, sf_dir):
+    """The same through the feature cache; the second run, whose rows are returned, encodes nothing."""
+    path = fresh_path(spark, "cached")
+    shards = image_shards(spark, sf_dir, "tar-cached")
+
+    def run(name):
+        return precompute.precompute_features(
+            spark, shards, f"{path}/{name}", SMALL_BINS, toy_image_model, word_lengths, BATCH, 100, emission_order=True, cache_path=f"{path}/cache"
+        )
+
+    run("first")
+    again = run("second")
+    return feature_rows(spark.read.schema(FEATURES).parquet(f"{path}/second")).withColumn("encoded_again", F.lit(again))
+
+
 @query(
     "training_batches",
     f"""WITH {PLACED_SQL},

@@ -4,7 +4,8 @@ from pyspark.sql import functions as F
 
 from framekiln.functions import fields
 from framekiln.session import fresh_path
-from framekiln.streaming import arrival, batcher, losses, reshard, sinks
+from framekiln.sources import tar
+from framekiln.streaming import arrival, batcher, committed, losses, reshard, sinks
 from workload.media import SMALL_SQL, image_shards, sample_id
 from workload.registry import query
 from workload.views import LOG_SQL, RANKS, table, train_log
@@ -119,3 +120,35 @@ def stream_loss(spark, sf_dir):
     log.repartition(FILES).write.parquet(path)
     stream = losses.step_losses(arrival.arriving_rows(spark, path, log.schema, max_files=1), RANKS, 4)
     return sinks.drained(spark, stream, "stream-loss").withColumn("loss", F.round("loss", 6))
+
+
+@query(
+    "stream_loss_updates",
+    f"""WITH {LOG_SQL}
+SELECT micro // 4 AS step, round(sum(loss) / 4, 6) AS loss, count(*) AS rows FROM log_v GROUP BY ALL""",
+)
+def stream_loss_updates(spark, sf_dir):
+    """The running log of all steps, unfinished ones too: updates merged by step."""
+    path = fresh_path(spark, "loss-updates")
+    log = train_log(spark, sf_dir)
+    log.repartition(FILES).write.parquet(f"{path}/log")
+    stream = losses.step_updates(arrival.arriving_rows(spark, f"{path}/log", log.schema, max_files=1), RANKS, 4)
+    committed.run_updates(stream, f"{path}/table", f"{path}/checkpoint")
+    return committed.latest_rows(spark, f"{path}/table", stream.schema, ["step"]).withColumn("loss", F.round("loss", 6))
+
+
+@query(
+    "stream_tar_shards",
+    f"""WITH {SMALL_SQL}, n AS (SELECT *, count(*) OVER () AS n FROM small_v)
+SELECT i // 50 AS shard_no, printf('%06d', i % 50) AS key, pos AS doc_id, md5(caption) AS digest FROM n WHERE i // 50 < n // 50""",
+)
+def stream_tar_shards(spark, sf_dir):
+    """Arriving shards of 64 as new shards of 50; the last, shorter one stays in the state."""
+    path = image_shards(spark, sf_dir, "tar-rolling")
+    out = fresh_path(spark, "tar-rolled")
+    narrow = arrival.arriving_shards(spark, path, fields=[], bad_samples="drop", required=["txt", "id"], max_files=1)
+    narrow = narrow.select(F.lit(0).alias("rank"), F.lit("all").alias("bucket"), "shard_idx", "pos", "shard")
+    whole = batcher.stream_bucket_batches(narrow, 50)
+    committed.stream_to_shards(whole, f"{out}/shards", f"{out}/checkpoint", ["txt", "id"])
+    rows = tar.tar_scan(spark, f"{out}/shards/rank-00000", fields=["txt", "id"], ignore_missing=True)
+    return rows.select(F.col("shard_idx").alias("shard_no"), "key", sample_id(), F.md5(fields.field(F.col("fields"), "txt")).alias("digest"))
