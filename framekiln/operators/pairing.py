@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from framekiln.operators.numbering import with_sorted_ordinal
 
+# Endings of the files of a dataset.
 SHARD_SUFFIXES = (".tar", ".zip", ".txt", ".jpg")
 
 
