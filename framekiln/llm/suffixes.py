@@ -5,13 +5,16 @@ hash of each run of ``min_words`` - k + 1 neighbouring k-grams. Equal passages o
 such a place in common. Suffixes whose k-gram occurs once can't belong to a repeat and are dropped by
 a count of hashes. The others are sorted over the cluster by k-gram, the words that follow and
 then the words before it (read backwards); a range partitioning splits even a k-gram that a
-third of all documents share. Neighbours in this order, up to ``LOOK_BACK`` apart, are compared word by word to the right and
-extended to the left; the last suffix of a partition and the first of the next are compared at the end. A suffix
-that shares ``min_words`` or more with a neighbour marks its part of the passage, and the parts of a document are
-joined, so a passage of any length is returned whole.
+third of all documents share.
 
-Since a suffix is compared with its neighbours only, a passage of less than about 70 words may be
-overlooked if more than ``LOOK_BACK`` other occurrences agree with it further to the right and less to the left.
+A window of ``min_words`` words around a k-gram takes r words after it and the others before it. The words
+that neighbours share to the right number the suffixes that agree in their next r words, and
+those that neighbours in the order of the words before share number the suffixes that agree there; a window recurs if
+a pair of such numbers comes twice. So every r is decided by neighbours alone, for
+k-grams of any frequency. K-grams at the first or last place of a partition may go on in another
+one; their windows are hashed and counted over all partitions instead. The windows that recur extend
+a suffix to the left and right, and the parts of a document are joined, so every passage of ``min_words`` or more is
+returned, and returned whole.
 
 Cases: null and empty texts and texts below ``min_words`` have no passages; rows that repeat, also
 under one ``doc_id``, are copies of each other; a null ``doc_id`` is returned as null and is never
@@ -20,12 +23,12 @@ preferred as ``first_doc``; a passage that occurs twice in one document is a rep
 
 from __future__ import annotations
 
-from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,7 +37,8 @@ from framekiln.session import written
 
 GRAM = 32
 MIN_WORDS = 50
-LOOK_BACK = 16
+# Rows that are compared at a time; a k-gram with more of them is compared as a whole if it ends in its partition.
+ROWS = 20_000
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 
@@ -74,45 +78,59 @@ def _common(a: list[str], b: list[str]) -> int:
     return shared
 
 
-class _Suffix:
-    """A suffix with the words around its k-gram, and how far others agree with it to either side."""
+def _agreement(code: list[int], words: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+    """Suffixes ordered by k-gram and words, and how many words each shares with the one before it (-1: another k-gram)."""
+    order = sorted(range(len(code)), key=lambda i: (code[i], words[i]))
+    shared = [-1] * len(code)
+    for k in range(1, len(code)):
+        i, j = order[k - 1], order[k]
+        if code[i] == code[j]:
+            shared[k] = _common(words[i], words[j])
+    return np.array(order, np.int64), np.array(shared, np.int64)
 
-    __slots__ = ("row", "left", "right", "next_right", "best_left", "best_right")
 
-    def __init__(self, row: dict) -> None:
-        self.row = row
-        self.left = row["left"].split(" ") if row["left"] else []
-        self.right = row["right"].split(" ") if row["right"] else []
-        self.next_right = 0
-        self.best_left = self.best_right = -1
+def recurring(code: list[int], left: list[list[str]], right: list[list[str]], reach: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(fewest, most, partner): words to the right in the windows of each suffix that recur, and a suffix with such a window.
 
-    def gains(self, left: int, right: int) -> bool:
-        return left > self.best_left or right > self.best_right
-
-    def part(self, left: int, right: int, gram: int, match: "_Suffix") -> dict:
-        self.best_left, self.best_right = max(self.best_left, left), max(self.best_right, right)
-        at = self.row["at"]
-        kept = {c: self.row[c] for c in ("doc_id", "key", "hash")}
-        return {**kept, "start": at - left, "end": at + gram + right, "match_doc": match.row["doc_id"]}
-
-
-def _compare(before: deque, new: _Suffix, gram: int, min_words: int) -> list[dict]:
-    """Parts of passages that a suffix shares with those sorted before it, the nearest last in ``before``.
-
-    To the right, the words shared with an earlier suffix are the least that any two neighbours
-    between share; a suffix further off may still share more to the left.
+    A window takes r words to the right and ``reach`` - r to the left; without any, all three are -1.
     """
-    out, right = [], None
-    for old in reversed(before):
-        if right is None:
-            right = old.next_right = _common(old.right, new.right)
+    count = len(code)
+    fewest, most, partner = (np.full(count, -1, np.int64) for _ in range(3))
+    by_right, shared_right = _agreement(code, right)
+    by_left, shared_left = _agreement(code, left)
+    n_left, n_right = (np.array([len(x) for x in side], np.int64) for side in (left, right))
+    same_right, same_left = np.empty(count, np.int64), np.empty(count, np.int64)
+    for r in range(reach + 1):
+        same_right[by_right] = np.cumsum(shared_right < r)
+        same_left[by_left] = np.cumsum(shared_left < reach - r)
+        whole = np.flatnonzero((n_right >= r) & (n_left >= reach - r))
+        window = same_right[whole] * (count + 1) + same_left[whole]
+        order = np.argsort(window, kind="stable")
+        window, place = window[order], whole[order]
+        head = np.flatnonzero(np.append(True, window[1:] != window[:-1])) if len(window) else np.zeros(0, np.int64)
+        size = np.diff(np.append(head, len(window)))
+        again = np.repeat(size > 1, size)
+        first = np.repeat(head, size)
+        other = place[np.where(np.arange(len(window)) == first, np.minimum(first + 1, len(window) - 1), first)][again]
+        place = place[again]
+        fresh = fewest[place] < 0
+        fewest[place[fresh]], partner[place[fresh]] = r, other[fresh]
+        most[place] = r
+    return fewest, most, partner
+
+
+def _split(texts: list[str]) -> list[list[str]]:
+    return [x.split(" ") if x else [] for x in texts]
+
+
+def _windows(left: list[str], right: list[str], reach: int) -> list[int | None]:
+    """A 64-bit hash of each window around a k-gram, by its words to the right; null where the text ends before."""
+    out: list[int | None] = []
+    for r in range(reach + 1):
+        if len(right) < r or len(left) < reach - r:
+            out.append(None)
         else:
-            right = min(right, old.next_right)
-        left = _common(old.left, new.left)
-        if left + gram + right >= min_words and (old.gains(left, right) or new.gains(left, right)):
-            out += [old.part(left, right, gram, new), new.part(left, right, gram, old)]
-        if old.left == new.left and old.right == new.right:
-            break  # what lies before was compared with an equal suffix
+            out.append(xxhash.xxh64_intdigest("\t".join([*left[: reach - r][::-1], *right[:r]]).encode("utf-8", "replace")) - (1 << 63))
     return out
 
 
@@ -177,42 +195,88 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, gram: int = G
     order = ["hash", "right", "left", "doc_id", "key", "at"]
     ordered = suffixes.repartitionByRange(*order).sortWithinPartitions(*order)
 
+    reach = run - 1
+    parts_schema = f"doc_id {kind}, key long, at int, hash long, start int, end int, match_doc {kind}, windows array<long>"
+
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, before, fields = TaskContext.get().partitionId(), deque(maxlen=LOOK_BACK), None
+        first, held, last = None, [], None
         for rows in batches:
-            out, ends = [], []
-            for row in rows.to_pylist():
-                if fields is None:
-                    ends.append(row)
-                    fields = rows.schema.field("doc_id").type
-                if before and before[-1].row["hash"] != row["hash"]:
-                    before.clear()
-                new = _Suffix(row)
-                out += _compare(before, new, gram, min_words)
-                before.append(new)
-            if rows.num_rows:
-                yield batch(part, out, ends, 0, fields)
-        if before:
-            yield batch(part, [], [before[-1].row], 1, fields)
-
-    def batch(part: int, out: list[dict], ends: list[dict], side: int, kind_: pa.DataType) -> pa.RecordBatch:
-        none = {"part": None, "side": None, "start": None, "end": None, "match_doc": None, "at": None, "left": None, "right": None}
-        rows = [{**none, **x} for x in out] + [{**none, **x, "part": part, "side": side} for x in ends]
-        types = {"doc_id": kind_, "match_doc": kind_, "key": pa.int64(), "hash": pa.int64(), "left": pa.string(), "right": pa.string()}
-        names = ["doc_id", "key", "start", "end", "match_doc", "hash", "part", "side", "at", "left", "right"]
-        return pa.record_batch({n: pa.array([r[n] for r in rows], types.get(n, pa.int32())) for n in names})
-
-    schema = f"doc_id {kind}, key long, start int, end int, match_doc {kind}, hash long, part int, side int, at int, left string, right string"
-    found = written(ordered.mapInArrow(compare, schema), "suffixes-found")
-    ends = [r.asDict() for r in found.filter("side IS NOT NULL").orderBy("part", "side").collect()]  # two rows per partition
-    over = []
-    for a, b in zip(ends, ends[1:]):
-        if a["part"] != b["part"] and a["hash"] == b["hash"]:
-            over += _compare(deque([_Suffix(a)]), _Suffix(b), gram, min_words)
+            if not rows.num_rows:
+                continue
+            code = rows.column("hash").to_numpy()
+            first = int(code[0]) if first is None else first
+            begin = 0
+            if not held:
+                begin = int((code == first).argmin()) if code[-1] != first else len(code)
+                yield from edge(rows.slice(0, begin))
+            if begin == len(code):
+                continue
+            goes_on = int(code[-1]) == last
+            held.append(rows.slice(begin))
+            last = int(code[-1])
+            if not goes_on and sum(x.num_rows for x in held) >= ROWS:
+                whole, rest = cut(held, last)
+                yield from inside(whole)
+                held = [rest]
+        if held:
+            whole, rest = cut(held, last)
+            yield from inside(whole)
+            yield from edge(rest)
+
+    def cut(held: list[pa.RecordBatch], last: int) -> tuple[pa.RecordBatch, pa.RecordBatch]:
+        """Rows before those of the last k-gram, and these."""
+        rows = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+        at = pc.index(rows.column("hash"), last).as_py()
+        return rows.slice(0, at), rows.slice(at)
+
+    def inside(rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        """Parts of passages at k-grams whose rows are all here."""
+        if rows.num_rows:
+            left, right = (_split(rows.column(c).to_pylist()) for c in ("left", "right"))
+            fewest, most, partner = recurring(rows.column("hash").to_pylist(), left, right, reach)
+            found = np.flatnonzero(fewest >= 0)
+            own, at = rows.take(pa.array(found)), rows.column("at").to_numpy()[found]
+            yield pa.record_batch(
+                {
+                    **{c: own.column(c) for c in ("doc_id", "key", "at", "hash")},
+                    "start": pa.array(at - reach + fewest[found], pa.int32()),
+                    "end": pa.array(at + gram + most[found], pa.int32()),
+                    "match_doc": rows.column("doc_id").take(pa.array(partner[found])),
+                    "windows": pa.nulls(len(found), pa.list_(pa.int64())),
+                }
+            )
+
+    def edge(rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        """Windows of k-grams that may go on in another partition."""
+        for begin in range(0, rows.num_rows, ROWS):
+            some = rows.slice(begin, ROWS)
+            left, right = (_split(some.column(c).to_pylist()) for c in ("left", "right"))
+            yield pa.record_batch(
+                {
+                    **{c: some.column(c) for c in ("doc_id", "key", "at", "hash")},
+                    **{c: pa.nulls(some.num_rows, pa.int32()) for c in ("start", "end")},
+                    "match_doc": pa.nulls(some.num_rows, some.schema.field("doc_id").type),
+                    "windows": pa.array([_windows(x, y, reach) for x, y in zip(left, right)], pa.list_(pa.int64())),
+                }
+            )
+
+    found = written(ordered.mapInArrow(compare, parts_schema), "suffixes-found")
     names = ["doc_id", "key", "start", "end", "match_doc", "hash"]
-    parts = found.filter("side IS NULL").select(*names)
-    if over:
-        parts = parts.union(spark.createDataFrame([tuple(s[n] for n in names) for s in over], parts.schema))
+    open_ = found.filter("windows IS NOT NULL").select("doc_id", "key", "at", "hash", F.posexplode("windows").alias("r", "window")).filter("window IS NOT NULL")
+    counted = open_.groupBy("hash", "window").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
+    counted = written(counted.filter("n > 1").drop("n"), "suffixes-windows")
+    shared = open_.join(counted, ["hash", "window"]).groupBy("doc_id", "key", "at", "hash").agg(
+        F.min("r").alias("fewest"), F.max("r").alias("most"), F.min("low").alias("low"), F.max("high").alias("high")
+    )
+    shared = shared.select(
+        "doc_id",
+        "key",
+        (F.col("at") - reach + F.col("fewest")).cast("int").alias("start"),
+        (F.col("at") + gram + F.col("most")).cast("int").alias("end"),
+        F.when(F.col("low").eqNullSafe(F.col("doc_id")), F.col("high")).otherwise(F.col("low")).alias("match_doc"),
+        "hash",
+    )
+    parts = found.filter("windows IS NULL").select(*names).union(shared)
     parts = parts.join(again, "hash").groupBy("doc_id", "key").agg(
         F.collect_set(F.struct("start", "end", "match_doc", "first_doc")).alias("parts")
     )

@@ -42,5 +42,64 @@ def test_shared_passages(spark):
     assert {(r.doc_id, r.first_doc, r.n_words) for r in copies} == {(7, 3, 61), (3, 3, 61)}
 
 
+def test_passages_between_many_that_agree_further_right(spark):
+    """Two documents share 50 words; ``others`` share only the last 32 of them and sort between the two."""
+    import random
+
+    for others in (10, 17, 30, 300):
+        rng = random.Random(others)
+        word = lambda: f"v{rng.randrange(1 << 40)}"
+        passage = [word() for _ in range(50)]
+        rows = [(i, " ".join([word() for _ in range(20)] + passage + [f"{'az'[i]}{word()}" for _ in range(20)])) for i in (0, 1)]
+        rows += [(10 + i, " ".join([word() for _ in range(20)] + passage[18:] + [f"m{word()}" for _ in range(20)])) for i in range(others)]
+        rows += [(5000 + i, " ".join([word() for _ in range(20)] + passage[: 20 + i] + [word() for _ in range(20)])) for i in range(30)]
+        docs = spark.createDataFrame(rows, "doc_id long, text string")
+        assert words(suffixes.repeated_passages(docs)) == plain(rows)
+
+
+def test_windows_across_range_edges(spark):
+    """One k-gram shared by all documents fills several partitions; passages reach left, right or to both sides of it."""
+    import random
+
+    rng = random.Random(4)
+    word = lambda: f"w{rng.randrange(1 << 40)}"
+    core = [word() for _ in range(32)]
+    lefts, rights = ([[word() for _ in range(24)] for _ in range(8)] for _ in range(2))
+    rows = []
+    for i in range(600):
+        a, b = rng.randint(0, 24), rng.randint(0, 24)
+        left = [word() for _ in range(24 - a)] + rng.choice(lefts)[24 - a :]
+        rows.append((i, " ".join([word() for _ in range(12)] + left + core + rng.choice(rights)[:b] + [word() for _ in range(40 - b)])))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        assert words(suffixes.repeated_passages(docs)) == plain(rows)
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+
+
+def test_words_with_control_characters(spark):
+    tail = " ".join(f"t{i}" for i in range(49))
+    rows = [(1, "a " + tail), (2, "a\x01b " + tail), (3, "a " + tail), (4, "\x00 " + tail)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert words(suffixes.repeated_passages(docs)) == plain(rows)
+
+
+def test_recurring_windows_equal_plain_pairs():
+    import random
+
+    rng = random.Random(2)
+    code = sorted(rng.choice([3, 3, 3, 7, 9]) for _ in range(120))
+    left, right = ([[rng.choice("ab") for _ in range(rng.randint(0, 6))] for _ in code] for _ in range(2))
+    fewest, most, partner = suffixes.recurring(code, left, right, 6)
+    for i in range(len(code)):
+        whole = {r for r in range(7) if len(right[i]) >= r and len(left[i]) >= 6 - r}
+        alike = lambda j, r: code[i] == code[j] and left[i][: 6 - r] == left[j][: 6 - r] and right[i][:r] == right[j][:r] and len(right[j]) >= r and len(left[j]) >= 6 - r  # noqa: E731, B023
+        own = sorted(r for r in whole if any(j != i and alike(j, r) for j in range(len(code))))
+        assert (fewest[i], most[i]) == ((own[0], own[-1]) if own else (-1, -1))
+        assert not own or (partner[i] != i and alike(partner[i], own[0]))
+
+
 def test_no_documents(no_docs):
     assert suffixes.repeated_passages(no_docs).collect() == []
