@@ -262,12 +262,18 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, gram: int = G
 
     found = written(ordered.mapInArrow(compare, parts_schema), "suffixes-found")
     names = ["doc_id", "key", "start", "end", "match_doc", "hash"]
-    open_ = found.filter("windows IS NOT NULL").select("doc_id", "key", "at", "hash", F.posexplode("windows").alias("r", "window")).filter("window IS NOT NULL")
-    counted = open_.groupBy("hash", "window").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
+    open_ = found.filter("windows IS NOT NULL").withColumn("around", F.xxhash64("windows"))
+    # Rows with the same words around a k-gram, as copies have, are one row from here on.
+    alike = open_.groupBy("hash", "around").agg(
+        F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.first("windows").alias("windows")
+    )
+    alike = written(alike, "suffixes-alike").select("hash", "around", "n", "low", "high", F.posexplode("windows").alias("r", "window")).filter("window IS NOT NULL")
+    counted = alike.groupBy("hash", "window").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"))
     counted = written(counted.filter("n > 1").drop("n"), "suffixes-windows")
-    shared = open_.join(counted, ["hash", "window"]).groupBy("doc_id", "key", "at", "hash").agg(
+    marked = alike.drop("n", "low", "high").join(counted, ["hash", "window"]).groupBy("hash", "around").agg(
         F.min("r").alias("fewest"), F.max("r").alias("most"), F.min("low").alias("low"), F.max("high").alias("high")
     )
+    shared = open_.join(written(marked, "suffixes-marked"), ["hash", "around"])
     shared = shared.select(
         "doc_id",
         "key",
