@@ -19,6 +19,9 @@ that share a name up to the first dot of the file name. Options:
                   their bodies are not read
 ``shards``        a JSON list of shard numbers; other shards are not opened
 ``keyPrefixes``   a JSON list of beginnings of keys; bodies of other samples are not read
+``packBytes``     small shards share a task until it has this many bytes, each counted with ``OPEN_BYTES`` for opening it;
+                  without it every shard has a task of its own
+``leastTasks``    how many tasks a scan keeps where packing would leave fewer
 
 These last three are options, and the reader has no ``pushFilters``: Spark 4.1 keeps the filters that one query has pushed into a
 Python source for all later ones of the same DataFrame, so a count after a filtered count would be wrong.
@@ -75,6 +78,10 @@ BLOCK = tarfile.BLOCKSIZE
 SPLIT_BYTES = 1 << 30
 # What one task should fetch and encode or write.
 TASK_BYTES = 512 << 20
+# What small shards make up one task of a scan, and what opening a shard counts as.
+PACK_BYTES = 64 << 20
+OPEN_BYTES = 1 << 20
+TASKS_PER_CORE = 4
 # Positions in a shard count 512-byte units, so row numbering should cut its blocks
 # this wide: one block holds the samples of at most one split's worth of bytes.
 BLOCK_UNITS = SPLIT_BYTES // BLOCK
@@ -147,6 +154,33 @@ class TarSplit(InputPartition):
     end: int
 
 
+@dataclass
+class TarSplits(InputPartition):
+    """Neighbouring splits that one task reads, in order."""
+
+    splits: list[TarSplit]
+
+
+def packed(splits: list[TarSplit], pack_bytes: int, least_tasks: int) -> list[TarSplits]:
+    """Splits in listing order, side by side in a task as long as they are small."""
+    costs = [split.end - split.begin + OPEN_BYTES for split in splits]
+    limit = min(pack_bytes, max(OPEN_BYTES, sum(costs) // max(least_tasks, 1)))
+    tasks, held = [], 0
+    for split, cost in zip(splits, costs):
+        if not tasks or held + cost > limit:
+            tasks.append(TarSplits([]))
+            held = 0
+        tasks[-1].splits.append(split)
+        held += cost
+    return tasks
+
+
+def walk_tasks(spark: SparkSession, sizes: list[int]) -> int:
+    """How many tasks should walk shards of these sizes, each as a whole."""
+    cost = sum(sizes) + OPEN_BYTES * len(sizes)
+    return min(len(sizes), max(-(-cost // PACK_BYTES), TASKS_PER_CORE * spark.sparkContext.defaultParallelism))
+
+
 def _next_header(stream, begin: int, size: int) -> int | None:
     """Offset of the first block at or after ``begin`` that is a header by its checksum."""
     offset = -(-begin // BLOCK) * BLOCK
@@ -344,11 +378,17 @@ class TarReader(DataSourceReader):
 
         self.shards = set(json.loads(options["shards"])) if "shards" in options else None
         self.prefixes = tuple(json.loads(options["keyprefixes"])) if "keyprefixes" in options else None
+        self.pack_bytes = int(options["packbytes"]) if "packbytes" in options else None
+        self.least_tasks = int(options.get("leasttasks", 1))
 
     def _takes(self, key: str | None) -> bool:
         return key is not None and key.startswith(self.prefixes)
 
-    def partitions(self) -> list[TarSplit]:
+    def partitions(self) -> list[TarSplit] | list[TarSplits]:
+        splits = self._splits()
+        return splits if self.pack_bytes is None else packed(splits, self.pack_bytes, self.least_tasks)
+
+    def _splits(self) -> list[TarSplit]:
         files = []
         for path in self.paths:
             found = expand(path)
@@ -362,12 +402,13 @@ class TarReader(DataSourceReader):
             for begin in range(0, max(size, 1), self.split_bytes)
         ]
 
-    def read(self, partition: TarSplit | None) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: TarSplit | TarSplits | None) -> Iterator[pa.RecordBatch]:
         if partition is None:  # what Spark gives where there are no partitions
             return
         rows, held = [], 0
         samples = _Samples(self.wanted, self.sizes, self.required, self._takes if self.prefixes is not None else None)
-        for row in samples.read(partition):
+        splits = partition.splits if isinstance(partition, TarSplits) else [partition]
+        for row in (row for split in splits for row in samples.read(split)):
             row["fields"] = list(row["fields"].items())
             held += sum(len(data) for _, data in row["fields"])
             rows.append(row)
@@ -514,6 +555,8 @@ def tar_scan(
         .option("splitBytes", split_bytes)
         .option("ignoreMissing", str(ignore_missing).lower())
         .option("required", ",".join(required or []))
+        .option("packBytes", PACK_BYTES)
+        .option("leastTasks", TASKS_PER_CORE * spark.sparkContext.defaultParallelism)
     )
     if shards is not None:
         reader = reader.option("shards", json.dumps(sorted(shards)))
