@@ -102,9 +102,10 @@ def refresh_index(
     missing = listed.join(_newest(_known(spark, index_path)), ["shard", "shard_bytes", "version"], "left_anti")
     missing = missing.dropDuplicates(["shard"]).select("shard", "shard_bytes", "version").collect()  # names, as the listing itself
     if missing:
-        # The build's name sorts by time; one task per shard, as many at once as the cluster takes.
+        # The build's name sorts by time; a shard is walked by one task, and small shards share tasks.
         built = f"{spark.sql('SELECT unix_micros(current_timestamp())').first()[0]:020d}-{uuid.uuid4().hex}"
-        todo = spark.createDataFrame(missing, "shard string, shard_bytes bigint, version string").repartition(len(missing))
+        todo = spark.createDataFrame(missing, "shard string, shard_bytes bigint, version string")
+        todo = todo.repartition(tar.walk_tasks(spark, [shard["shard_bytes"] for shard in missing]))
         todo.mapInArrow(_walk(sizes, built), INDEX).write.mode("append").parquet(index_path)
     return len(missing)
 
