@@ -1,5 +1,8 @@
 """Streaming queries over files that Spark writes from the tables."""
 
+import os
+
+from pyarrow.fs import LocalFileSystem
 from pyspark.sql import functions as F
 
 from framekiln.functions import fields
@@ -137,6 +140,20 @@ def stream_loss_updates(spark, sf_dir):
     return committed.latest_rows(spark, f"{path}/table", stream.schema, ["step"]).withColumn("loss", F.round("loss", 6))
 
 
+def landed_in_order(path):
+    """Give the shards of a folder times of landing in the order of their numbers; tasks wrote them side by side.
+
+    A stream takes the oldest first. Only local files can be given a time; a folder in another store stays as it is.
+    """
+    shards = tar.listed(path)
+    first = min((int(version) for _, _, version in shards), default=0) // 10**6
+    for i, (name, _, _) in enumerate(shards):
+        store, inside = tar.open_store(name)
+        if isinstance(store, LocalFileSystem):
+            os.utime(inside, ns=((first + i) * 10**6,) * 2)
+    return path
+
+
 @query(
     "stream_tar_shards",
     f"""WITH {SMALL_SQL}, n AS (SELECT *, count(*) OVER () AS n FROM small_v)
@@ -144,9 +161,9 @@ SELECT i // 50 AS shard_no, printf('%06d', i % 50) AS key, pos AS doc_id, md5(ca
 )
 def stream_tar_shards(spark, sf_dir):
     """Arriving shards of 64 as new shards of 50; the last, shorter one stays in the state."""
-    path = image_shards(spark, sf_dir, "tar-rolling")
+    path = landed_in_order(image_shards(spark, sf_dir, "tar-rolling"))
     out = fresh_path(spark, "tar-rolled")
-    narrow = arrival.arriving_shards(spark, path, fields=[], bad_samples="drop", required=["txt", "id"], max_files=1)
+    narrow = arrival.arriving_shards(spark, path, fields=[], bad_samples="drop", required=["txt", "id"])
     narrow = narrow.select(F.lit(0).alias("rank"), F.lit("all").alias("bucket"), "shard_idx", "pos", "shard")
     whole = batcher.stream_bucket_batches(narrow, 50)
     committed.stream_to_shards(whole, f"{out}/shards", f"{out}/checkpoint", ["txt", "id"])
