@@ -214,6 +214,7 @@ def stream_to_shards(whole: DataFrame, path: str, checkpoint: str, fields: Seque
     spark = whole.sparkSession
     spark.dataSource.register(ShardSink)
     target = F.format_string("rank-%05d/shard-%06d.tar", F.col(rank), F.col("batch_no"))
-    rows = whole.select(target.alias("target"), "slot", "shard", "pos", rekey(F.col("slot"), digits).alias("key")).repartition("target")
+    rows = whole.select(target.alias("target"), "slot", "shard", "pos", rekey(F.col("slot"), digits).alias("key"))
+    rows = rows.repartition(tar.TASKS_PER_CORE * spark.sparkContext.defaultParallelism, "target")
     writer = rows.writeStream.format("tarshardsink").option("path", path).option("fields", ",".join(fields)).option("key", "key")
     writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
