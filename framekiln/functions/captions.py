@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from framekiln.functions.pieces import pieces
+
 # Phrases that say nothing about the picture.
 REJECTED = (
     "image",
@@ -44,8 +46,8 @@ def tag_tokens(factory: Callable[[], Callable[[str], tuple]]) -> Callable[[Colum
     def tagged(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         tagger = factory()
         for captions in batches:
-            rows = [tagger(c) if c is not None else ([], [], [], []) for c in captions]
-            yield pd.DataFrame(rows, columns=["words", "tags", "entities", "labels"])
+            for rows in pieces(tuple(tagger(c)) if c is not None else ([], [], [], []) for c in captions):
+                yield pd.DataFrame(rows, columns=["words", "tags", "entities", "labels"])
 
     return tagged
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from framekiln.operators.buckets import Bins, aspect_ratio, nearest_bin
 from framekiln.operators.numbering import with_ordinal
+from framekiln.session import bound_batches
 
 BINS = Bins.from_sizes([(512 + 64 * i, 1048576 // (512 + 64 * i) // 64 * 64) for i in range(25)])
 RANKS = 4
@@ -18,6 +19,7 @@ RANK_BATCH = 4
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
