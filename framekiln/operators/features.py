@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framekiln.functions import images
+from framekiln.functions.pieces import pieces
 
 Encoder = Callable[[list], Sequence]
 
@@ -22,7 +23,7 @@ def encoder(factory: Callable[[], Encoder], returns: str, max_batch: int) -> Cal
     ``max_batch`` inputs and returns as many outputs. The column function takes the
     input column and, optionally, a column whose value must be the same throughout a
     model call, such as the bucket that fixes the image size. Only these two columns
-    travel to Python.
+    travel to Python. Outputs leave Python in pieces (see ``pieces``).
     """
 
     def runs(keys: pd.Series) -> list[tuple[int, int]]:
@@ -36,16 +37,19 @@ def encoder(factory: Callable[[], Encoder], returns: str, max_batch: int) -> Cal
     @F.pandas_udf(returns)
     def encoded(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         model = factory()
-        for inputs, keys in batches:
-            out = []
+
+        def outputs(inputs: pd.Series, keys: pd.Series) -> Iterator:
             for begin, end in runs(keys) if len(keys) else []:
                 part = inputs.iloc[begin:end]
                 # A struct column arrives as a table; its rows become dicts.
                 got = list(model(part.to_dict("records") if isinstance(part, pd.DataFrame) else list(part)))
                 if len(got) != end - begin:
                     raise ValueError(f"the encoder returned {len(got)} outputs for {end - begin} inputs")
-                out.extend(got)
-            yield pd.Series(out, dtype=object)
+                yield from got
+
+        for inputs, keys in batches:
+            for piece in pieces(outputs(inputs, keys)):
+                yield pd.Series(piece, dtype=object)
 
     return lambda values, same=None: encoded(values, F.lit(0) if same is None else same)
 
