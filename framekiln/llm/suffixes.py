@@ -12,7 +12,9 @@ that neighbours share to the right number the suffixes that agree in their next
 those that neighbours in the order of the words before share number the suffixes that agree there; a window recurs if
 a pair of such numbers comes twice. So every r is decided by neighbours alone, for
 k-grams of any frequency. K-grams at the first or last place of a partition may go on in another
-one; their windows are hashed and counted over all partitions instead. The windows that recur extend
+one; their words on each side are sorted over the cluster and cut to those that a neighbour shares, as
+no window that recurs reaches further. What is left is the same for all texts that share a passage, so its windows are
+hashed once for each such context, and counted over all partitions. The windows that recur extend
 a suffix to the left and right, and the parts of a document are joined, so every passage of ``min_words`` or more is
 returned, and returned whole.
 
@@ -23,7 +25,7 @@ preferred as ``first_doc``; a passage that occurs twice in one document is a rep
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -123,6 +125,14 @@ def _split(texts: list[str]) -> list[list[str]]:
     return [x.split(" ") if x else [] for x in texts]
 
 
+def _shared(code: list[int], words: list[list[str]]) -> list[int]:
+    """Words that each suffix shares with a neighbour of its k-gram; the first and last may go on elsewhere and keep all."""
+    count = len(code)
+    agree = [_common(words[i - 1], words[i]) if code[i - 1] == code[i] else 0 for i in range(1, count)]
+    inner = [max(agree[i - 1], agree[i]) for i in range(1, count - 1)]
+    return [len(words[0]), *inner, len(words[-1])][:count] if count else []
+
+
 def _windows(left: list[str], right: list[str], reach: int) -> list[int | None]:
     """A 64-bit hash of each window around a k-gram, by its words to the right; null where the text ends before."""
     out: list[int | None] = []
@@ -196,7 +206,7 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, gram: int = G
     ordered = suffixes.repartitionByRange(*order).sortWithinPartitions(*order)
 
     reach = run - 1
-    parts_schema = f"doc_id {kind}, key long, at int, hash long, start int, end int, match_doc {kind}, windows array<long>"
+    parts_schema = f"doc_id {kind}, key long, at int, hash long, start int, end int, match_doc {kind}, left string, right string"
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first, held, last = None, [], None
@@ -242,35 +252,73 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, gram: int = G
                     "start": pa.array(at - reach + fewest[found], pa.int32()),
                     "end": pa.array(at + gram + most[found], pa.int32()),
                     "match_doc": rows.column("doc_id").take(pa.array(partner[found])),
-                    "windows": pa.nulls(len(found), pa.list_(pa.int64())),
+                    **{c: pa.nulls(len(found), pa.string()) for c in ("left", "right")},
                 }
             )
 
     def edge(rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        """Windows of k-grams that may go on in another partition."""
-        for begin in range(0, rows.num_rows, ROWS):
-            some = rows.slice(begin, ROWS)
-            left, right = (_split(some.column(c).to_pylist()) for c in ("left", "right"))
+        """Rows of k-grams that may go on in another partition, with the words around them."""
+        if rows.num_rows:
             yield pa.record_batch(
                 {
-                    **{c: some.column(c) for c in ("doc_id", "key", "at", "hash")},
-                    **{c: pa.nulls(some.num_rows, pa.int32()) for c in ("start", "end")},
-                    "match_doc": pa.nulls(some.num_rows, some.schema.field("doc_id").type),
-                    "windows": pa.array([_windows(x, y, reach) for x, y in zip(left, right)], pa.list_(pa.int64())),
+                    **{c: rows.column(c) for c in ("doc_id", "key", "at", "hash")},
+                    **{c: pa.nulls(rows.num_rows, pa.int32()) for c in ("start", "end")},
+                    "match_doc": pa.nulls(rows.num_rows, rows.schema.field("doc_id").type),
+                    **{c: rows.column(c) for c in ("left", "right")},
                 }
             )
 
+    def trimmed(rows: DataFrame, side: str, then: Callable | None = None) -> DataFrame:
+        """The words on one side cut to those that another suffix of the k-gram shares; ``then`` makes the last column of each batch."""
+        # Sorted as words, so that neighbours share most whatever bytes the words hold.
+        place = ["hash", F.split(side, " "), "doc_id", "key", "at"]
+        columns = ["doc_id", "key", "at", "hash", "left", "right"]
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held: list[pa.RecordBatch] = []
+            first = True
+            for batch in batches:
+                held = [x for x in (*held, batch) if x.num_rows]
+                if sum(x.num_rows for x in held) > ROWS:
+                    rows = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+                    yield cut_to(rows, 0 if first else 1, rows.num_rows - 1)
+                    held, first = [rows.slice(rows.num_rows - 2)], False
+            if held:
+                rows = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+                yield cut_to(rows, 0 if first else 1, rows.num_rows)
+
+        def cut_to(rows: pa.RecordBatch, begin: int, end: int) -> pa.RecordBatch:
+            words = _split(rows.column(side).to_pylist())
+            most = _shared(rows.column("hash").to_pylist(), words)
+            own = pa.array([" ".join(words[i][: most[i]]) for i in range(begin, end)], pa.string())
+            rows = rows.slice(begin, end - begin)
+            out = {c: own if c == side else rows.column(c) for c in columns}
+            if then is None:
+                return pa.record_batch(out)
+            left, right = (_split(out.pop(c).to_pylist()) for c in ("left", "right"))
+            return pa.record_batch({**out, "windows": then(left, right)})
+
+        fields = f"doc_id {kind}, key long, at int, hash long, " + ("left string, right string" if then is None else "windows array<long>")
+        return rows.select(*columns).repartitionByRange(*place).sortWithinPartitions(*place).mapInArrow(run, fields)
+
+    def hashed(left: list[list[str]], right: list[list[str]]) -> pa.Array:
+        return pa.array([_windows(x, y, reach) for x, y in zip(left, right)], pa.list_(pa.int64()))
+
     found = written(ordered.mapInArrow(compare, parts_schema), "suffixes-found")
     names = ["doc_id", "key", "start", "end", "match_doc", "hash"]
-    open_ = found.filter("windows IS NOT NULL").withColumn("around", F.xxhash64("windows"))
+    crossing = written(trimmed(found.filter("left IS NOT NULL"), "right"), "suffixes-crossing")
+    # A null would be left out of the hash, and the place of a window with it.
+    around = F.xxhash64(F.transform("windows", lambda w: F.coalesce(w, F.lit(0))))
+    open_ = written(trimmed(crossing, "left", hashed).withColumn("around", around), "suffixes-open")
     # Rows with the same words around a k-gram, as copies have, are one row from here on.
     alike = open_.groupBy("hash", "around").agg(
         F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.first("windows").alias("windows")
     )
     alike = written(alike, "suffixes-alike").select("hash", "around", "n", "low", "high", F.posexplode("windows").alias("r", "window")).filter("window IS NOT NULL")
-    counted = alike.groupBy("hash", "window").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"))
+    # The same words before one k-gram and after another are different windows.
+    counted = alike.groupBy("hash", "r", "window").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"))
     counted = written(counted.filter("n > 1").drop("n"), "suffixes-windows")
-    marked = alike.drop("n", "low", "high").join(counted, ["hash", "window"]).groupBy("hash", "around").agg(
+    marked = alike.drop("n", "low", "high").join(counted, ["hash", "r", "window"]).groupBy("hash", "around").agg(
         F.min("r").alias("fewest"), F.max("r").alias("most"), F.min("low").alias("low"), F.max("high").alias("high")
     )
     shared = open_.join(written(marked, "suffixes-marked"), ["hash", "around"])
@@ -282,7 +330,7 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, gram: int = G
         F.when(F.col("low").eqNullSafe(F.col("doc_id")), F.col("high")).otherwise(F.col("low")).alias("match_doc"),
         "hash",
     )
-    parts = found.filter("windows IS NULL").select(*names).union(shared)
+    parts = found.filter("left IS NULL").select(*names).union(shared)
     parts = parts.join(again, "hash").groupBy("doc_id", "key").agg(
         F.collect_set(F.struct("start", "end", "match_doc", "first_doc")).alias("parts")
     )

@@ -103,3 +103,46 @@ def test_recurring_windows_equal_plain_pairs():
 
 def test_no_documents(no_docs):
     assert suffixes.repeated_passages(no_docs).collect() == []
+
+
+def test_windows_of_a_common_passage_are_counted_once(spark, monkeypatch):
+    """Texts that share a passage and nothing else have one context, however many they are and whatever stands around it."""
+    import random
+
+    rng = random.Random(6)
+    word = lambda: f"w{rng.randrange(1 << 40)}"
+    passage = [word() for _ in range(56)]
+    rows = [(i, " ".join([word() for _ in range(30)] + passage + [word() for _ in range(30)])) for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    tables = {}
+    write = suffixes.written
+    monkeypatch.setattr(suffixes, "written", lambda df, label: tables.setdefault(label, write(df, label)))
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        assert words(suffixes.repeated_passages(docs)) == plain(rows)
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    contexts = tables["suffixes-alike"].selectExpr("size(filter(windows, w -> w IS NOT NULL)) AS n").agg({"n": "sum"}).first()[0]
+    assert 0 < contexts < 1000
+
+
+def test_words_before_and_after_a_gram_are_told_apart(spark):
+    """Many texts go on with the words that one text, or two, have before the common k-gram."""
+    import random
+
+    rng = random.Random(8)
+    word = lambda: f"w{rng.randrange(1 << 40)}"
+    while True:
+        gram, beside = [word() for _ in range(32)], [word() for _ in range(18)]
+        before, after = beside + gram, gram + beside
+        around = lambda own: " ".join([word() for _ in range(20)] + own + [word() for _ in range(20)])
+        _, at, _ = suffixes.sampled([around(before).encode(), around(after).encode()], 32, 19)
+        if {38, 20} <= set(at.tolist()):
+            break
+    for few in (1, 2):
+        rows = [(i, around(before if i < few else after)) for i in range(300)]
+        docs = spark.createDataFrame(rows, "doc_id long, text string")
+        want = plain(rows)
+        assert 0 not in {i for i, _ in want} if few == 1 else {(0, 20), (1, 20)} <= want
+        assert words(suffixes.repeated_passages(docs)) == want
