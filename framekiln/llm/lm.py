@@ -201,7 +201,17 @@ class Turn:
         self.data = np.frombuffer(data, np.uint8)
 
     def levels(self, hashes: np.ndarray) -> np.ndarray:
-        """Highest level of each n-gram in this turn's buckets; 0 where it is absent or elsewhere."""
+        """Highest level of each n-gram in this turn's buckets; 0 where it is absent or elsewhere.
+
+        Frequent n-grams have the most levels to probe, so each different one is probed once.
+        """
+        out = np.zeros(len(hashes), np.uint8)
+        here = np.flatnonzero(self.bits[_buckets(hashes, self.buckets)] > 0)
+        different, place = np.unique(hashes[here], return_inverse=True)
+        out[here] = self._probed(different)[place]
+        return out
+
+    def _probed(self, hashes: np.ndarray) -> np.ndarray:
         bucket = _buckets(hashes, self.buckets)
         out = np.zeros(len(hashes), np.uint8)
         alive = np.flatnonzero(self.bits[bucket] > 0)
@@ -235,9 +245,9 @@ def _turns(filter_: DataFrame, turn_bytes: int) -> list[list[int]]:
 
 def _estimates(level: np.ndarray, base: float) -> np.ndarray:
     """Middle of the counts that share a level; 0 for level 0."""
-    level = level.astype(float)
-    low, high = np.ceil(base ** (level - 1) - 1e-9), np.maximum(np.ceil(base**level - 1e-9) - 1, 1)
-    return np.where(level > 0, (low + np.maximum(high, low)) / 2, 0.0)
+    each = np.arange(int(level.max(initial=0)) + 1, dtype=float)
+    low, high = np.ceil(base ** (each - 1) - 1e-9), np.maximum(np.ceil(base**each - 1e-9) - 1, 1)
+    return np.where(each > 0, (low + np.maximum(high, low)) / 2, 0.0)[level]
 
 
 def log_probabilities(levels: list[np.ndarray], contexts: list[np.ndarray], total: int, kinds: int, prior: float, base: float) -> np.ndarray:
@@ -355,12 +365,14 @@ def _finishing(turn, known, order: int, total: int, kinds: int, prior: float, ba
                 contexts.append(context)
             score = np.add.reduceat(log_probabilities(levels[:order], contexts, total, kinds, prior, base), heads)
             doc = np.repeat(np.arange(len(texts)), counts)
-            count = np.zeros(len(doc), np.int64)
+            different, same = np.unique(grams[0], return_inverse=True)
+            count = np.zeros(len(different), np.int64)
             if len(words):
-                at = np.minimum(np.searchsorted(words, grams[0]), len(words) - 1)
-                hit = words[at] == grams[0]
+                at = np.minimum(np.searchsorted(words, different), len(words) - 1)
+                hit = words[at] == different
                 count[hit] = counts_of[at[hit]]
-            chance = np.add.reduceat(np.log10((count + 0.1) / whole), heads)
+            chance = np.add.reduceat(np.log10((count + 0.1) / whole)[same], heads)
+            count = count[same]
             other = np.flatnonzero(count == 0)
             order_ = other[np.lexsort((grams[0][other], doc[other]))]
             d, w = doc[order_], grams[0][order_]

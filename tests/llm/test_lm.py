@@ -78,3 +78,18 @@ def test_filter_never_lowers_a_count(spark):
         absent = turn.levels(lm.mixed(value + np.uint64(99)))
         assert (absent > 0).mean() < 0.05
     assert high < 0.05 * sum(len(np.unique(g)) for g in grams)
+
+
+def test_each_different_ngram_is_probed_once(monkeypatch):
+    import numpy as np
+
+    rows = [{"bucket": 0, "bits": b"\xff" * 8}, {"bucket": 1, "bits": bytes([0b10110111] * 64)}]
+    turn = lm.Turn(3, rows[1:])
+    hashes = np.random.default_rng(5).integers(1 << 62, size=50, dtype=np.uint64) * np.uint64(4)
+    want = turn.levels(hashes)
+    probed = []
+    steps = lm._steps
+    monkeypatch.setattr(lm, "_steps", lambda own, level: probed.append(len(own)) or steps(own, level))
+    assert np.array_equal(turn.levels(np.tile(hashes, 40)), np.tile(want, 40))
+    assert want.any() and max(probed) <= len(hashes)
+    assert np.array_equal(turn.levels(hashes[:0]), want[:0])
