@@ -4,10 +4,13 @@ Counts of n-grams are quantised: a count c has level 1 + floor(log_b c), and the
 the n-gram with each level from 1 up to its own. A worker finds a count by probing the
 n-gram with level 1, 2, ... until a probe fails; chance errors only raise a count, and with
 probability falling by level. The filter is cut into buckets by the n-gram's hash, each with its own
-bits in proportion to its entries, built in one task each. Buckets are broadcast in turns of at
-most ``TURN_BYTES``: a turn fills in the levels of its n-grams for all positions of all texts, and the
-next turn goes on from the written levels. So a worker never holds more than one turn, the filter as
-a whole grows with the corpus, and error rates stay as they are.
+bits in proportion to its entries, so the filter as a whole grows with the corpus, and error rates stay as they are.
+
+Neither the filter nor the texts are sent round. Rows are dealt to parts of about ``PART_BYTES`` by their content, and a
+part sends each bucket its different n-grams once, with their counts in training rows. The task of a bucket builds the bucket's bits
+from the counts of all parts, probes them for what each part has sent, and returns a level per n-gram in the part's
+order. The part meets its answers and finishes the scores. Texts move once, n-grams once, levels once, whatever the
+size of the corpus.
 
 Probabilities are interpolated with a Dirichlet prior: with c(.) read from the filter,
 p(w | h) = (c(h w) + m p'(w)) / (c(h) + m), where p' is the next shorter context; below words
@@ -15,7 +18,7 @@ lies p(w) = c(w) / (N + V), and V / (N + V) for words never seen (N tokens, V of
 c(h w) is held to at most c(h), which corrects some of the chance errors.
 
 The base score needs exact counts. Words with at least N / ``FREQUENT`` tokens, which are at most
-``FREQUENT`` words, are sent to the workers; other words, of which none can be hot then, are joined.
+``FREQUENT`` words, are sent to the workers; the buckets add up the counts of the others, by whole hashes.
 
 Cases: a null text is empty, and an empty text is its end token alone; rows without ``doc_id`` are
 learnt from (they are in no held-out fold) and scored; repeated rows are learnt from and
@@ -31,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framekiln.llm.common import Tokens, chunks, fold, mixed, received, send, texts_of
+from framekiln.llm.common import Tokens, chunks, fold, mixed, texts_of
 from framekiln.session import written
 
 ORDER = 2
@@ -41,6 +44,7 @@ PROBES = 6
 PRIOR = 300.0
 TURN_BYTES = 48 << 20
 BUCKET_TOKENS = 1 << 20
+PART_BYTES = 8 << 20
 FREQUENT = 1 << 20
 END = int(mixed(np.array([0xE0D], np.uint64))[0])
 START = int(mixed(np.array([0x57A], np.uint64))[0])
@@ -123,6 +127,31 @@ def _place(first: np.ndarray, step: np.ndarray, bits: np.ndarray | int, probe: i
     return (at * np.asarray(bits, np.uint64) >> np.uint64(32)).astype(np.int64)
 
 
+def _lowest(hashes: np.ndarray) -> np.ndarray:
+    """The lower 40 bits of each hash, as five bytes."""
+    return np.ascontiguousarray(hashes.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5])
+
+
+def _widened(lowest: list[bytes]) -> np.ndarray:
+    low = np.frombuffer(b"".join(lowest), np.uint8).reshape(-1, 5)
+    value = np.zeros((len(low), 8), np.uint8)
+    value[:, :5] = low
+    return value.view("<u8").ravel()
+
+
+def _bits(value: np.ndarray, count: np.ndarray, base: float) -> tuple[int, bytes]:
+    """Entries and bits of one bucket that holds the n-grams ``value`` with these counts."""
+    level = _quantised(count, base)
+    entries = int(level.sum())
+    bits = max(64, -(-entries * BITS // 64) * 64)
+    filled = np.zeros(bits, bool)
+    for l in range(1, int(level.max(initial=0)) + 1):
+        first, step = _steps(value[level >= l], l)
+        for probe in range(PROBES):
+            filled[_place(first, step, bits, probe)] = True
+    return entries, np.packbits(filled).tobytes()
+
+
 def bloom_filter(train: DataFrame, buckets: int, order: int = ORDER, base: float = LEVEL_BASE) -> DataFrame:
     """(bucket, entries, bits): the log-frequency filter of all n-grams of the training texts."""
 
@@ -150,7 +179,7 @@ def bloom_filter(train: DataFrame, buckets: int, order: int = ORDER, base: float
         rest = count - 255 * (np.repeat(times, times) - 1)
         count = np.where(whole, 255, rest).astype(np.uint8)
         bucket = _buckets(value, buckets)  # rises with the hash
-        low = np.ascontiguousarray(value.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5])
+        low = _lowest(value)
         cuts = np.flatnonzero(np.diff(bucket)) + 1
         begin, end = np.append(0, cuts), np.append(cuts, len(bucket))
         return pa.record_batch(
@@ -162,24 +191,14 @@ def bloom_filter(train: DataFrame, buckets: int, order: int = ORDER, base: float
         )
 
     def build(key: tuple, parts: pa.Table) -> pa.Table:
-        low = np.frombuffer(b"".join(parts.column("hashes").to_pylist()), np.uint8).reshape(-1, 5)
-        value = np.zeros((len(low), 8), np.uint8)
-        value[:, :5] = low
+        value, inverse = np.unique(_widened(parts.column("hashes").to_pylist()), return_inverse=True)
         count = np.frombuffer(b"".join(parts.column("counts").to_pylist()), np.uint8)
-        value, inverse = np.unique(value.view("<u8").ravel(), return_inverse=True)
-        level = _quantised(np.bincount(inverse, weights=count), base)
-        entries = int(level.sum())
-        bits = max(64, -(-entries * BITS // 64) * 64)
-        filled = np.zeros(bits, bool)
-        for l in range(1, int(level.max()) + 1):
-            first, step = _steps(value[level >= l], l)
-            for probe in range(PROBES):
-                filled[_place(first, step, bits, probe)] = True
+        entries, bits = _bits(value, np.bincount(inverse, weights=count), base)
         return pa.table(
             {
                 "bucket": pa.array([key[0].as_py()], pa.int64()),
                 "entries": pa.array([entries], pa.int64()),
-                "bits": pa.array([np.packbits(filled).tobytes()], pa.binary()),
+                "bits": pa.array([bits], pa.binary()),
             }
         )
 
@@ -230,19 +249,6 @@ class Turn:
         return out
 
 
-def _turns(filter_: DataFrame, turn_bytes: int) -> list[list[int]]:
-    """Buckets in turns of at most ``turn_bytes``; a bucket is far below that by construction."""
-    sizes = filter_.select("bucket", F.length("bits").alias("n")).orderBy("bucket").collect()
-    turns, held = [], 0
-    for row in sizes:
-        if not turns or held + row["n"] > turn_bytes:
-            turns.append([])
-            held = 0
-        turns[-1].append(row["bucket"])
-        held += row["n"]
-    return turns
-
-
 def _estimates(level: np.ndarray, base: float) -> np.ndarray:
     """Middle of the counts that share a level; 0 for level 0."""
     each = np.arange(int(level.max(initial=0)) + 1, dtype=float)
@@ -261,7 +267,10 @@ def log_probabilities(levels: list[np.ndarray], contexts: list[np.ndarray], tota
 
 
 def scored(docs: DataFrame, folds: int = 10, held_out: int = 0, order: int = ORDER, prior: float = PRIOR, base: float = LEVEL_BASE, turn_bytes: int = TURN_BYTES) -> DataFrame:
-    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row."""
+    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row.
+
+    No task holds more than about ``turn_bytes`` of the filter.
+    """
     spark = docs.sparkSession
     docs = texts_of(docs)
     out = F.coalesce(fold(F.col("doc_id"), folds) == held_out, F.lit(False))
@@ -272,130 +281,178 @@ def scored(docs: DataFrame, folds: int = 10, held_out: int = 0, order: int = ORD
     frequent = counts.filter(F.col("c") * FREQUENT >= total).toArrow()  # FREQUENT words at most
     known = spark.sparkContext.broadcast((frequent.column("word").to_numpy(), frequent.column("c").to_numpy()))
 
-    buckets = max(1, -(-int(total) * order // BUCKET_TOKENS))
-    filter_ = written(bloom_filter(train, buckets, order, base), "lm-filter")
-    turns = _turns(filter_, turn_bytes) or [[]]
+    # An n-gram has no more levels than tokens, so BITS bits for each token bound a bucket.
+    buckets = max(1, -(-int(total) * order // min(BUCKET_TOKENS, max(1, 8 * turn_bytes // BITS))))
+    size = docs.agg(F.sum(F.octet_length("text") + F.lit(32))).first()[0] or 0
+    parts = max(1, -(-int(size) // PART_BYTES))
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    state = docs.withColumn("levels", F.lit(None).cast("binary"))
-    begin_level = 0
-    for number, chosen in enumerate(turns):
-        part = Turn(buckets, filter_.filter(F.col("bucket").between(chosen[0], chosen[-1])).toLocalIterator() if chosen else [])
-        begin_level = max(begin_level, int(part.levels(np.array([START], np.uint64))[0]))
-        turn = send(spark, part)  # turn_bytes at most
-        if number == len(turns) - 1:
-            break
-        fields = f"doc_id {kind}, text string, levels binary"
-        state = written(state.mapInArrow(_filling(turn, order), fields), "lm-levels")
-        turn.destroy()
-
-    finished = _finishing(turn, known, order, int(total), int(kinds), prior, base, begin_level)
-    schema = f"doc_id {kind}, key long, n_tokens long, n_known long, base_score double, score double, rare array<struct<word:long,n:int>>"
-    rows = written(state.mapInArrow(finished, schema).withColumn("key", F.xxhash64("doc_id", "key")), "lm-scores")
-    # Rare words of equal rows are looked up once for each; equal rows share a key, so what they add is divided by their number.
-    rare = rows.select("key", F.explode("rare").alias("r")).select("key", "r.word", "r.n")
-    unseen = float(np.log10(0.1 / (total + 0.1 * (kinds + 1))))
-    chance = F.log10((F.coalesce("c", F.lit(0)) + F.lit(0.1)) / F.lit(float(total + 0.1 * (kinds + 1))))
-    rare = rare.join(counts, "word", "left").groupBy("key").agg(
-        F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("more_known"), F.sum(F.col("n") * (chance - F.lit(unseen))).alias("more")
-    )
-    copies = rows.groupBy("doc_id", "key", "n_tokens", "n_known").agg(
-        F.count(F.lit(1)).alias("copies"), F.min("base_score").alias("base_score"), F.min("score").alias("score")
-    )
-    joined = copies.join(rare, "key", "left")
-    joined = joined.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
-    return joined.select(
-        "doc_id",
-        out.alias("held_out"),
-        "n_tokens",
-        (F.col("n_known") + F.coalesce(F.col("more_known") / F.col("copies"), F.lit(0))).cast("long").alias("n_known"),
-        F.lit(int(total)).cast("long").alias("train_tokens"),
-        (F.col("base_score") + F.coalesce(F.col("more") / F.col("copies"), F.lit(0.0))).alias("base_score"),
-        "score",
-    )
-
-
-def _level_arrays(turn, grams, stored: list[bytes], counts: np.ndarray) -> list[np.ndarray]:
-    """Levels of the n-grams, those of earlier turns included."""
-    found = [turn.levels(x) for x in grams]
-    if any(s is not None for s in stored):
-        before = np.frombuffer(b"".join(stored), np.uint8)
-        begin = np.append(0, np.cumsum(counts))
-        width = len(found)
-        for k in range(width):
-            own = np.concatenate([before[width * a + k * (b - a) : width * a + (k + 1) * (b - a)] for a, b in zip(begin[:-1], begin[1:])])
-            found[k] = np.maximum(found[k], own)
-    return found
-
-
-def _filling(turn, order: int):
-    """Adds one turn's levels: for each text the levels of all 1-grams, then of all 2-grams, ..."""
+    dealt = docs.select("doc_id", "text", out.alias("held_out"), F.pmod(F.xxhash64("doc_id", "text"), F.lit(parts)).alias("part"))
+    dealt = dealt.mapInArrow(_merged, f"part long, doc_id {kind}, text string, held_out boolean, copies long")
+    asked = dealt.groupBy("part").applyInArrow(_asking(known, order, buckets), "bucket long, part long, hashes binary, counts binary, more binary, words binary, times binary")
+    answers = asked.groupBy("bucket").applyInArrow(_answering(base), "part long, bucket long, levels binary, times binary")
+    finished = _finishing(known, order, int(total), int(kinds), prior, base)
+    schema = f"doc_id {kind}, held_out boolean, copies long, n_tokens long, n_known long, base_score double, score double"
+    # Both sides read the same shuffled parts.
+    rows = written(dealt.groupBy("part").cogroup(answers.groupBy("part")).applyInArrow(finished, schema), "lm-scores")
+    # Copies are those of one batch, so arrays stay short.
+    rows = rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    return rows.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(int(total)).cast("long").alias("train_tokens"), "base_score", "score")
+
+
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Equal rows of a batch become one with their number, so that a row that recurs often does not fill its part."""
+    names = ["part", "doc_id", "text", "held_out"]
+    for batch in batches:
+        merged = pa.Table.from_batches([batch]).group_by(names).aggregate([([], "count_all")])
+        yield from merged.rename_columns({"count_all": "copies"}).select([*names, "copies"]).combine_chunks().to_batches()
+
+
+def _part_grams(rows: pa.Table, order: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """As ``ngrams``, of all rows of a part."""
+    each = [ngrams(texts, order) for _, texts in chunks(rows.to_batches())]
+    return [np.concatenate(x) for x in zip(*(grams for grams, _ in each))], np.concatenate([counts for _, counts in each])
+
+
+def _frequent(known) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words that were sent, sorted, and their counts."""
+    words, counts = known.value
+    words = words.view(np.uint64) if len(words) else np.zeros(0, np.uint64)
+    by_hash = np.argsort(words)
+    return words[by_hash], counts[by_hash]
+
+
+def _found(words: np.ndarray, among: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which of ``words`` are in the sorted ``among``, and where."""
+    if not len(among):
+        return np.zeros(len(words), bool), np.zeros(len(words), np.int64)
+    at = np.minimum(np.searchsorted(among, words), len(among) - 1)
+    return among[at] == words, at
+
+
+def _asking(known, order: int, buckets: int):
+    """A part's different n-grams, dealt to buckets: lower bits of the hashes, and counts in training rows.
+
+    ``counts`` has a byte each; ``more`` has (place, count) of counts above 254. ``words`` are whole hashes of words that were not sent
+    to the workers, ``times`` their counts.
+    """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = received(turn)
-        for rows, texts in chunks(batches):
-            grams, counts = ngrams(texts, order)
-            found = _level_arrays(own, grams, rows.column("levels").to_pylist(), counts)
-            begin = np.append(0, np.cumsum(counts))
-            levels = [b"".join(x[a:b].tobytes() for x in found) for a, b in zip(begin[:-1], begin[1:])]
-            yield pa.record_batch({"doc_id": rows.column("doc_id"), "text": rows.column("text"), "levels": pa.array(levels, pa.binary())})
+    def run(key: tuple, rows: pa.Table) -> pa.Table:
+        grams, counts = _part_grams(rows, order)
+        taught = np.where(rows.column("held_out").to_numpy(), 0, rows.column("copies").to_numpy())
+        weight = np.repeat(taught, counts)
+        every = np.concatenate([*grams, np.full(len(counts), START, np.uint64)])
+        value, inverse = np.unique(every, return_inverse=True)
+        count = np.bincount(inverse, weights=np.concatenate([*[weight] * order, taught])).astype(np.int64)
+        del every, inverse
+        word, inverse = np.unique(grams[0], return_inverse=True)
+        times = np.bincount(inverse, weights=weight).astype(np.int64)
+        rare = ~_found(word, _frequent(known)[0])[0]
+        word, times = word[rare], times[rare]
+        bucket = _buckets(value, buckets)  # rises with the hash
+        low, small = _lowest(value), np.minimum(count, 255).astype(np.uint8)
+        asked = np.unique(bucket)
+        cut = np.searchsorted(bucket, np.append(asked, buckets))
+        word_cut = np.searchsorted(_buckets(word, buckets), np.append(asked, buckets))
+
+        def more(a: int, b: int) -> bytes:
+            large = np.flatnonzero(small[a:b] == 255)
+            return np.column_stack([large, count[a:b][large]]).tobytes()
+
+        spans, word_spans = list(zip(cut[:-1], cut[1:])), list(zip(word_cut[:-1], word_cut[1:]))
+        return pa.table(
+            {
+                "bucket": pa.array(asked),
+                "part": pa.array(np.full(len(asked), key[0].as_py(), np.int64)),
+                "hashes": pa.array([low[a:b].tobytes() for a, b in spans], pa.binary()),
+                "counts": pa.array([small[a:b].tobytes() for a, b in spans], pa.binary()),
+                "more": pa.array([more(a, b) for a, b in spans], pa.binary()),
+                "words": pa.array([word[a:b].tobytes() for a, b in word_spans], pa.binary()),
+                "times": pa.array([times[a:b].tobytes() for a, b in word_spans], pa.binary()),
+            }
+        )
 
     return run
 
 
-def _finishing(turn, known, order: int, total: int, kinds: int, prior: float, base: float, begin_level: int):
-    """Scores from the last turn; words that were not sent are returned for the join."""
+def _summed(value: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Different values, their summed counts, and the place of each entry among them."""
+    different, place = np.unique(value, return_inverse=True)
+    return different, np.bincount(place, weights=count, minlength=len(different)), place
+
+
+def _answering(base: float):
+    """For each part the levels of its n-grams in one bucket, and the exact counts of its words there."""
+
+    def run(key: tuple, asked: pa.Table) -> pa.Table:
+        hashes = asked.column("hashes").to_pylist()
+        value = _widened(hashes)
+        size = np.array([len(x) // 5 for x in hashes])
+        begin = np.cumsum(size) - size
+        count = np.frombuffer(b"".join(asked.column("counts").to_pylist()), np.uint8).astype(np.int64)
+        for first, more in zip(begin, asked.column("more").to_pylist()):
+            place, large = np.frombuffer(more, np.int64).reshape(-1, 2).T
+            count[first + place] = large
+        different, count, place = _summed(value, count)
+        taught = count > 0
+        turn = Turn(1, [{"bucket": 0, "bits": _bits(different[taught], count[taught], base)[1]}])
+        levels = turn.levels(different)[place]
+        word_size = [len(x) // 8 for x in asked.column("words").to_pylist()]
+        words = np.frombuffer(b"".join(asked.column("words").to_pylist()), np.uint64)
+        times = np.frombuffer(b"".join(asked.column("times").to_pylist()), np.int64)
+        _, times, place = _summed(words, times)
+        times = times.astype(np.int64)[place]
+        word_end = np.cumsum(word_size)
+        return pa.table(
+            {
+                "part": asked.column("part"),
+                "bucket": asked.column("bucket"),
+                "levels": pa.array([levels[a : a + n].tobytes() for a, n in zip(begin, size)], pa.binary()),
+                "times": pa.array([times[b - n : b].tobytes() for b, n in zip(word_end, word_size)], pa.binary()),
+            }
+        )
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, counts_of = known.value
-        words = words.view(np.uint64) if len(words) else np.zeros(0, np.uint64)
-        by_hash = np.argsort(words)
-        words, counts_of = words[by_hash], counts_of[by_hash]
-        whole = total + 0.1 * (kinds + 1)
-        own = received(turn)
-        for rows, texts in chunks(batches):
-            grams, counts = ngrams(texts, order)
-            levels = _level_arrays(own, grams, rows.column("levels").to_pylist(), counts)
-            heads = np.append(0, np.cumsum(counts)[:-1])
-            contexts = []
-            for shorter in levels[: order - 1]:
-                context = np.empty_like(shorter)
-                context[1:] = shorter[:-1]
-                context[heads] = begin_level
-                contexts.append(context)
-            score = np.add.reduceat(log_probabilities(levels[:order], contexts, total, kinds, prior, base), heads)
-            doc = np.repeat(np.arange(len(texts)), counts)
-            different, same = np.unique(grams[0], return_inverse=True)
-            count = np.zeros(len(different), np.int64)
-            if len(words):
-                at = np.minimum(np.searchsorted(words, different), len(words) - 1)
-                hit = words[at] == different
-                count[hit] = counts_of[at[hit]]
-            chance = np.add.reduceat(np.log10((count + 0.1) / whole)[same], heads)
-            count = count[same]
-            other = np.flatnonzero(count == 0)
-            order_ = other[np.lexsort((grams[0][other], doc[other]))]
-            d, w = doc[order_], grams[0][order_]
-            new = np.append(True, (np.diff(d) != 0) | (w[1:] != w[:-1])) if len(d) else np.zeros(0, bool)
-            starts = np.flatnonzero(new)
-            times = np.diff(np.append(starts, len(d)))
-            offsets = np.searchsorted(d[starts], np.arange(len(texts) + 1))
-            rare = pa.ListArray.from_arrays(
-                pa.array(offsets, pa.int32()),
-                pa.StructArray.from_arrays([pa.array(w[starts].view(np.int64)), pa.array(times, pa.int32())], ["word", "n"]),
-            )
-            place = np.arange(len(doc)) - np.repeat(heads, counts)
-            key = np.add.reduceat(mixed(grams[0] + place.astype(np.uint64) * _MIX), heads)
-            yield pa.record_batch(
-                {
-                    "doc_id": rows.column("doc_id"),
-                    "key": pa.array(key.view(np.int64)),
-                    "n_tokens": pa.array(counts, pa.int64()),
-                    "n_known": pa.array(np.add.reduceat((count > 0).astype(np.int64), heads)),
-                    "base_score": pa.array(chance),
-                    "score": pa.array(score),
-                    "rare": rare,
-                }
-            )
+    return run
+
+
+def _finishing(known, order: int, total: int, kinds: int, prior: float, base: float):
+    """Scores of a part's rows from the answers of all buckets, which come in the order of hashes."""
+
+    def run(rows: pa.Table, answers: pa.Table) -> pa.Table:
+        grams, counts = _part_grams(rows, order)
+        answers = answers.sort_by("bucket")
+        level = np.frombuffer(b"".join(answers.column("levels").to_pylist()), np.uint8)
+        times = np.frombuffer(b"".join(answers.column("times").to_pylist()), np.int64)
+        value, place = np.unique(np.concatenate([*grams, np.array([START], np.uint64)]), return_inverse=True)
+        different, same = np.unique(grams[0], return_inverse=True)
+        words, counts_of = _frequent(known)
+        sent, at = _found(different, words)
+        if len(level) != len(value) or len(times) != len(different) - sent.sum():
+            raise RuntimeError("a part's answers do not fit its n-grams")
+        heads = np.append(0, np.cumsum(counts)[:-1])
+        tokens = len(grams[0])
+        levels = [level[place[k * tokens : (k + 1) * tokens]] for k in range(order)]
+        contexts = []
+        for shorter in levels[: order - 1]:
+            context = np.empty_like(shorter)
+            context[1:] = shorter[:-1]
+            context[heads] = level[place[-1]]
+            contexts.append(context)
+        score = np.add.reduceat(log_probabilities(levels, contexts, total, kinds, prior, base), heads)
+        count = np.zeros(len(different), np.int64)
+        count[sent] = counts_of[at[sent]]
+        count[~sent] = times
+        chance = np.log10((count + 0.1) / (total + 0.1 * (kinds + 1)))
+        return pa.table(
+            {
+                "doc_id": rows.column("doc_id"),
+                "held_out": rows.column("held_out"),
+                "copies": rows.column("copies"),
+                "n_tokens": pa.array(counts, pa.int64()),
+                "n_known": pa.array(np.add.reduceat((count > 0).astype(np.int64)[same], heads)),
+                "base_score": pa.array(np.add.reduceat(chance[same], heads)),
+                "score": pa.array(score),
+            }
+        )
 
     return run

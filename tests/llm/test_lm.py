@@ -93,3 +93,26 @@ def test_each_different_ngram_is_probed_once(monkeypatch):
     assert np.array_equal(turn.levels(np.tile(hashes, 40)), np.tile(want, 40))
     assert want.any() and max(probed) <= len(hashes)
     assert np.array_equal(turn.levels(hashes[:0]), want[:0])
+
+
+def test_tables_hold_no_texts_however_many_buckets_there_are(odd_docs, odd_rows, monkeypatch):
+    """What a run writes does not grow with the number of buckets, and texts are not among it."""
+    tables = []
+    written = lm.written
+    monkeypatch.setattr(lm, "written", lambda df, label, *rest: tables.append((label, tuple(df.columns))) or written(df, label, *rest))
+    monkeypatch.setattr(lm, "PART_BYTES", 1 << 14, raising=False)
+    monkeypatch.setattr(lm, "FREQUENT", 50)
+    few = got(lm.scored(odd_docs))
+    first, tables[:] = list(tables), []
+    monkeypatch.setattr(lm, "BUCKET_TOKENS", 4096)
+    many = got(lm.scored(odd_docs, turn_bytes=6000))
+    assert tables == first and not any({"text", "levels"} & set(columns) for _, columns in tables)
+    same(few, plain(odd_rows), 0.15)
+    same(many, plain(odd_rows), 0.15)
+
+
+def test_rows_that_recur_often(spark):
+    """Counts above a byte, of copies too, and as many rows as came."""
+    rows = [(1, "same words here")] * 900 + [(2, "other words " * 400)] * 3 + [(i, f"w{i} words") for i in range(3, 60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    same(got(lm.scored(docs, base=1.05)), plain(rows), 0.1)
