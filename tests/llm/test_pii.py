@@ -150,3 +150,35 @@ def test_trees_learn_an_interaction():
     y = ((x[:, 0] > 0) ^ (x[:, 1] > 0.5)).astype(float)
     p = Trees().fit(x[:3000], y[:3000]).predict(x[3000:])
     assert ((p > 0.5) == (y[3000:] > 0)).mean() > 0.95
+
+
+def examples(spark, rng):
+    """60,000 examples of one kind and 120 of another, which are right if their last feature is high."""
+    from pyspark.sql import functions as F
+
+    rows = []
+    for i in range(60_120):
+        kind, right = (2 if i % 501 == 0 else 3), bool(i % 2)
+        x = [float(kind == 2), float(rng.randint(0, 30)), float(rng.randint(0, 10**6)), float(rng.randint(5, 9) if right else rng.randint(0, 4))]
+        rows.append((i // 4, i // 2 % 6 if right else -1, kind, right, x))
+    flat = spark.createDataFrame(rows, "doc_id long, form int, kind int, right boolean, x array<float>")
+    return flat.groupBy("doc_id").agg(F.collect_list(F.struct("form", "kind", "right", "x")).alias("examples"))
+
+
+def test_all_examples_take_part(spark):
+    """A kind with few of many examples has enough to be calibrated."""
+    selector = pii.fit(examples(spark, random.Random(5)))
+    assert selector.least[2] < 1 and selector.least[3] < 1 and selector.least[0] == selector.least[1] == 2.0
+    score = selector.trees.predict(np.array([[1, 9, 500, 7], [1, 9, 500, 2]], float))
+    assert score[0] >= selector.least[2] > score[1]
+
+
+def test_sums_over_a_table_give_the_same_trees(spark, monkeypatch):
+    found = examples(spark, random.Random(7))
+    monkeypatch.setattr(pii, "Trees", lambda: Trees(trees=3))
+    here = pii.fit(found)
+    monkeypatch.setattr(pii, "HELD", 0, raising=False)
+    there = pii.fit(found.repartition(5))
+    assert here.least == there.least and len(there.trees.trees) == 3
+    for a, b in zip(here.trees.trees, there.trees.trees):
+        assert all(np.array_equal(x, y) for x, y in zip(a, b))
