@@ -212,7 +212,7 @@ def _runs(batches: Iterator[pa.RecordBatch], columns: list[str], most: int) -> I
         return rows[2:], np.array(begin), np.array(end)
 
     for batch in batches:
-        new = [batch.column(c).to_numpy() for c in ("mask", "pattern", *columns)]
+        new = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("mask", "pattern", *columns)]
         rows = [np.concatenate([h, n]) for h, n in zip(held, new)] if held else new
         if not len(rows[0]):
             continue
@@ -320,6 +320,142 @@ def _nearest(batches: Iterator[pa.RecordBatch], radius: int, parts: list[str], r
             yield pa.record_batch({"a": pa.array(np.append(a, left)), "b": pa.array([*b.tolist(), *[None] * len(left)], pa.int64())})
 
 
+def _node_edges(root: np.ndarray, bits: np.ndarray, radius: int, run: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (a, b) within ``radius`` that connect all groups of a node which such pairs connect; every two runs of it are searched."""
+    group = np.unique(root, return_inverse=True)[1]
+    forest, edges = _Forest(int(group.max()) + 1), [np.zeros((2, 0), np.int64)]
+    begins = np.arange(0, len(root), run)
+    for apart in range(len(begins)):
+        for first, second in zip(begins[: len(begins) - apart], begins[apart:]):
+            rows = np.unique(np.concatenate([np.arange(x, min(x + run, len(root))) for x in (first, second)]))
+            own = forest.root[group[rows]]
+            if (own == own[0]).all():
+                continue
+            pairs: list = []
+            gray_links(bits[rows], radius, pairs)
+            if not pairs:
+                continue
+            a, b, d = (np.concatenate(x) for x in zip(*pairs))
+            open_ = own[a] != own[b]
+            a, b, d = a[open_], b[open_], d[open_]
+            order = np.argsort(d, kind="stable")
+            a, b = a[order], b[order]
+            taken = _forest_edges(a, b, own)
+            a, b = rows[a[taken]], rows[b[taken]]
+            edges.append(np.stack([a, b]))
+            forest.add(group[a], group[b])
+        if not forest.root.any():
+            break  # all are one group
+    return tuple(np.concatenate(edges, axis=1))
+
+
+def _connected(batches: Iterator[pa.RecordBatch], radius: int, parts: list[str], run: int) -> Iterator[pa.RecordBatch]:
+    """(a, b): for each whole node, pairs that connect its groups (``root``); no two entries of a node go uncompared unless their groups are connected."""
+    for (ids, root, *words), begin, end in _runs(batches, ["id", "root", *parts], 1 << 62):
+        bits = np.column_stack([w.view(np.uint64) for w in words])
+        near = list(_close(bits, begin, end, radius))
+        found = [_thinned(ids, root, near, 0)[:2]] if near else []
+        for i in np.flatnonzero(end - begin > SMALL):
+            own = slice(begin[i], end[i])
+            if (root[own] != root[begin[i]]).any():
+                a, b = _node_edges(root[own], bits[own], radius, run)
+                found.append((ids[own][a], ids[own][b]))
+        if found:
+            a, b = (np.concatenate(x) for x in zip(*found))
+            yield pa.record_batch({"a": pa.array(np.minimum(a, b)), "b": pa.array(np.maximum(a, b))})
+
+
+def _shared(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Numbers of codes that every set on the left shares with every one on the right."""
+    code, place = np.unique(np.concatenate([*left, *right]), return_inverse=True)
+    cut = sum(map(len, left))
+    both = (np.bincount(place[:cut], minlength=len(code)) > 0) & (np.bincount(place[cut:], minlength=len(code)) > 0)
+    column = np.where(both, np.cumsum(both) - 1, -1)[place]
+    out = np.zeros((len(left), len(right)), np.float32)
+    sides = [(np.repeat(np.arange(len(x)), [len(s) for s in x]), c, len(x)) for x, c in ((left, column[:cut]), (right, column[cut:]))]
+    for first in range(0, int(both.sum()), 4096):
+        width = min(4096, int(both.sum()) - first)
+        parts = []
+        for row, own, size in sides:
+            held = (own >= first) & (own < first + width)
+            part = np.zeros((size, width), np.float32)
+            part[row[held], own[held] - first] = 1
+            parts.append(part)
+        out += parts[0] @ parts[1].T
+    return np.rint(out).astype(np.int64)
+
+
+def _verify(forest: _Forest, sets: list[np.ndarray], similarity: float, a: np.ndarray, b: np.ndarray, taken: list) -> None:
+    """Adds links of pairs that reach the similarity; pairs come in rising distance, and those of one group are left out."""
+    size = np.array([len(x) for x in sets])
+
+    def add(a: np.ndarray, b: np.ndarray, shared: np.ndarray) -> None:
+        near = shared >= similarity * (size[a] + size[b] - shared) - 1e-9
+        a, b = a[near], b[near]
+        if len(a):
+            spanning = _forest_edges(a, b, forest.root)
+            taken.append(np.stack([a[spanning], b[spanning]]))
+            forest.add(a, b)
+
+    for _ in range(2):  # most links are found by the nearest pairs
+        low = int(min(a.min(), b.min()))
+        chosen = _forest_edges(a - low, b - low, np.unique(forest.root[low : int(max(a.max(), b.max())) + 1], return_inverse=True)[1])
+        add(a[chosen], b[chosen], np.array([len(np.intersect1d(sets[x], sets[y], assume_unique=True)) for x, y in zip(a[chosen], b[chosen])], np.int64))
+        left = np.ones(len(a), bool)
+        left[chosen] = False
+        left &= forest.root[a] != forest.root[b]
+        a, b = a[left], b[left]
+        if not len(a):
+            return
+    if len(a) < 256:
+        add(a, b, np.array([len(np.intersect1d(sets[x], sets[y], assume_unique=True)) for x, y in zip(a, b)], np.int64))
+        return
+    left, x = np.unique(a, return_inverse=True)
+    right, y = np.unique(b, return_inverse=True)
+    for first in range(0, len(left), TILE):
+        for second in range(0, len(right), TILE):
+            own = np.flatnonzero((x >= first) & (x < first + TILE) & (y >= second) & (y < second + TILE) & (forest.root[a] != forest.root[b]))
+            if len(own):
+                shared = _shared([sets[i] for i in left[first : first + TILE]], [sets[i] for i in right[second : second + TILE]])
+                add(a[own], b[own], shared[x[own] - first, y[own] - second])
+
+
+def _cell_links(batches: Iterator[pa.RecordBatch], radius: int, similarity: float, parts: list[str]) -> Iterator[pa.RecordBatch]:
+    """(a, b): links that connect all entries of each cell with similar sets, among pairs within ``radius``.
+
+    In a cell of two blocks only pairs of entries of different blocks are compared (``block`` is -1 where there is one).
+    """
+    for (ids, block, codes, *words), begin, end in _runs(batches, ["id", "block", "codes", *parts], 1 << 62):
+        bits = np.column_stack([w.view(np.uint64) for w in words])
+        sets = [np.frombuffer(x, np.uint64) for x in codes]
+        forest, taken = _Forest(len(ids)), [np.zeros((2, 0), np.int64)]
+
+        def compared(a: np.ndarray, b: np.ndarray, d: np.ndarray) -> None:
+            open_ = ((block[a] != block[b]) | (block[a] < 0)) & (forest.root[a] != forest.root[b])
+            a, b, d = a[open_], b[open_], d[open_]
+            if len(a):
+                order = np.argsort(d, kind="stable")
+                _verify(forest, sets, similarity, a[order], b[order], taken)
+
+        near = list(_close(bits, begin, end, radius))
+        if near:
+            compared(*(np.concatenate(x) for x in zip(*near)))
+        for i in np.flatnonzero(end - begin > SMALL):
+            tiles = [np.arange(x, min(x + TILE, end[i])) for x in range(begin[i], end[i], TILE)]
+            for apart in range(len(tiles)):
+                for x, y in zip(tiles[: len(tiles) - apart], tiles[apart:]):
+                    own = forest.root[np.concatenate([x, y])]
+                    if (own == own[0]).all():
+                        continue
+                    d = sum(np.bitwise_count(bits[x, k][:, None] ^ bits[y, k][None, :]).astype(np.int64) for k in range(bits.shape[1]))
+                    at, to = np.nonzero(d <= radius)
+                    near_ = (at < to) | (apart > 0)
+                    at, to = at[near_], to[near_]
+                    compared(x[at], y[to], d[at, to])
+        a, b = np.concatenate(taken, axis=1)
+        yield pa.record_batch({"a": pa.array(ids[a]), "b": pa.array(ids[b])})
+
+
 def linked(fps: DataFrame, radius: int = 3, group_rows: int = GROUP_ROWS) -> DataFrame:
     """(a, b): links that connect all distinct fingerprints within ``radius`` bits, over any path."""
     nodes = _nodes(fps.select("fp").distinct(), radius, group_rows)
@@ -341,10 +477,11 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 3, group_rows
 
 
 PARTS = 4
-NEAREST = 4
 FIRST_MASKS = 2
 RUN = 1024
 SHORT = 14
+TILE = 512
+CELL_BYTES = 16 << 20
 
 
 def _shingles(texts: list[bytes], words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -465,16 +602,15 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, rec
     Candidates differ in no more of 256 bits than the similarity lets expect, plus two
     deviations. Upper nodes are random masks instead of blocks, as so many differences leave no
     whole block equal: a mask takes as many bits as single out some dozens of texts, and there are as many
-    masks as let two texts at the threshold agree in one of them with probability ``recall``. Nodes are dealt
-    to tasks by range, so one that holds a third of all texts is shared by many; runs of a long node overlap, in another
-    Gray order for every mask. Candidates are compared by their whole shingle sets (Jaccard), and only links that reach the similarity
-    count. ``root`` is the key of one of the group's texts.
-
-    A group of any size costs work in proportion to its texts: a run of a node gives a forest of candidate pairs, nearest first, between
-    the groups known so far. The first ``FIRST_MASKS`` masks do so among single texts, the others among the groups
-    that were found. Groups with candidates left then go in rounds with each text's ``NEAREST`` in other groups too, four times as many each
-    time, until no text has candidates left in another group. Texts of few shingles, whose bits tell less, are linked exactly by ``short_links``.
-    Texts without words form one group.
+    masks as let two texts at the threshold agree in one of them with probability ``recall``. Whole nodes are searched,
+    however long they are: a node gives pairs that connect all its entries which candidate pairs connect. The first ``FIRST_MASKS`` masks are searched
+    in overlapping runs before, dealt to tasks by range; that only joins what lies close together, so that long nodes hold few groups afterwards.
+
+    What candidates connect, over any path, is a cluster. Clusters come together with the whole shingle sets of their texts (Jaccard), all
+    pairs of a cluster that differ in no more bits than a candidate are verified, nearest first, but for those of texts that are linked already, and only
+    links that reach the similarity count. A cluster with more than ``CELL_BYTES`` of sets is cut into blocks, and every two blocks meet in a cell.
+    Rows grow with the texts (times the blocks of their cluster); time grows with the square of a cluster of unlike texts. ``root`` is the key of one of the
+    group's texts. Texts of few shingles, whose bits tell less, are linked exactly by ``short_links``. Texts without words form one group.
     """
     docs = texts_of(docs).withColumn("key", F.xxhash64("text"))
     rows = written(docs.select("doc_id", "key"), "similar-rows")
@@ -500,24 +636,15 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, rec
         turned = F.shiftleft(word, turn).bitwiseOR(F.shiftrightunsigned(word, 64 - turn)) if turn else word
         chosen.append(F.struct(F.lit(number).alias("mask"), code.alias("pattern"), turned.alias("word")))
 
-    def searched(open_: DataFrame, among: list, most: int) -> DataFrame:
-        """(a, b): candidates in different groups; b is null where the group ``a`` has more."""
+    def placed(open_: DataFrame, among: list, deal) -> DataFrame:
+        """Entries below the nodes of the masks ``among``, in Gray order."""
         nodes = open_.select("id", "root", *parts, F.explode(F.array(*among)).alias("node")).select("node.*", "id", "root", *parts)
         # One rank below all masks, as its expression is long.
         nodes = nodes.withColumn("rank", _gray_rank(F.col("word"))).drop("word")
-        order = ["mask", "pattern", "rank", "id"]
-        placed = nodes.repartitionByRange(*order).sortWithinPartitions(*order).drop("rank")
-        near = placed.mapInArrow(lambda batches: _nearest(batches, radius, parts, RUN, most), "a long, b long")
-        return near.select(F.when(F.col("b").isNull(), F.col("a")).otherwise(F.least("a", "b")).alias("a"), F.greatest("b", F.when(F.col("b").isNotNull(), F.col("a"))).alias("b")).distinct()
-
-    def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist()):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                shared = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(shared >= similarity * (len(x) + len(y) - shared) - 1e-9)
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        return deal(nodes).sortWithinPartitions("mask", "pattern", "rank", "id").drop("rank")
+
+    def clusters(edges: DataFrame) -> DataFrame:
+        return components(edges, "similar-links").withColumnRenamed("node", "id")
 
     def sets_of(named: DataFrame) -> DataFrame:
         maybe = KeyFilter(named).split(docs, "key", True)
@@ -525,43 +652,28 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, rec
         return written(_shingle_sets(texts, words), "similar-sets")
 
     links = written(short_links(entries, similarity), "similar-reached")
-    sets, tried, flagged, most = None, None, None, 0
     bare = entries.select("id", *parts)
-    begin, among = 0, chosen[:FIRST_MASKS]
-    while True:
-        roots = components(links, "similar-links")
-        open_ = bare.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
-        if most:  # all masks are searched: only groups with candidates left go on
-            left = flagged.withColumnRenamed("a", "id").join(open_.select("id", "root"), "id").select("root").distinct()
-            open_ = open_.join(left, "root", "left_semi")
-        best = written(searched(written(open_, "similar-open"), among, most), "similar-near")
-        more = best.filter("b IS NULL").select("a")
-        pairs = best.filter("b IS NOT NULL")
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = written(pairs, "similar-pairs")
-        if not most:  # later rounds compare no other texts
-            named = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-            if sets is not None:
-                named = named.join(sets, "id", "left_anti")
-            fresh = sets_of(written(named, "similar-named"))
-            sets = fresh if sets is None else sets.union(fresh)
-        left = sets.select(F.col("id").alias("a"), F.col("codes").alias("x"))
-        right = sets.select(F.col("id").alias("b"), F.col("codes").alias("y"))
-        reached = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(verified, "a long, b long")
-        links = links.union(written(reached, "similar-reached"))
-        tried = pairs if tried is None else tried.union(pairs)
-        if most:
-            flagged = more
-        else:
-            flagged = more if flagged is None else flagged.union(more)
-        if among is not chosen and begin == 0:
-            begin, among = FIRST_MASKS, chosen[FIRST_MASKS:]
-            continue
-        if flagged.isEmpty():
-            break
-        among, most = chosen, 4 * most or NEAREST
-    roots = components(links, "similar-links")
+    by_range = placed(bare.withColumn("root", F.col("id")), chosen[:FIRST_MASKS], lambda n: n.repartitionByRange("mask", "pattern", "rank", "id"))
+    near = by_range.mapInArrow(lambda batches: _nearest(batches, radius, parts, RUN, 0), "a long, b long").filter("b IS NOT NULL")
+    near = written(near, "similar-near")
+    open_ = bare.join(clusters(near.union(links)), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    whole = placed(written(open_, "similar-open"), chosen, lambda n: n.repartition("mask", "pattern"))
+    more = written(whole.mapInArrow(lambda batches: _connected(batches, radius, parts, RUN), "a long, b long"), "similar-near")
+    members = written(clusters(near.union(more).union(links)), "similar-members")
+    sets = sets_of(members.select("id"))
+
+    # Equal sets of bytes per cell; an entry is in one cell with each block of its cluster.
+    sized = members.join(sets.select("id", F.length("codes").alias("bytes")), "id")
+    blocks = sized.groupBy("root").agg(F.ceil(F.sum("bytes") / F.lit(CELL_BYTES)).cast("int").alias("blocks"))
+    blocks = written(blocks.withColumn("blocks", F.greatest("blocks", F.lit(1))), "similar-blocks")
+    own = F.pmod(F.xxhash64("id", "root"), F.col("blocks")).cast("int")
+    cells = members.join(blocks, "root").withColumn("block", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    place = F.xxhash64("root", F.least("block", "other"), F.greatest("block", "other")).alias("mask")
+    cells = cells.select(place, F.col("root").alias("pattern"), "id", F.when(F.col("block") == F.col("other"), -1).otherwise(F.col("block")).alias("block"))
+    cells = cells.join(bare, "id").join(sets.select("id", "codes"), "id").withColumn("rank", _gray_rank(F.col(parts[0])))
+    cells = cells.repartition("mask", "pattern").sortWithinPartitions("mask", "pattern", "rank", "id").drop("rank")
+    reached = cells.mapInArrow(lambda batches: _cell_links(batches, radius, similarity, parts), "a long, b long")
+    roots = components(links.union(written(reached, "similar-reached")), "similar-links")
     grouped = once.select("key", "same").join(entries.select("same", "id"), "same").select("key", "id").join(roots.withColumnRenamed("node", "id"), "id", "left")
     grouped = written(grouped.select("key", F.coalesce("root", "id").alias("root")), "similar-roots")
     least = rows.join(grouped, "key").groupBy("root").agg(F.min("doc_id").alias("component_id"))

@@ -211,3 +211,80 @@ def plain_roots(count, pairs):
     for a, b in pairs:
         root[max(top(a), top(b))] = min(top(a), top(b))
     return [top(i) for i in range(count)]
+
+
+def families(rng, count):
+    rows = []
+    for number in range(count):
+        words = [f"w{rng.randrange(4000)}" for _ in range(rng.randint(40, 200))]
+        for _ in range(rng.randint(1, 5)):
+            changed = list(words)
+            for at in rng.sample(range(len(words)), rng.randint(0, max(1, len(words) // 40))):
+                changed[at] = f"w{rng.randrange(4000)}"
+            rows.append((len(rows), " ".join(changed)))
+    return rows
+
+
+def test_long_nodes_and_clusters_lose_nothing(spark, monkeypatch):
+    """Runs, tiles and cells of a few entries each: every two entries of a node are still compared."""
+    import random
+
+    rng = random.Random(2)
+    rows = families(rng, 60)
+    base = [f"n{i}" for i in range(120)]
+    for _ in range(40):  # one node: copies below and above the similarity
+        changed = list(base)
+        for at in rng.sample(range(120), rng.randint(1, 4)):
+            changed[at] = f"v{rng.randrange(10**6)}"
+        rows.append((len(rows), " ".join(changed)))
+    want = plain_groups(rows, lambda a, b: jaccard(a, b) >= 0.8)
+    for name, value in (("RUN", 2), ("TILE", 7), ("CELL_BYTES", 8000)):
+        monkeypatch.setattr(simhash, name, value, raising=False)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in simhash.similar_groups(docs).collect()}
+    assert [got[i] for i, _ in rows] == want
+
+
+def test_pairs_far_apart_in_a_long_node_are_connected():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(4)
+    fp = rng.integers(1 << 62, size=(1500, 4), dtype=np.uint64)
+    fp = np.concatenate([fp, fp ^ np.array([1 << 61, 0, 3, 0], np.uint64)])
+    order = np.argsort(fp[:, 0], kind="stable")
+    ids = np.arange(3000)[order]
+    columns = {"mask": np.zeros(3000, np.int64), "pattern": np.zeros(3000, np.int64), "id": ids, "root": ids}
+    columns |= {f"f{i}": fp[order, i].copy().view(np.int64) for i in range(4)}
+    batch = pa.record_batch({k: pa.array(v) for k, v in columns.items()})
+    parts = [f"f{i}" for i in range(4)]
+    found = {(r["a"], r["b"]) for b in simhash._connected(iter([batch.slice(0, 700), batch.slice(700)]), 20, parts, 256) for r in b.to_pylist()}
+    assert found == {(i, i + 1500) for i in range(1500)}
+    in_runs = {(r["a"], r["b"]) for b in simhash._nearest(iter([batch]), 20, parts, 256, 0) for r in b.to_pylist() if r["b"] is not None}
+    assert not in_runs
+
+
+def test_cells_verify_every_pair_that_counts():
+    """A cluster whose pairs lie on both sides of the similarity: groups equal brute force, in one cell and in cells of two blocks."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(9)
+    base = rng.integers(1 << 62, size=100, dtype=np.uint64)
+    sets = [np.unique(np.concatenate([rng.permutation(base)[: 100 - k], rng.integers(1 << 62, size=k, dtype=np.uint64)])) for k in rng.integers(7, 10, size=400)]
+    parts, block = [f"f{i}" for i in range(4)], rng.integers(2, size=400)
+
+    def batch(rows, blocks):
+        zero = np.zeros(len(rows), np.int64)
+        columns = {"mask": zero, "pattern": zero, "id": rows, "block": blocks, **{p: zero for p in parts}}
+        return pa.record_batch({**{k: pa.array(v) for k, v in columns.items()}, "codes": pa.array([sets[i].tobytes() for i in rows], pa.binary())})
+
+    def close(a, b):
+        shared = len(np.intersect1d(a, b))
+        return shared >= 0.8 * (len(a) + len(b) - shared) - 1e-9
+
+    want = plain_groups(list(enumerate(sets)), close)
+    every = np.arange(400)
+    cells = [batch(every[block == k], np.full((block == k).sum(), -1)) for k in (0, 1)] + [batch(every, block)]
+    for chosen in ([batch(every, np.full(400, -1))], cells):
+        links = [(r["a"], r["b"]) for c in chosen for b in simhash._cell_links(iter([c]), 50, 0.8, parts) for r in b.to_pylist()]
+        assert plain_roots(400, links) == want and len(links) <= 399 * len(chosen)
+    assert 20 < len(set(want)) < 380
